@@ -167,13 +167,6 @@ def with_markets(
     return out.selectExpr(*kept, *[f"CASE WHEN {known} THEN {v} END AS {prefix}{name}" for name, v in values.items()])
 
 
-def scoreline_matrix(lam_h: Column, lam_a: Column, max_goals: int = MAX_GOALS) -> Column:
-    """Row-major joint distribution, renormalised to 1."""
-    p, q = poisson_pmf(lam_h, max_goals), poisson_pmf(lam_a, max_goals)
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) * F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
-    return F.flatten(F.transform(p, lambda x: F.transform(q, lambda y: x * y / total)))
-
-
 def cell(scoreline: Column, home_goals: Column, away_goals: Column, max_goals: int = MAX_GOALS) -> Column:
     """One cell of a stored scoreline; 0 off the grid."""
     inside = home_goals.between(0, max_goals) & away_goals.between(0, max_goals)

@@ -98,3 +98,27 @@ def neighbours(
         *[F.when(F.col("__last"), F.lead(e).over(whole)).otherwise(F.col(n)).alias(n) for n, e in following.items()],
     )
     return marked.filter("NOT (__first OR __last)").select(*fixed.columns).unionByName(fixed)
+
+
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, grain_us: int = DAY_US
+) -> DataFrame:
+    """Add the last non-NULL `value` at or before each row of its key, in `order` (bigint instant first).
+
+    Two levels as above: inside a bucket by a window, across buckets by the
+    last value of each bucket.
+    """
+    bucketed = df.withColumn("__bucket", F.floor(F.col(order[0]) / F.lit(grain_us)))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        bucketed.groupBy(*keys, "__bucket")
+        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
+        .select(*keys, "__bucket", F.last("__last", ignorenulls=True).over(across).alias("__before"))
+    )
+    return (
+        bucketed.withColumn("__here", F.last(value, ignorenulls=True).over(inside))
+        .join(last, [*keys, "__bucket"])
+        .withColumn(name, F.coalesce("__here", "__before"))
+        .drop("__bucket", "__here", "__before")
+    )

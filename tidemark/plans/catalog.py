@@ -3,5 +3,6 @@
 from tidemark.plans import (  # noqa: F401
     q_evaluation,
     q_forecast,
+    q_temporal,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
