@@ -3,6 +3,7 @@
 from tidemark.plans import (  # noqa: F401
     q_evaluation,
     q_forecast,
+    q_ingest,
     q_temporal,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
