@@ -36,8 +36,7 @@ def clean_text(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """Blank and malformed give NULL; tell them apart with `is_bad_int`."""
-    cleaned = clean_text(text)
-    return F.when(cleaned.rlike(r"^[+-]?\d+$"), cleaned.try_cast("int"))
+    return clean_text(text).try_cast("int")
 
 
 def is_bad_int(text: Column) -> Column:

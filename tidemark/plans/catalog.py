@@ -3,7 +3,9 @@
 from tidemark.plans import (  # noqa: F401
     q_evaluation,
     q_forecast,
+    q_identity,
     q_ingest,
+    q_odds,
     q_temporal,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

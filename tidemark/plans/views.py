@@ -188,6 +188,7 @@ def with_views(names: Iterable[str], body: str) -> str:
         add(name)
     ctes = [f"{name} AS ({SQL_VIEWS[name]})" for name in ordered]
     body = body.strip()
+    start = "WITH RECURSIVE " if "FROM it WHERE" in body else "WITH "
     if body.startswith("+"):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[1:].strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        return start + ",\n".join(ctes) + ",\n" + body[1:].strip()
+    return start + ",\n".join(ctes) + "\n" + body
