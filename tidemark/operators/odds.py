@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.operators.ordered import carry_forward, choose_grain, earlier_totals, neighbours
 from tidemark.operators.temporal import as_of, content_differs, current_rows
@@ -81,21 +84,30 @@ def devig_additive(raw: Column, overround: Column) -> Column:
     return F.transform(raw, lambda p: p - (overround - 1) / F.size(raw))
 
 
-def _bisect(low: float, high: float, too_small) -> Column:
-    """Fixed-step bisection; `too_small(x)` is true while the root lies above x."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+def _solve(raw: pd.Series, low: float, high: float, total_at) -> pd.Series:
+    """Root of a falling total(x) = 1 for every market of a batch at once; short markets are padded with zeros."""
+    width = int(raw.map(len).max())
+    p = np.stack([np.pad(np.asarray(r, dtype=float), (0, width - len(r))) for r in raw])
+    lo, hi = np.full(len(p), low), np.full(len(p), high)
+    for _ in range(SOLVER_STEPS):
+        mid = (lo + hi) / 2
+        above = total_at(p, mid[:, None]).sum(1) > 1
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return pd.Series((lo + hi) / 2, index=raw.index)
 
-    def step(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        above = too_small(mid)
-        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SOLVER_STEPS)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
+@F.pandas_udf(DoubleType())
+def power_exponent(raw: pd.Series) -> pd.Series:
+    """k with sum(p^k) = 1; the sum falls as k grows."""
+    return _solve(raw, 0.01, 50.0, lambda p, k: np.where(p > 0, np.power(p, k), 0.0))
 
 
-def power_exponent(raw: Column) -> Column:
-    """k with sum(p^k) = 1; the sum falls as k grows."""
-    return _bisect(0.01, 50.0, lambda k: total(F.transform(raw, lambda p: F.pow(p, k))) > 1)
+@F.pandas_udf(DoubleType())
+def _shin_root(raw: pd.Series) -> pd.Series:
+    return _solve(
+        raw, 0.0, 0.999999,
+        lambda p, z: np.where(p > 0, (np.sqrt(z * z + 4 * (1 - z) * p * p / p.sum(1, keepdims=True)) - z) / (2 * (1 - z)), 0.0),
+    )
 
 
 def devig_power(raw: Column, exponent: Column) -> Column:
@@ -108,8 +120,7 @@ def _shin(raw: Column, overround: Column, z: Column) -> Column:
 
 def shin_share(raw: Column, overround: Column) -> Column:
     """Insider share z in [0, 1) with probabilities summing to 1; NULL without a positive margin."""
-    root = _bisect(0.0, 0.999999, lambda z: total(_shin(raw, overround, z)) > 1)
-    return F.when(overround > 1, root)
+    return F.when(overround > 1, _shin_root(raw))
 
 
 def devig_shin(raw: Column, overround: Column, z: Column) -> Column:
