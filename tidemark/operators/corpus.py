@@ -21,10 +21,12 @@ def _official(names: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _fixtures(tables: Mapping[str, DataFrame], competition: str, seasons: Sequence[str] | None, cutoff) -> DataFrame:
-    competitions = tables["competitions"].filter(F.col("slug") == competition).select("competition_id")
+def _fixtures(tables: Mapping[str, DataFrame], competition: str | None, seasons: Sequence[str] | None, cutoff) -> DataFrame:
+    competitions = tables["competitions"].select("competition_id", F.col("slug").alias("competition"))
+    if competition is not None:
+        competitions = competitions.filter(F.col("competition") == competition)
     labels = tables["seasons"] if seasons is None else tables["seasons"].filter(F.col("label").isin(*seasons))
-    named = labels.join(competitions, "competition_id").select("season_id", "label")
+    named = labels.join(competitions, "competition_id").select("season_id", "label", "competition")
     return (
         tables["fixtures"].select("fixture_id", "season_id", "home_team_id", "away_team_id")
         .join(named, "season_id")
@@ -35,9 +37,13 @@ def _fixtures(tables: Mapping[str, DataFrame], competition: str, seasons: Sequen
 
 
 def training_corpus(
-    tables: Mapping[str, DataFrame], competition: str, seasons: Sequence[str] | None, cutoff: Column | int, source: str
+    tables: Mapping[str, DataFrame], competition: str | None, seasons: Sequence[str] | None, cutoff: Column | int, source: str
 ) -> DataFrame:
-    """Trainable results of one source as known at `cutoff`, with names and valid time."""
+    """Trainable results of one source as known at `cutoff`, with names and valid time.
+
+    `competition` None takes all. The source must be named: two sources of one
+    match would train on it twice.
+    """
     results = (
         as_of(tables["results"], cutoff)
         .filter(F.col("is_trainable") & (F.col("source") == source))
@@ -48,16 +54,16 @@ def training_corpus(
         results.join(_fixtures(tables, competition, seasons, cutoff), "fixture_id")
         .withColumn("k", valid_time)
         .filter("k IS NOT NULL")
-        .select("fixture_id", F.col("label").alias("season"), "home_team", "away_team", "ft_home", "ft_away", "k")
+        .select("fixture_id", "competition", F.col("label").alias("season"), "home_team", "away_team", "ft_home", "ft_away", "k")
     )
 
 
 def eligible_fixtures(
-    tables: Mapping[str, DataFrame], competition: str, data_cutoff: Column | int, cutoff: Column | int,
+    tables: Mapping[str, DataFrame], competition: str | None, data_cutoff: Column | int, cutoff: Column | int,
     seasons: Sequence[str] | None = None, statuses: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fixtures kicking off at or after `data_cutoff`; results are never read."""
     rows = _fixtures(tables, competition, seasons, cutoff).filter(F.col("kickoff") >= data_cutoff)
     if statuses is not None:
         rows = rows.filter(F.col("status").isin(*statuses))
-    return rows.select("fixture_id", F.col("label").alias("season"), "home_team", "away_team", "kickoff", "status")
+    return rows.select("fixture_id", "competition", F.col("label").alias("season"), "home_team", "away_team", "kickoff", "status")

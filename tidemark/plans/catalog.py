@@ -3,7 +3,9 @@
 from tidemark.plans import (  # noqa: F401
     q_evaluation,
     q_forecast,
+    q_analytics,
     q_identity,
+    q_jobs,
     q_ingest,
     q_odds,
     q_temporal,

@@ -145,40 +145,40 @@ def name_valid_at(spark, sf_dir):
     return m.join(names, "home").filter(T.valid_on("valid_from", "valid_to", "day")).select("id", F.col("name").alias("home_name"))
 
 
-_TRAIN_SQL = CANONICAL_SQL + f"""SELECT r.fixture_id, CAST(m.season AS VARCHAR) AS season, concat('T', lpad(CAST(m.home AS VARCHAR), 2, '0')) AS home_team,
+_TRAIN_SQL = CANONICAL_SQL + f"""SELECT r.fixture_id, lower(m.scope) AS competition, CAST(m.season AS VARCHAR) AS season, concat('T', lpad(CAST(m.home AS VARCHAR), 2, '0')) AS home_team,
  concat('T', lpad(CAST(m.away AS VARCHAR), 2, '0')) AS away_team, r.ft_home, r.ft_away, coalesce(r.occurred_at, s.kickoff) AS k
  FROM res r JOIN m ON m.id = r.fixture_id JOIN sched s ON s.fixture_id = r.fixture_id
- WHERE {_vis(ASOF, 'r.')} AND {_vis(ASOF, 's.')} AND r.is_trainable AND m.scope = '1-URGENT'"""
+ WHERE {_vis(ASOF, 'r.')} AND {_vis(ASOF, 's.')} AND r.is_trainable"""
 
 
-@query("scan_observations", ["m"], _TRAIN_SQL + " AND m.season IN (1996, 1997)")
+@query("scan_observations", ["m"], _TRAIN_SQL + " AND m.scope = '1-URGENT' AND m.season IN (1996, 1997)")
 def scan_observations(spark, sf_dir):
     return training_corpus(canonical(spark, sf_dir), "1-urgent", ["1996", "1997"], ASOF, "A")
 
 
 @query("training_join", ["m"], _TRAIN_SQL)
 def training_join(spark, sf_dir):
-    return training_corpus(canonical(spark, sf_dir), "1-urgent", None, ASOF, "A")
+    return training_corpus(canonical(spark, sf_dir), None, None, ASOF, "A")
 
 
-_ELIGIBLE_SQL = CANONICAL_SQL + f"""SELECT m.id AS fixture_id, CAST(m.season AS VARCHAR) AS season, concat('T', lpad(CAST(m.home AS VARCHAR), 2, '0')) AS home_team,
+_ELIGIBLE_SQL = CANONICAL_SQL + f"""SELECT m.id AS fixture_id, lower(m.scope) AS competition, CAST(m.season AS VARCHAR) AS season, concat('T', lpad(CAST(m.home AS VARCHAR), 2, '0')) AS home_team,
  concat('T', lpad(CAST(m.away AS VARCHAR), 2, '0')) AS away_team, s.kickoff, s.status
- FROM m JOIN sched s ON s.fixture_id = m.id WHERE {_vis(ASOF, 's.')} AND s.kickoff >= {ASOF} AND m.scope = '1-URGENT'"""
+ FROM m JOIN sched s ON s.fixture_id = m.id WHERE {_vis(ASOF, 's.')} AND s.kickoff >= {ASOF}"""
 
 
-@query("scan_eligible", ["m"], _ELIGIBLE_SQL)
+@query("scan_eligible", ["m"], _ELIGIBLE_SQL + " AND m.scope = '1-URGENT'")
 def scan_eligible(spark, sf_dir):
     return eligible_fixtures(canonical(spark, sf_dir), "1-urgent", ASOF, ASOF)
 
 
 @query("eligible_join", ["m"], _ELIGIBLE_SQL + " AND s.status = 'scheduled'")
 def eligible_join(spark, sf_dir):
-    return eligible_fixtures(canonical(spark, sf_dir), "1-urgent", ASOF, ASOF, statuses=["scheduled"])
+    return eligible_fixtures(canonical(spark, sf_dir), None, ASOF, ASOF, statuses=["scheduled"])
 
 
 @query("season_in", ["m"], _ELIGIBLE_SQL + " AND m.season = 1998")
 def season_in(spark, sf_dir):
-    return eligible_fixtures(canonical(spark, sf_dir), "1-urgent", ASOF, ASOF, ["1998"])
+    return eligible_fixtures(canonical(spark, sf_dir), None, ASOF, ASOF, ["1998"])
 
 
 @query("role_playing_join", ["m"], """SELECT id, concat('T', lpad(CAST(home AS VARCHAR), 2, '0')) AS home_name,
