@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     q_jobs,
     q_ingest,
     q_odds,
+    q_streaming,
     q_temporal,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
