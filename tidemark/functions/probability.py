@@ -40,7 +40,8 @@ def clamp_lambda(rate: Column) -> Column:
     """Refuse what cannot be a rate, clamp what is merely extreme."""
     bad = F.isnan(rate) | (rate < 0) | (rate == F.lit(float("inf")))
     kept = F.least(F.greatest(rate, F.lit(MIN_LAMBDA)), F.lit(MAX_LAMBDA))
-    return F.when(bad, F.raise_error(F.lit("not a goal rate")).cast("double")).otherwise(kept)
+    refused = F.when(bad, F.raise_error(F.lit("not a goal rate")).cast("double"))
+    return refused.when(rate.isNotNull(), kept)
 
 
 def poisson_pmf(rate: Column, max_goals: int = MAX_GOALS) -> Column:
