@@ -128,3 +128,15 @@ def test_manifest_hash_sees_order_changes_only_in_content(spark):
     assert quality.manifest_hash(df.orderBy(F.desc("a")), ["scope"], ["a", "b"]).first().manifest == one
     changed = df.withColumn("b", F.when(F.col("a") == 3, 0).otherwise(F.col("b")))
     assert quality.manifest_hash(changed, ["scope"], ["a", "b"]).first().manifest != one
+
+
+def test_form_and_totals_agree_with_and_without_splitting(spark, sf):
+    from tidemark.operators.analytics import form_snapshot
+    from tidemark.operators.ordered import with_earlier_totals
+
+    m = views.matches(spark, sf)
+    plain, split = (form_snapshot(m, grain_us=g) for g in (None, 90 * DAY))
+    assert plain.count() == split.count() and plain.select(*sorted(plain.columns)).exceptAll(split.select(*sorted(plain.columns))).isEmpty()
+    sums = {"n": F.lit(1).cast("bigint"), "g": F.col("hg").cast("bigint")}
+    one, two = (with_earlier_totals(m, ["scope"], "k", sums, g).select("id", "n", "g") for g in (None, 30 * DAY))
+    assert one.exceptAll(two).isEmpty() and one.count() == two.count()

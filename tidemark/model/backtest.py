@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.probability import outcome_of
+from tidemark.functions.probability import outcome_of, with_markets
 from tidemark.model import metrics
 from tidemark.model.fit import BLOCK_US, fit_many
 from tidemark.model.predict import expected_goals
-from tidemark.functions.probability import with_markets
 from tidemark.model.profiles import MIN_TRAINING_MATCHES, Config
-from tidemark.operators.ordered import earlier_totals
+from tidemark.operators.ordered import earlier_totals, with_earlier_totals
 
 
 def observations_before(matches: DataFrame, cutoff: Column | int) -> DataFrame:
@@ -22,17 +21,20 @@ def observations_before(matches: DataFrame, cutoff: Column | int) -> DataFrame:
     return matches.filter(F.col("k") < bound).orderBy("k", "home", "away")
 
 
+def _window_sums() -> dict[str, Column]:
+    outcome = outcome_of(F.col("hg"), F.col("ag"))
+    wins = {f"wins_{name}": (outcome == name).cast("bigint") for name in metrics.OUTCOMES}
+    return {"training_matches": F.lit(1).cast("bigint"), **wins}
+
+
 def training_window(matches: DataFrame) -> DataFrame:
     """Per (scope, k): number and 1X2 counts of strictly earlier matches."""
-    outcome = outcome_of(F.col("hg"), F.col("ag"))
+    return earlier_totals(matches, ["scope"], "k", _window_sums())
 
-    def hits(name: str) -> Column:
-        return (outcome == name).cast("bigint")
 
-    return earlier_totals(matches, ["scope"], "k", {
-        "training_matches": F.lit(1).cast("bigint"),
-        "wins_home": hits("home"), "wins_draw": hits("draw"), "wins_away": hits("away"),
-    })
+def with_training_window(matches: DataFrame) -> DataFrame:
+    """The same on every match."""
+    return with_earlier_totals(matches, ["scope"], "k", _window_sums())
 
 
 def with_class_frequency(window: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from tidemark.operators.ordered import carry_forward, choose_grain, earlier_tota
 from tidemark.operators.temporal import as_of, content_differs, current_rows
 
 SOLVER_STEPS = 60
+# Selections that make a market whole.
+MARKET_WIDTH = {"1x2": 3, "over_under": 2, "btts": 2, "asian_handicap": 2}
 
 
 def _latest(ticks: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -127,25 +129,31 @@ def devig_shin(raw: Column, overround: Column, z: Column) -> Column:
     return F.when(z.isNotNull(), _shin(raw, overround, z))
 
 
-def consensus(quotes: DataFrame, market: Sequence[str], max_age_us: int | None = None, now: Column | None = None) -> DataFrame:
+def consensus(quotes: DataFrame, market: Sequence[str], width: Column, max_age_us: int | None = None, now: Column | None = None) -> DataFrame:
     """Fair probability per selection over books: remove each book's margin, average log-odds, renormalise.
 
     `quotes`: market keys (exact period, type and line), book, selection, price
-    (double), is_available, observed_at. Suspended quotes, stale ones and books
-    without the whole market are left out.
+    (double), is_available, observed_at. `width` is the number of selections
+    that make the market whole. Suspended quotes, stale ones and books without
+    the whole market are left out. Lists hold one market's selections only.
     """
     fresh = quotes.filter("is_available AND price IS NOT NULL")
     if max_age_us is not None:
         fresh = fresh.filter(now - F.col("observed_at") <= max_age_us)
-    width = quotes.groupBy(*market).agg(F.count_distinct("selection").alias("__width"))
-    book = fresh.groupBy(*market, "book").agg(F.sum(1 / F.col("price")).alias("__over"), F.count(F.lit(1)).alias("__n"))
-    whole = book.join(width, list(market)).filter("__n = __width").select(*market, "book", "__over")
-    fair = fresh.join(whole, [*market, "book"]).withColumn("p", 1 / F.col("price") / F.col("__over"))
+    book = fresh.withColumn("__width", width).groupBy(*market, "book").agg(
+        F.sum(1 / F.col("price")).alias("__over"), F.count(F.lit(1)).alias("__n"), F.max("__width").alias("__width"),
+        F.collect_list(F.struct("selection", "price")).alias("__q"),
+    ).filter("__n = __width")
+    fair = book.select(*market, "__over", F.explode("__q").alias("q")).select(
+        *market, "q.selection", (1 / F.col("q.price") / F.col("__over")).alias("p")
+    )
     odds = fair.groupBy(*market, "selection").agg(
         F.avg(F.ln(F.col("p") / (1 - F.col("p")))).alias("l"), F.count(F.lit(1)).alias("books")
     ).withColumn("p", 1 / (1 + F.exp(-F.col("l"))))
-    scale = odds.groupBy(*market).agg(F.sum("p").alias("__sum"))
-    return odds.join(scale, list(market)).select(*market, "selection", "books", (F.col("p") / F.col("__sum")).alias("p_fair"))
+    whole = odds.groupBy(*market).agg(F.sum("p").alias("__sum"), F.collect_list(F.struct("selection", "books", "p")).alias("__s"))
+    return whole.select(*market, "__sum", F.explode("__s").alias("s")).select(
+        *market, "s.selection", "s.books", (F.col("s.p") / F.col("__sum")).alias("p_fair")
+    )
 
 
 def edge(p_model: Column, p_fair: Column) -> Column:

@@ -12,21 +12,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+AUTO = "auto"
 DAY_US = 86_400_000_000
 ROWS_PER_TASK = 5_000_000
 
 
 def earlier_totals(
-    df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int = DAY_US
+    df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int | str | None = AUTO
 ) -> DataFrame:
     """Per (scope, at): the sum of each expression over rows of the scope with a strictly smaller `at`.
 
     Equal instants never see each other. Rows are combined per instant before
-    the shuffle, then summed inside a bucket and across buckets.
+    the shuffle. If every scope fits a task one window follows; otherwise sums
+    run inside a time bucket and across buckets.
     """
-    names = list(sums)
-    scope = list(scope)
+    names, scope = list(sums), list(scope)
+    if grain_us == AUTO:
+        grain_us = choose_grain(df, scope, at)
     instant = df.groupBy(*scope, at).agg(*[F.sum(expr).alias(n) for n, expr in sums.items()])
+    if grain_us is None:
+        before = Window.partitionBy(*scope).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return instant.select(*scope, at, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names])
     instant = instant.withColumn("__bucket", F.floor(F.col(at) / F.lit(grain_us)))
     inside = Window.partitionBy(*scope, "__bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*scope).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,6 +50,18 @@ def earlier_totals(
     )
 
 
+def with_earlier_totals(
+    df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int | str | None = AUTO
+) -> DataFrame:
+    """Every row with the totals of strictly earlier rows of its scope: one window, or a join to the bucketed totals."""
+    if grain_us == AUTO:
+        grain_us = choose_grain(df, scope, at)
+    if grain_us is not None:
+        return df.join(earlier_totals(df, scope, at, sums, grain_us), [*scope, at])
+    before = Window.partitionBy(*scope).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[F.coalesce(F.sum(expr).over(before), F.lit(0)).alias(n) for n, expr in sums.items()])
+
+
 def choose_grain(df: DataFrame, keys: Sequence[str], at: str, rows_per_task: int = ROWS_PER_TASK) -> int | None:
     """None when every key fits one task, else a bucket width that splits the largest key.
 

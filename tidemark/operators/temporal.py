@@ -13,9 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import choose_grain, neighbours
-
-AUTO = "auto"
+from tidemark.operators.ordered import AUTO, choose_grain, neighbours
 
 
 def _column(value: Column | str) -> Column:

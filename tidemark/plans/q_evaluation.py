@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.probability import decay_weight, outcome_of, with_markets
 from tidemark.model import backtest, metrics
 from tidemark.model.profiles import CANDIDATES, MAX_BRIER_COST, MIN_LOG_LOSS_GAIN, MIN_TRAINING_MATCHES, PROFILES
-from tidemark.operators.ordered import earlier_totals
+from tidemark.operators.ordered import earlier_totals, neighbours, with_earlier_totals
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 
@@ -41,9 +41,8 @@ FREQ_LOSS, FREQ_BRIER = _loss("fh", "fd", "fa"), _brier("fh", "fd", "fa")
 
 def frequency_rows(spark, sf_dir) -> DataFrame:
     """Every match with its class-frequency forecast from strictly earlier matches of its scope."""
-    m = views.matches(spark, sf_dir)
-    window = backtest.with_class_frequency(backtest.training_window(m))
-    return m.join(window, ["scope", "k"]).withColumn("outcome", outcome_of(F.col("hg"), F.col("ag")))
+    rows = backtest.with_class_frequency(backtest.with_training_window(views.matches(spark, sf_dir)))
+    return rows.withColumn("outcome", outcome_of(F.col("hg"), F.col("ag")))
 
 
 @query("class_frequency", ["m"], WINDOW_SQL + f"""SELECT id, n AS training_matches, {sql_scaled('fh')} AS p_home,
@@ -101,8 +100,8 @@ def calibration(spark, sf_dir):
  FROM win""")
 def training_size(spark, sf_dir):
     m = views.matches(spark, sf_dir)
-    window = earlier_totals(m, ["scope"], "k", {"training_matches": F.lit(1).cast("bigint")})
-    return m.join(window, ["scope", "k"]).select(
+    rows = with_earlier_totals(m, ["scope"], "k", {"training_matches": F.lit(1).cast("bigint")})
+    return rows.select(
         "id", "training_matches", (F.col("training_matches") >= MIN_TRAINING_MATCHES).alias("predictable")
     )
 
@@ -110,10 +109,10 @@ def training_size(spark, sf_dir):
 @query("prefix_join", ["m"], WINDOW_SQL + "SELECT id, n AS earlier, sh AS goals_home, sa AS goals_away FROM win")
 def prefix_join(spark, sf_dir):
     m = views.matches(spark, sf_dir)
-    window = earlier_totals(m, ["scope"], "k", {
+    rows = with_earlier_totals(m, ["scope"], "k", {
         "earlier": F.lit(1).cast("bigint"), "goals_home": F.col("hg").cast("bigint"), "goals_away": F.col("ag").cast("bigint"),
     })
-    return m.join(window, ["scope", "k"]).select("id", "earlier", "goals_home", "goals_away")
+    return rows.select("id", "earlier", "goals_home", "goals_away")
 
 
 @query("appearances", ["m"], """+ side AS (SELECT scope, home AS team, k FROM m UNION ALL SELECT scope, away, k FROM m),
@@ -354,8 +353,6 @@ def rho_summary(spark, sf_dir):
 @query("sign_changes", ["m"], _RHO_SQL + """, f AS (SELECT *, lag(rho) OVER (PARTITION BY scope ORDER BY cutoff) AS p FROM r)
  SELECT scope, cutoff, (p IS NOT NULL AND (p > 0) <> (rho > 0)) AS flipped FROM f""")
 def sign_changes(spark, sf_dir):
-    from tidemark.operators.ordered import neighbours
-
     out = neighbours(rho_series(spark, sf_dir), ["scope"], ["cutoff"], previous={"p": F.col("rho")})
     return out.select("scope", "cutoff", F.coalesce((F.col("p") > 0) != (F.col("rho") > 0), F.lit(False)).alias("flipped"))
 

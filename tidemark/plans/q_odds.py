@@ -156,7 +156,7 @@ _CONS_SQL = _RAW_SQL + """, f AS (SELECT id, unnest(['home', 'draw', 'away']) AS
 
 
 def _consensus(spark, sf_dir) -> DataFrame:
-    return O.consensus(quotes(spark, sf_dir), ["id"], 15 * 60 * 1_000_000, F.lit(CUT))
+    return O.consensus(quotes(spark, sf_dir), ["id"], F.lit(O.MARKET_WIDTH["1x2"]), 15 * 60 * 1_000_000, F.lit(CUT))
 
 
 @query("consensus", ["books"], _CONS_SQL + f"SELECT id, selection, books, {sql_scaled('p_fair', 8)} AS p_fair FROM c")
