@@ -78,7 +78,7 @@ def test_split_keys_give_the_same_neighbours_and_totals(spark):
     data = [("hot" if random.random() < 0.6 else f"k{i % 5}", random.randrange(0, 40 * DAY, DAY // 4), i, random.randrange(9)) for i in range(600)]
     df = spark.createDataFrame(data, "key string, at bigint, id bigint, v int")
     take = dict(previous={"p": F.col("v")}, following={"n": F.col("v")})
-    plain = neighbours(df, ["key"], ["at", "id"], **take)
+    plain = neighbours(df, ["key"], ["at", "id"], grain_us=None, **take)
     split = neighbours(df, ["key"], ["at", "id"], grain_us=3 * DAY, **take)
     assert rows(plain, "id") == rows(split.select(*plain.columns), "id")
     got = {(r.key, r["at"]): r.s for r in earlier_totals(df, ["key"], "at", {"s": F.col("v")}).collect()}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import neighbours
+
 OUTCOMES = ("home", "draw", "away")
 EPS = 1e-15
 
@@ -70,8 +72,8 @@ def low_score_cells(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def rho_summary(fits: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distribution of the fitted dependence parameter over cutoffs, with sign changes in time order."""
-    order = Window.partitionBy(*by).orderBy("cutoff")
-    flips = fits.filter("rho IS NOT NULL").withColumn("__prev", F.lag("rho").over(order)).withColumn(
+    ordered = neighbours(fits.filter("rho IS NOT NULL"), by, ["cutoff"], previous={"__prev": F.col("rho")})
+    flips = ordered.withColumn(
         "__flip", (F.col("__prev").isNotNull() & ((F.col("__prev") > 0) != (F.col("rho") > 0))).cast("bigint")
     )
     return flips.groupBy(*by).agg(
@@ -92,15 +94,15 @@ def rho_by_year(fits: DataFrame, by: Sequence[str]) -> DataFrame:
 def select_candidate(slices: DataFrame, baseline: str, min_gain: float, max_brier_cost: float) -> DataFrame:
     """One row: the simplest candidate clearing both bars on the given slices, or NULL.
 
-    `slices`: candidate, complexity, log_loss, brier, one row per candidate.
+    `slices`: candidate, complexity, log_loss, brier, one row per candidate, so
+    the list gathered here is as long as the candidate grid.
     """
-    base = slices.filter(F.col("candidate") == baseline).select(
-        F.col("log_loss").alias("base_loss"), F.col("brier").alias("base_brier")
-    )
-    qualifies = (
-        (F.col("candidate") != baseline)
-        & (F.col("base_loss") - F.col("log_loss") >= min_gain)
-        & (F.col("brier") - F.col("base_brier") <= max_brier_cost)
-    )
-    ranked = slices.join(F.broadcast(base.limit(1)), F.lit(True)).filter(qualifies)
-    return ranked.agg(F.min_by("candidate", F.struct("complexity", "log_loss")).alias("selected"))
+    listed = slices.agg(F.collect_list(F.struct("candidate", "complexity", "log_loss", "brier")).alias("all"))
+    base = F.get(F.filter("all", lambda c: c["candidate"] == baseline), F.lit(0))
+    qualifying = F.filter("all", lambda c: (
+        (c["candidate"] != baseline)
+        & (base["log_loss"] - c["log_loss"] >= min_gain)
+        & (c["brier"] - base["brier"] <= max_brier_cost)
+    ))
+    ranked = F.transform(qualifying, lambda c: F.struct(c["complexity"], c["log_loss"], c["candidate"].alias("candidate")))
+    return listed.select(F.array_min(ranked)["candidate"].alias("selected"))

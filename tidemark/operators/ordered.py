@@ -84,15 +84,17 @@ def neighbours(
     order: Sequence[str],
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
-    grain_us: int | None = None,
+    grain_us: int | str | None = AUTO,
 ) -> DataFrame:
     """Add `previous` / `following` expressions taken from the row before / after within the key.
 
-    `order[0]` is a bigint instant; the remaining columns break ties. With
-    `grain_us` set, keys are cut into buckets and only bucket edges are ordered
-    across the whole key.
+    `order[0]` is a bigint instant; the remaining columns break ties. With a
+    `grain_us` (by default chosen from the largest key) keys are cut into
+    buckets and only bucket edges are ordered across the whole key.
     """
     previous, following = previous or {}, following or {}
+    if grain_us == AUTO:
+        grain_us = choose_grain(df, keys, order[0])
     whole = Window.partitionBy(*keys).orderBy(*order)
     if grain_us is None:
         return df.select(

@@ -9,6 +9,7 @@ from tidemark.functions.probability import decay_weight, outcome_of, with_market
 from tidemark.model import backtest, metrics
 from tidemark.model.profiles import CANDIDATES, MAX_BRIER_COST, MIN_LOG_LOSS_GAIN, MIN_TRAINING_MATCHES, PROFILES
 from tidemark.operators.ordered import earlier_totals, neighbours, with_earlier_totals
+from tidemark.operators.shape import bounded
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 
@@ -158,7 +159,7 @@ _HALF_LIVES = sorted({c.half_life for c in PROFILES.values() if c.half_life})
  FROM m JOIN last USING (scope) CROSS JOIN (VALUES (30.0), (90.0), (180.0), (365.0)) AS h(hl)""")
 def decay_weights(spark, sf_dir):
     m = views.matches(spark, sf_dir)
-    last = m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff"))
+    last = bounded(m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff")))
     lives = F.explode(F.array(*[F.lit(h) for h in _HALF_LIVES])).alias("hl")
     return m.join(last, "scope").select("id", "k", "cutoff", lives).select(
         "id", F.col("hl").cast("int").alias("half_life"),
@@ -175,7 +176,7 @@ def decay_weights(spark, sf_dir):
 def model_profiles(spark, sf_dir):
     """The weight mass each named profile gives the corpus at its last cutoff."""
     m = views.matches(spark, sf_dir)
-    last = m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff"))
+    last = bounded(m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff")))
     # Seven weighted sums in one pass, then one row per profile: the matches are never repeated.
     aged = m.join(last, "scope").withColumn("age", F.col("cutoff") - F.col("k"))
     sums = aged.groupBy("scope").agg(

@@ -10,6 +10,7 @@ from tidemark.model import backtest, metrics
 from tidemark.model.fit import fit_many, pair_cells, ratings_of
 from tidemark.model.predict import expected_goals, league_baseline, predict
 from tidemark.model.profiles import CANDIDATES, MIN_TRAINING_MATCHES, PROFILES, Config
+from tidemark.operators.shape import bounded
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 
@@ -158,7 +159,7 @@ def moment_fits(spark, sf_dir) -> DataFrame:
     )
     # One entry per team of a scope; team 7 is left out to play the unseen team.
     arrays = team.groupBy("scope").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return scope.join(arrays, "scope").select(
+    return bounded(scope.join(arrays, "scope")).select(
         "scope", F.ln("ga").alias("mu"), F.ln(F.col("gh") / F.col("ga")).alias("home_advantage"),
         F.col("t.team").alias("teams"), F.col("t.att").alias("attack"), F.col("t.def").alias("defence"),
         F.col("t.n").alias("matches"), F.lit(-0.04).alias("rho"),
@@ -227,7 +228,7 @@ def _expected_by_pair(spark, sf_dir) -> DataFrame:
     m = views.matches(spark, sf_dir)
     fits = season_fits(spark, sf_dir)
     halves = list(dict.fromkeys(c.half_life for c in ALL_RATED))
-    cut = season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
+    cut = bounded(season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs")))
     seen = F.explode(F.filter("cutoffs", lambda c: c > F.col("k"))).alias("cutoff")
     pairs = pair_cells(m).join(cut, "scope").select("scope", "k", "home", "away", "n", seen)
     half = F.explode(F.array(*[
@@ -254,15 +255,21 @@ def fit_ratings(spark, sf_dir):
     """First-order conditions per team: weighted goals = fitted goals + ridge * rating, for every season-end fit."""
     rated = _expected_by_pair(spark, sf_dir)
     ridge = ALL_RATED[0].ridge
-    side = rated.select("half", "scope", "cutoff", F.explode(F.array(
-        F.struct(F.col("home").alias("team"), (F.col("w") * F.col("lambda_home")).alias("f"), (F.col("w") * F.col("lambda_away")).alias("a")),
-        F.struct(F.col("away").alias("team"), (F.col("w") * F.col("lambda_away")).alias("f"), (F.col("w") * F.col("lambda_home")).alias("a")),
-    )).alias("s")).groupBy("half", "scope", "cutoff", "s.team").agg(F.sum("s.f").alias("f"), F.sum("s.a").alias("a"))
-    ratings = ratings_of(season_fits(spark, sf_dir), min_matches=1)
-    return side.join(ratings, ["half", "scope", "cutoff", "team"]).select(
-        "half", "scope", "cutoff", "team", F.col("matches").cast("bigint").alias("matches"),
-        scaled(F.col("f") + ridge * F.col("attack"), 5).alias("scored"),
-        scaled(F.col("a") - ridge * F.col("defence"), 5).alias("conceded"),
+
+    def rating(team: str, values: str):
+        return F.get(F.col(values), F.array_position("teams", F.col(team)).cast("int") - 1)
+
+    def own(team: str, scored: str, conceded: str):
+        return F.struct(
+            F.col(team).alias("team"), (F.col("w") * F.col(scored)).alias("f"), (F.col("w") * F.col(conceded)).alias("a"),
+            rating(team, "attack").alias("attack"), rating(team, "defence").alias("defence"), rating(team, "matches").alias("n"),
+        )
+
+    sides = F.explode(F.array(own("home", "lambda_home", "lambda_away"), own("away", "lambda_away", "lambda_home"))).alias("s")
+    return rated.select("half", "scope", "cutoff", sides).groupBy("half", "scope", "cutoff", "s.team").agg(
+        F.max("s.n").cast("bigint").alias("matches"),
+        scaled(F.sum("s.f") + ridge * F.max("s.attack"), 5).alias("scored"),
+        scaled(F.sum("s.a") - ridge * F.max("s.defence"), 5).alias("conceded"),
     )
 
 
@@ -283,7 +290,7 @@ def estimate_rho(spark, sf_dir):
     """The low-score log likelihood has slope zero at the fitted rho, and rho is feasible for every training match."""
     m = views.matches(spark, sf_dir)
     fits = season_fits(spark, sf_dir).filter("half = 0")
-    cut = season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
+    cut = bounded(season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs")))
     seen = F.explode(F.filter("cutoffs", lambda c: c > F.col("k"))).alias("cutoff")
     counts = pair_cells(m).join(cut, "scope").select("*", seen).groupBy("scope", "cutoff", "home", "away").agg(
         *[F.sum(c).alias(c) for c in ("w00", "w01", "w10", "w11")]
@@ -351,9 +358,11 @@ def frozen_benchmark(spark, sf_dir):
     """The control's counts on this corpus; they must reproduce exactly."""
     m = views.matches(spark, sf_dir)
     report = backtest.backtest_report(backtest.walk_forward(m, [PROFILES["control"]]))
-    total = m.agg(F.count(F.lit(1)).alias("total"))
-    return report.crossJoin(F.broadcast(total)).select(
-        "predictions", "fits", (F.col("total") - F.col("predictions")).alias("skipped"), "first_prediction", "last_prediction"
+    counts = ["predictions", "fits", "first_prediction", "last_prediction"]
+    total = m.agg(F.count(F.lit(1)).alias("total")).select("total", *[F.lit(None).cast("bigint").alias(c) for c in counts])
+    merged = report.select(F.lit(None).cast("bigint").alias("total"), *counts).unionByName(total)
+    return merged.agg(
+        *[F.max(c).alias(c) for c in counts], (F.max("total") - F.max("predictions")).alias("skipped")
     )
 
 

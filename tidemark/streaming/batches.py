@@ -110,16 +110,13 @@ def late_rows_step(at: str, window_us: int) -> Step:
     """Count on-time and late rows per window against the newest instant seen in earlier batches."""
 
     def step(held: DataFrame | None, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        spark = rows.sparkSession
-        mark = held if held is not None else spark.range(1).select(F.lit(None).cast("bigint").alias("mark"))
-        # One row: the watermark reached so far.
-        marked = rows.join(F.broadcast(mark.agg(F.max("mark").alias("mark"))), F.lit(True))
-        late = F.coalesce(F.col(at) < F.col("mark"), F.lit(False))
+        mark = None if held is None else held.first().mark
+        late = F.coalesce(F.col(at) < F.lit(mark).cast("bigint"), F.lit(False))
         window = (F.floor(F.col(at) / F.lit(window_us)) * window_us).alias("window")
-        counts = marked.groupBy(window).agg(
+        counts = rows.groupBy(window).agg(
             F.sum((~late).cast("bigint")).alias("on_time"), F.sum(late.cast("bigint")).alias("late")
         ).withColumn("batch_id", F.lit(batch_id))
-        newest = rows.agg(F.max(at).alias("mark")).unionByName(mark.select("mark")).agg(F.max("mark").alias("mark"))
+        newest = rows.agg(F.greatest(F.max(at), F.lit(mark).cast("bigint")).alias("mark"))
         return counts, newest
 
     return step
