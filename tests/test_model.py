@@ -172,6 +172,12 @@ def test_uniform_forecast_scores(spark):
     assert r.l == pytest.approx(math.log(3)) and r.b == pytest.approx(2 / 3)
 
 
+def test_combined_candidate_takes_the_best_decay(spark):
+    report = spark.createDataFrame([(c.name, loss) for c, loss in zip(CANDIDATES, (0.9, 1.1, 1.0, 0.98, 0.99, 0.5, 0.4))], "candidate string, log_loss double")
+    chosen = backtest.combined_candidate(report, CANDIDATES)
+    assert (chosen.half_life, chosen.dixon_coles, chosen.complexity) == (180.0, True, 2)
+
+
 def test_unknown_profile_is_refused():
     with pytest.raises(KeyError):
         profile("best")

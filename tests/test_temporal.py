@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import odds, quality
+from tidemark.operators import odds, quality, sql_functions
 from tidemark.operators import temporal as T
 from tidemark.operators.ordered import carry_forward, choose_grain, earlier_totals, neighbours
 from tidemark.plans import views
@@ -114,6 +114,9 @@ def test_filter_on_knowledge_time_reaches_the_scan(spark, folder, sf):
     plan = T.as_of(spark.read.parquet(path), 1705276800000000).select("p1")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(known_at,1705276800000000)" in plan
     assert "event_id" not in plan
+    sql_functions.register(spark, {"stored": spark.read.parquet(path)})
+    plan = spark.sql("SELECT p1 FROM stored_as_of(1705276800000000)")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(known_at,1705276800000000)" in plan
 
 
 def test_visibility_is_spelled_once():

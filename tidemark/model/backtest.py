@@ -135,3 +135,11 @@ def cold_start_by_season(scored: DataFrame, by: Sequence[str] = ("candidate", "s
         .groupBy(*by)
         .agg(F.countDistinct("id").alias("cold_predictions"), F.array_sort(F.collect_set("team")).alias("teams"))
     )
+
+
+def combined_candidate(report: DataFrame, candidates: Sequence[Config]) -> Config:
+    """The decay candidate with the best walk-forward log loss, joined with the low-score correction."""
+    decays = {c.name: c for c in candidates if c.half_life is not None and not c.dixon_coles}
+    best = report.filter(F.col("candidate").isin(*decays)).agg(F.min_by("candidate", "log_loss").alias("best")).first().best
+    chosen = decays[best]
+    return Config(f"G. decay {chosen.half_life:g}d + DC", chosen.half_life, True, chosen.complexity + 1)

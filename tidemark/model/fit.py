@@ -21,7 +21,7 @@ from tidemark.model.profiles import Config
 
 DAY_US = 86_400_000_000
 BLOCK_US = 90 * DAY_US
-SOLVE_CELLS = 2_000_000
+SOLVE_CELLS = 250_000
 
 FLAT = ("n", "hg", "ag", "lg")
 WEIGHTED = ("wn", "wh", "wa", "w00", "w01", "w10", "w11")
@@ -108,8 +108,12 @@ def _decay(gap_us, half_life: float | None):
     return np.power(0.5, np.asarray(gap_us, dtype=float) / DAY_US / half_life)
 
 
-def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int):
-    """Per kept cutoff of the block: the pairing sums over strictly earlier kickoffs."""
+def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int, cells: int):
+    """Teams, pairings, and batches of (cutoffs, flat sums, weighted sums) over strictly earlier kickoffs.
+
+    A batch holds at most `cells` team-by-team cells, so memory does not grow
+    with the number of cutoffs in the block.
+    """
     rows = pdf[pdf.kind < 2]
     cutoffs = np.sort(pdf.loc[pdf.kind == 2, "at"].to_numpy(dtype=np.int64))
     home, away = rows.home.to_numpy(), rows.away.to_numpy()
@@ -119,31 +123,38 @@ def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int
     pairs, slot = np.unique(pair, return_inverse=True)
     flat = rows[list(FLAT)].to_numpy(dtype=float)
     weighted = rows[list(WEIGHTED)].to_numpy(dtype=float)
-    at = rows["at"].to_numpy(dtype=np.int64)
-    kind = rows.kind.to_numpy()
-    kept, out_flat, out_weighted = [], [], []
-    u = np.zeros((len(pairs), len(FLAT)))
-    w = np.zeros((len(pairs), len(WEIGHTED)))
-    start = kind == 0
-    clock = cutoffs[0] if len(cutoffs) else 0
-    np.add.at(u, slot[start], flat[start])
-    np.add.at(w, slot[start], weighted[start] * _decay(clock - at[start], half_life)[:, None])
-    order = np.flatnonzero(~start)
-    order = order[np.argsort(at[order], kind="stable")]
-    times, done = at[order], 0
-    for cutoff in cutoffs:
-        w *= _decay(cutoff - clock, half_life)
-        clock = cutoff
-        upto = int(np.searchsorted(times, cutoff, "left"))
-        fresh = order[done:upto]
-        np.add.at(u, slot[fresh], flat[fresh])
-        np.add.at(w, slot[fresh], weighted[fresh] * _decay(cutoff - at[fresh], half_life)[:, None])
-        done = upto
-        if u[:, 0].sum() >= max(min_training, 1):
-            kept.append(cutoff)
-            out_flat.append(u.copy())
-            out_weighted.append(w.copy())
-    return teams, pairs, kept, out_flat, out_weighted
+    at, kind = rows["at"].to_numpy(dtype=np.int64), rows.kind.to_numpy()
+    limit = max(1, cells // max(1, size * size))
+
+    def batches():
+        kept, out_flat, out_weighted = [], [], []
+        u, w = np.zeros((len(pairs), len(FLAT))), np.zeros((len(pairs), len(WEIGHTED)))
+        start = kind == 0
+        clock = cutoffs[0] if len(cutoffs) else 0
+        np.add.at(u, slot[start], flat[start])
+        np.add.at(w, slot[start], weighted[start] * _decay(clock - at[start], half_life)[:, None])
+        order = np.flatnonzero(~start)
+        order = order[np.argsort(at[order], kind="stable")]
+        times, done = at[order], 0
+        for cutoff in cutoffs:
+            w *= _decay(cutoff - clock, half_life)
+            clock = cutoff
+            upto = int(np.searchsorted(times, cutoff, "left"))
+            fresh = order[done:upto]
+            np.add.at(u, slot[fresh], flat[fresh])
+            np.add.at(w, slot[fresh], weighted[fresh] * _decay(cutoff - at[fresh], half_life)[:, None])
+            done = upto
+            if u[:, 0].sum() >= max(min_training, 1):
+                kept.append(cutoff)
+                out_flat.append(u.copy())
+                out_weighted.append(w.copy())
+            if len(kept) == limit:
+                yield kept, np.stack(out_flat), np.stack(out_weighted)
+                kept, out_flat, out_weighted = [], [], []
+        if kept:
+            yield kept, np.stack(out_flat), np.stack(out_weighted)
+
+    return teams, pairs, batches()
 
 
 def _solve(flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: float, max_sweeps: int) -> dict:
@@ -291,16 +302,13 @@ def fit_many(
 
     def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
         index, scope = int(pdf.half.iloc[0]), pdf.scope.iloc[0]
-        teams, pairs, kept, flats, weights = _training_sums(pdf, halves[index], min_training)
+        teams, pairs, batches = _training_sums(pdf, halves[index], min_training, SOLVE_CELLS)
         frames = []
         size = len(teams)
-        chunk = max(1, SOLVE_CELLS // max(1, size * size))
-        for lo in range(0, len(kept), chunk):
-            part = kept[lo: lo + chunk]
+        for part, flats, weights in batches:
             flat = np.zeros((len(part), size * size, len(FLAT)))
             weighted = np.zeros((len(part), size * size, len(WEIGHTED)))
-            flat[:, pairs] = np.stack(flats[lo: lo + chunk])
-            weighted[:, pairs] = np.stack(weights[lo: lo + chunk])
+            flat[:, pairs], weighted[:, pairs] = flats, weights
             flat = flat.reshape(len(part), size, size, -1)
             weighted = weighted.reshape(len(part), size, size, -1)
             fit = _solve(flat, weighted, shared.ridge, shared.tolerance, shared.max_sweeps)

@@ -1,7 +1,8 @@
 """Bitemporal reads and writes.
 
 A revision is visible from `known_at` (inclusive) to `superseded_at`
-(exclusive). The rule is written once, in `visible_at`; everything else calls it.
+(exclusive). The rule is written here only, as text and as a column; everything
+else calls it.
 Writes never change a payload: a revision is closed at its successor's
 `known_at`, so exactly one revision of a key is visible at every instant.
 """
@@ -20,8 +21,12 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# The single definition of visibility, over the names known_at, superseded_at and cutoff.
+VISIBLE_SQL = "known_at <= cutoff AND (superseded_at IS NULL OR superseded_at > cutoff)"
+
+
 def visible_at(known: Column | str, superseded: Column | str, cutoff: Column | int) -> Column:
-    """The single definition of visibility. A NULL cutoff keeps nothing."""
+    """VISIBLE_SQL for DataFrame columns. A NULL cutoff keeps nothing."""
     cutoff = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
     known, superseded = _column(known), _column(superseded)
     return (known <= cutoff) & (superseded.isNull() | (superseded > cutoff))

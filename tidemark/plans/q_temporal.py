@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import quality, sql_functions
 from tidemark.operators import temporal as T
 from tidemark.operators.corpus import eligible_fixtures, training_corpus
 from tidemark.plans import views
@@ -83,6 +83,13 @@ def current_rows(spark, sf_dir):
     return T.current_rows(history(spark, sf_dir)).select("key_id", "source", "p1", "known_at")
 
 
+@query("sql_as_of", ["rev"], f"SELECT source, count(*) AS n, CAST(sum(p1) AS BIGINT) AS p1 FROM rev WHERE {_vis(CUT)} GROUP BY source")
+def sql_as_of(spark, sf_dir):
+    """The same read through the SQL table function."""
+    sql_functions.register(spark, {"fact_history": history(spark, sf_dir)})
+    return spark.sql(f"SELECT source, count(*) AS n, sum(p1) AS p1 FROM fact_history_as_of({CUT}) GROUP BY source")
+
+
 @query("as_of_multi_cutoff", ["rev"], "SELECT c AS cutoff, key_id, source, count(*) AS revisions, max(p1) AS p1 FROM rev JOIN (VALUES "
        + ", ".join(f"({c})" for c in CUTS) + f") AS x(c) ON {_vis('c')} GROUP BY ALL")
 def as_of_multi_cutoff(spark, sf_dir):
