@@ -55,6 +55,13 @@ def month_cutoffs(matches: DataFrame) -> DataFrame:
     return matches.select("scope", month.alias("cutoff")).distinct()
 
 
+def _with_league(fits: DataFrame) -> DataFrame:
+    """Each fit with the 1X2 triple of its level and home edge alone."""
+    rates = fits.withColumns({"league_home": F.exp(F.col("mu") + F.col("home_advantage")), "league_away": F.exp("mu")})
+    triple = [f"league_p_{name}" for name in metrics.OUTCOMES]
+    return with_markets(rates, "league_home", "league_away", prefix="league_").select(*fits.columns, *triple)
+
+
 def walk_forward(
     matches: DataFrame,
     candidates: Sequence[Config],
@@ -76,6 +83,8 @@ def walk_forward(
         matches = matches.withColumn("cutoff", F.col("k"))
         cutoffs = distinct_cutoffs(matches)
     fits = fit_many(matches, candidates, cutoffs, min_training, block_us).filter("usable")
+    # The league baseline depends on the fit alone, so it is derived per fit and not per scored row.
+    fits = _with_league(fits)
     listed = F.array(*[
         F.struct(
             F.lit(c.name).alias("candidate"), F.lit(c.complexity).alias("complexity"),
@@ -83,9 +92,7 @@ def walk_forward(
         ) for c in candidates
     ])
     rated = expected_goals(matches.join(fits, ["scope", "cutoff"]), candidates[0].min_matches)
-    rated = rated.withColumns({
-        "league_home": F.exp(F.col("mu") + F.col("home_advantage")), "league_away": F.exp("mu"),
-    }).drop("teams", "attack", "defence", "matches")
+    rated = rated.drop("teams", "attack", "defence", "matches")
     own = F.filter(listed, lambda c: c["half"] == F.col("half"))
     rows = rated.withColumn("c", F.explode(own)).withColumns({
         "candidate": F.col("c.candidate"), "complexity": F.col("c.complexity"),
@@ -95,14 +102,13 @@ def walk_forward(
     if skip_cold_start:
         rows = rows.filter(F.size("cold_started") == 0)
     scored = with_markets(rows, rho="rho")
-    league = with_markets(scored, "league_home", "league_away", prefix="league_")
     window = with_class_frequency(training_window(matches)).drop("training_matches", "wins_home", "wins_draw", "wins_away")
     keep = [
         "candidate", "complexity", "id", "scope", "season", "k", "cutoff", "home", "away", "hg", "ag", "outcome",
         "training_matches", "lambda_home", "lambda_away", "rho", "cold_started",
         "p_home", "p_draw", "p_away", "low_score", "league_p_home", "league_p_draw", "league_p_away",
     ]
-    return league.select(*keep).join(window, ["scope", "k"])
+    return scored.select(*keep).join(window, ["scope", "k"])
 
 
 def backtest_report(scored: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
