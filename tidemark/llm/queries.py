@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, quality
+from tidemark.llm import bpe, decontaminate, langid, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = langid.fold(F.col("doc_id"), 3)
     found = langid.predict(docs, langid.learn(docs.filter(part != 1)))
     return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _owned(docs: DataFrame) -> DataFrame:
+    """Documents name a source: it is the owner, and its texts of one language are a repository of it."""
+    return docs.withColumn("repository", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))))
+
+
+@query("op2_secrets", secrets.ORACLE)
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_owned(table(spark, sf_dir, "documents")), "repository", "source"))
+
+
+@query("op4_decontaminate", decontaminate.ORACLE)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
