@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, quality, secrets
+from tidemark.llm import bpe, decontaminate, langid, quality, secrets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontaminate", decontaminate.ORACLE)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op1_jaccard", similar.ORACLE)
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
