@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, quality, secrets, similar
+from tidemark.llm import bpe, decontaminate, langid, quality, repeats, secrets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard", similar.ORACLE)
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_repeats", repeats.ORACLE)
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
