@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, quality, repeats, secrets, similar
+from tidemark.llm import bpe, decontaminate, langid, lm, quality, repeats, secrets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,9 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_repeats", repeats.ORACLE)
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
+
+
+@query("op6_lm")
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = langid.fold(F.col("doc_id"), 10)
+    return lm.score(table(spark, sf_dir, "documents"), part == 0, part == 1)
