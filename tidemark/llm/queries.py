@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, lm, quality, repeats, secrets, similar
+from tidemark.llm import bpe, decontaminate, langid, licenses, lm, nearest, quality, repeats, secrets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,20 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = langid.fold(F.col("doc_id"), 10)
     return lm.score(table(spark, sf_dir, "documents"), part == 0, part == 1)
+
+
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its candidate blocks, the confirmed licenses and the blocks as start:end:license."""
+    scanned = licenses.scan(table(spark, sf_dir, "documents"))
+    named = F.filter(F.transform("blocks", lambda b: b["license"]), lambda x: x.isNotNull())
+    written = F.transform("blocks", lambda b: F.concat_ws(":", b["start"].cast("string"), b["end"].cast("string"), F.coalesce(b["license"], F.lit("?"))))
+    return scanned.select(
+        "doc_id", F.size("blocks").cast("long").alias("n_blocks"), F.size(named).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("licenses"), F.array_join(written, ",").alias("blocks"),
+    )
+
+
+@query("op10_nearest", nearest.ORACLE)
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
