@@ -109,6 +109,14 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str,
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def drop(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs without any hit, with all their columns."""
+    uid = F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))
+    marked = docs.withColumn("_uid", uid)
+    found = stored(find(marked, items, text, keep=("_uid",)).filter("n_hit > 0").select("_uid").distinct())
+    return marked.join(small_side(found, 16), "_uid", "left_anti").select(*docs.columns)
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -190,12 +190,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, text: str = "text",
     return fit([np.frombuffer(r["features"], "<u4") for r in sample], posterior(ones, seen, share, says))
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the columns `keep`, p_clean, p_junk, p_toxic and rejected (p_clean under one half).
-
-    A null or empty text has the features of a text without words and is scored like any other. Rows are independent:
-    repeated rows get equal scores, null keys pass through, and other columns of docs are not read, whatever their names.
-    """
+def _rated(docs: DataFrame, weights: np.ndarray, text: str, keep: tuple[str, ...]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # 3 x (2^BITS + 1)
     taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
 
@@ -213,5 +208,19 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[
             yield pa.RecordBatch.from_arrays(arrays, [*[f"k{i}" for i in range(len(keep))], "p_clean", "p_junk", "p_toxic", "rejected"])
 
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(taken.schema.fields[:-1]))
-    rows = taken.mapInArrow(run, f"{kinds}, p_clean double, p_junk double, p_toxic double, rejected boolean")
-    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "p_clean", "p_junk", "p_toxic", "rejected")
+    return taken.mapInArrow(run, f"{kinds}, p_clean double, p_junk double, p_toxic double, rejected boolean")
+
+
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns `keep`, p_clean, p_junk, p_toxic and rejected (p_clean under one half).
+
+    A null or empty text has the features of a text without words and is scored like any other. Rows are independent:
+    repeated rows get equal scores, null keys pass through, and other columns of docs are not read, whatever their names.
+    """
+    return _rated(docs, weights, text, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "p_clean", "p_junk", "p_toxic", "rejected")
+
+
+def clean(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns."""
+    kept = _rated(docs, weights, text, tuple(docs.columns)).filter(~F.col("rejected"))
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -54,14 +54,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
 
 
-def _owned(docs: DataFrame) -> DataFrame:
-    """Documents name a source: it is the owner, and its texts of one language are a repository of it."""
-    return docs.withColumn("repository", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))))
-
-
 @query("op2_secrets", secrets.ORACLE)
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(_owned(table(spark, sf_dir, "documents")), "repository", "source"))
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), secrets.repository_of_source(), F.col("source")))
 
 
 @query("op4_decontaminate", decontaminate.ORACLE)

@@ -42,7 +42,7 @@ def _hits(kind: int, pattern: str, group: int) -> Column:
     return F.when(F.col("t").rlike(pattern), F.filter(rows, lambda x: x["value"].isNotNull())).otherwise(none)
 
 
-def scan(docs: DataFrame, repository: str, owner: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), common_owners: int = COMMON_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), common_owners: int = COMMON_OWNERS) -> DataFrame:
     """One row per row of docs: the columns `keep`, rid (a row number), and spans, an array of (start, kind, end, live)
     sorted by start and kind, kind being a place in KINDS, offsets in code points with the end exclusive.
 
@@ -52,7 +52,7 @@ def scan(docs: DataFrame, repository: str, owner: str, text: str = "text", keep:
     """
     taken = docs.select(
         F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
     found = F.concat(_hits(0, ASSIGN, 1), _hits(1, ACCESS, 0), _hits(2, HEX, 0), _hits(3, KEY, 0))
@@ -77,6 +77,11 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def repository_of_source() -> Column:
+    """Documents name a source: it is the owner, and its texts of one language are a repository of it."""
+    return F.concat(F.coalesce(F.col("source"), F.lit("")), F.lit("/"), F.coalesce(F.col("lang"), F.lit("")))
+
+
 def digests(scanned: DataFrame) -> DataFrame:
     """Counts per kind, the digest of the base spans, all spans as text, and how many look live or copied."""
     spans = F.col("spans")
@@ -94,17 +99,30 @@ def digests(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, repository: str, owner: str, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs, with every span of the text replaced by a mark; overlapping spans become one. Other columns are unchanged."""
-    columns = docs.columns
-    found = scan(docs, repository, owner, text, keep=tuple(columns))
-    ends = F.aggregate("spans", F.array(F.lit(0).cast("long")), lambda done, s: F.concat(done, F.array(F.greatest(F.element_at(done, -1), s["end"]))))
-    zipped = F.arrays_zip(F.col("spans").alias("s"), F.col("done").alias("d"))
-    gap = lambda x: F.when(x["s"]["start"] >= x["d"], F.concat(F.substring(F.col(text), x["d"] + 1, x["s"]["start"] - x["d"]), F.lit(mark))).otherwise("")
-    pieces = F.transform(F.filter(zipped, lambda x: x["s"].isNotNull()), gap)
-    tail = F.substring(F.col(text), F.element_at("done", -1) + 1, F.length(text))
-    cleaned = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return found.withColumn("done", ends).withColumn("_cleaned", cleaned).select(*[F.col("_cleaned").alias(c) if c == text else F.col(c) for c in columns])
+def redact(docs: DataFrame, repository: Column, owner: Column, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """docs, with every span of the text replaced by a mark; spans that overlap become one. Other columns are unchanged.
+
+    Texts without a candidate pass by; only the others are stored and joined with their spans.
+    """
+    any_kind = F.lit(False)
+    for pattern in (ASSIGN, ACCESS, HEX, KEY):
+        any_kind = any_kind | F.coalesce(F.col(text), F.lit("")).rlike(pattern)
+    touched = stored(docs.filter(any_kind).withColumn("_row", F.monotonically_increasing_id()))
+    named = touched.select("_row", F.col(text).alias("_text"), repository.alias("_repository"), owner.alias("_owner"))
+    found = scan(named, F.col("_repository"), F.col("_owner"), "_text", keep=("_row",)).select("_row", F.col("spans").alias("_spans"))
+    begin = F.aggregate("_spans", F.array(F.lit(0).cast("long")), lambda done, s: F.concat(done, F.array(F.greatest(F.element_at(done, -1), s["end"]))))
+    numbers = F.sequence(F.lit(1), F.size("_spans"))
+    cut = touched.join(found, "_row").withColumn("_done", begin)
+
+    def piece(i: Column) -> Column:
+        """The text before a span, and the mark; nothing where an earlier span reaches over its start."""
+        start, done = F.element_at("_spans", i)["start"], F.element_at("_done", i)
+        gap = F.substring(F.col(text), (done + 1).cast("int"), (start - done).cast("int"))
+        return F.when((i == 1) | (start >= done), F.concat(gap, F.lit(mark))).otherwise("")
+
+    tail = F.substring(F.col(text), (F.element_at("_done", -1) + 1).cast("int"), F.length(text))
+    cleaned = F.when(F.size("_spans") > 0, F.concat(F.array_join(F.transform(numbers, piece), ""), tail)).otherwise(F.col(text))
+    return docs.filter(~any_kind).unionByName(cut.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns]))
 
 
 _SPLIT = "SELECT rid, source, lang, {kind} AS kind, '{name}' AS name, unnest(range(1, len(m) + 1)) AS i, string_split_regex(t, {pattern}) AS gaps, m, v FROM (SELECT *, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {group}) AS v FROM d)"

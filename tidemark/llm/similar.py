@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
@@ -165,8 +165,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: `key`, print (a fingerprint of the text), n_shingles, and component_id, the smallest key
-    that links reach; two rows link when their sets have a Jaccard similarity of at least percent / 100.
+    """One row per row of docs: `key`, uid (a fingerprint of key and text), n_shingles, component_id, the smallest key that
+    links reach, and component, a number of the component; two rows link when their sets have a Jaccard similarity of at least percent / 100.
 
     A null or empty text, or one without words, has an empty set, is linked with nothing and is a component of its own.
     Equal sets are linked, so repeated rows and ties share a component. A row whose key is null takes part and gets the
@@ -175,12 +175,12 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     """
     spark = docs.sparkSession
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    taken = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    taken = docs.select(F.col(key).alias("k"), _uid(key, text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columnar.blocks(batches, "t", 4 << 20):
             _, n, classes = _sets(block, words)
-            yield pa.RecordBatch.from_arrays([block.column("k").combine_chunks(), block.column("print").combine_chunks(), pa.array(n), pa.array(classes.view(np.int64))], ["k", "print", "n", "class"])
+            yield pa.RecordBatch.from_arrays([block.column("k").combine_chunks(), block.column("uid").combine_chunks(), pa.array(n), pa.array(classes.view(np.int64))], ["k", "uid", "n", "class"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columnar.blocks(batches, "t"):
@@ -190,7 +190,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
             yield _pack([sets[i] for i in first], classes[first], buckets)
 
     kind = taken.schema["k"].dataType.simpleString()
-    rows = stored(taken.mapInArrow(sizes, f"k {kind}, print long, n long, class long"))
+    rows = stored(taken.mapInArrow(sizes, f"k {kind}, uid long, n long, class long"))
     classes = rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("k").alias("least"))
     shared = taken.select("t").mapInArrow(packed, "bucket int, packed binary").groupBy("bucket").applyInArrow(_shared, "class long, tokens binary, powers binary")
     parts = shared.groupBy("class").agg(F.collect_list(F.struct("tokens", "powers")).alias("parts"))  # of one document
@@ -231,10 +231,28 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     roots = components(links)
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(least, "root").select("class", "component")
+    reached = placed.groupBy("root").agg(F.min("least").alias("component"))
+    named = placed.join(reached, "root").select("class", "root", "component")
     joined = rows.join(named, (rows["class"] == named["class"]) & (rows["n"] > 0), "left")
-    return joined.select(F.col("k").alias(key), "print", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"))
+    smallest = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k"))
+    return joined.select(F.col("k").alias(key), "uid", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.col("root").alias("component"))
+
+
+def _uid(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs of which one stands for each component: the one with the smallest key, null keys last.
+
+    Rows without words are linked with nothing and all stay. Of repeated rows one stays.
+    """
+    wordy = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    joined = join(docs, text, key).filter("n_shingles > 0")
+    first = joined.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "uid")).alias("first"))
+    chosen = first.select(F.col("first.uid").alias("_uid"))
+    kept = docs.filter(wordy).withColumn("_uid", _uid(key, text)).join(chosen, "_uid", "left_semi").dropDuplicates(["_uid"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~wordy))
 
 
 ORACLE = """
