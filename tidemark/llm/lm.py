@@ -254,6 +254,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     vocabulary, rest_vocabulary = int(n[code == -1].sum()), int(n[code == -2].sum())
     real = code >= 0
     weights = learn_weights(code[real] >> 18, n[real], rows["two"].to_numpy(float)[real] / n[real], rows["one"].to_numpy(float)[real] / n[real], 1 / (rest_vocabulary + 1))
+    if not n_train:
+        weights[:] = 1.0, 0.0, 0.0
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columnar.blocks(batches, "t"):

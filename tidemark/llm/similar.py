@@ -77,7 +77,7 @@ def _sets(block: pa.Table, words: int) -> tuple[list[np.ndarray], np.ndarray, np
 
 def _pack(sets: list[np.ndarray], classes: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row per bucket: its number, and how many classes, the classes, their counts, and the shingles' low 48 bits."""
-    counts = np.array([len(x) for x in sets])
+    counts = np.array([len(x) for x in sets], np.int64)
     tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), counts)
     bucket = ((tokens >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
