@@ -22,7 +22,7 @@ from tidemark.llm import columnar
 
 FIT_ROWS = 12_000
 BITS = 18
-SIGMAS = 4.0
+SIGMAS, LIFT = 4.0, 3.0
 CLASSES = ("clean", "junk", "toxic")
 LABELLERS = ("repeats", "symbols", "capitals", "shouts", "menus", "insults", "annotated_low", "annotated_toxic")
 
@@ -109,17 +109,18 @@ def posterior(ones: np.ndarray, seen: np.ndarray, share: np.ndarray, says: np.nd
 
 
 def telling(feature: np.ndarray, row: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Which of the (row, feature) pairs have a feature whose classes differ from the rows' own beyond chance.
+    """Which of the (row, feature) pairs have a feature that marks a class.
 
-    The count of each class among a feature's rows is held against its expectation; `SIGMAS` standard deviations count.
+    A class must be found among the feature's rows `LIFT` times as often as among all rows, and more often than chance
+    allows by `SIGMAS` standard deviations; frequent words that only lean a little one way would add up to noise.
     """
     total = np.bincount(feature, minlength=1 << BITS).astype(float)
-    far = np.zeros(1 << BITS)
+    marks = np.zeros(1 << BITS, bool)
     for c, share in enumerate(target.mean(axis=0)):
         expected = total * share
-        spread = np.sqrt(np.maximum(expected * (1 - share), 0.25))
-        far = np.maximum(far, np.abs(np.bincount(feature, target[row, c], minlength=1 << BITS) - expected) / spread)
-    return ((far > SIGMAS) & (total > 1))[feature]
+        found = np.bincount(feature, target[row, c], minlength=1 << BITS)
+        marks |= (found - expected > SIGMAS * np.sqrt(np.maximum(expected * (1 - share), 0.25))) & (found > LIFT * expected)
+    return (marks & (total > 1))[feature]
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 150, rate: float = 0.3, shrink: float = 2e-5) -> np.ndarray:
