@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that a task works on at once; a longer text makes a block of its own.
+#: Bytes of text whose results a task gathers before it sends them; a longer text makes a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Bytes that are fingerprinted at once, at some tens of bytes of memory each; a longer text makes a piece of its own.
+PIECE_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -121,7 +123,10 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, size: int = BLOCK_BYTES
         yield pa.Table.from_batches(held)
 
 
-def int64(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values (0 where null) and the mask of nulls."""
-    nulls = pc.is_null(column).to_numpy()
-    return pc.fill_null(column, 0).to_numpy().astype(np.int64, copy=False), nulls
+def pieces(offs: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` bytes each."""
+    at, n = 0, len(offs) - 1
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
+        yield at, stop
+        at = stop

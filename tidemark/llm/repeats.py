@@ -75,6 +75,17 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.nda
     }
 
 
+def block_anchors(data: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """anchors() of a block of texts, piece by piece."""
+    parts = []
+    for i, j in columnar.pieces(offs):
+        found = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+        found["doc"] = found["doc"] + i
+        found["first"], found["at"] = found["first"] + offs[i], found["at"] + offs[i]
+        parts.append(found)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
 class Ranges:
     """Splitters of the sort key, and the keys that fill whole ranges."""
 
@@ -245,7 +256,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in columnar.blocks(batches, "t", 4 << 20):
             data, offs = columnar.utf8(block.column("t"))
-            found = anchors(data, offs, length)
+            found = block_anchors(data, offs, length)
             order = np.lexsort((columnar.mix(found["context"].astype(np.uint64)), found["doc"]))
             doc = found["doc"][order]
             nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -260,7 +271,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
             data, offs = columnar.utf8(block.column("t"))
             ids, tags = _ids(block)
             rank = _rank(ids, tags)
-            found = anchors(data, offs, length)
+            found = block_anchors(data, offs, length)
             doc = found["doc"]
             once = np.zeros(len(ids), bool)
             once[np.unique(rank, return_index=True)[1]] = True  # repeated rows are one document
@@ -286,7 +297,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     marks = stored(judged.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open")))  # of one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 8 << 20):
+        for block in columnar.blocks(batches, "t", 2 << 20):
             data, offs = columnar.utf8(block.column("t"))
             ids, tags = _ids(block)
             lists = [np.frombuffer(b"".join(x), "<u4").reshape(-1, 4) for x in block.column("open").to_pylist()]
