@@ -53,6 +53,13 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return all_words, (columnar.mix(before) >> np.uint64(48)).astype(np.int64), owner
 
 
+def block_tokens(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a block of texts, piece by piece."""
+    data, offs = columnar.utf8(block.column("t"))
+    parts = [(i, tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in columnar.pieces(offs)]
+    return np.concatenate([x[0] for _, x in parts]), np.concatenate([x[1] for _, x in parts]), np.concatenate([x[2] + i for i, x in parts])
+
+
 def _buckets(words: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of fingerprints, so words in order have buckets in order."""
     return ((words >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
@@ -110,6 +117,19 @@ def _fields(packed: bytes, sizes: list[int], kinds: list[str], start: int) -> li
     return out
 
 
+def _numbered(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of several blocks, and the word number of each of their entries, four bytes each."""
+    distinct, number = np.unique(np.concatenate(names), return_inverse=True)
+    return distinct, np.repeat(number.astype(np.int32), np.concatenate(counts))
+
+
+def _ordered(number: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of entries by word number and slot, and both as one key in that order."""
+    pair = number.astype(np.int64) * SLOTS + slot
+    order = np.argsort(pair, kind="stable")
+    return order, pair[order]
+
+
 def _summed(number: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(number, weights, minlength=n).astype(np.int64)
 
@@ -120,13 +140,13 @@ def _histogram(slots_of_rest: np.ndarray, rest_tokens: int):
         parts = []
         for x in table.column("packed").to_pylist():
             w, p = np.frombuffer(x, "<u4", 2).tolist()
-            names, count, slot, total, deleted = _fields(x, [w, w, p, p, p], ["<u8", "<u4", "<u2", "<u4", "<u4"], 8)
-            parts.append((np.repeat(names, count), slot.astype(np.int64), total.astype(np.int64), deleted.astype(np.int64)))
-        words, slots, total, deleted = (np.concatenate(x) for x in zip(*parts))
-        order, names, number, slot = _grouped(words, slots)
-        total, deleted = total[order], deleted[order]
-        new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (slot[1:] != slot[:-1])]))
-        total, deleted, number, slot = np.add.reduceat(total, new), np.add.reduceat(deleted, new), number[new], slot[new]
+            parts.append(_fields(x, [w, w, p, p, p], ["<u8", "<u4", "<u2", "<u4", "<u4"], 8))
+        names, count, slot, total, deleted = zip(*parts)
+        names, number = _numbered(list(names), list(count))
+        order, pair = _ordered(number, np.concatenate(slot))
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        total, deleted = (np.add.reduceat(np.concatenate(x).astype(np.int64)[order], new) for x in (total, deleted))
+        number, slot = pair[new] // SLOTS, pair[new] % SLOTS
         rest = total - deleted
         of_word = _summed(number, rest, len(names))
         context = slots_of_rest[slot]
@@ -174,25 +194,25 @@ def learn_weights(level: np.ndarray, n: np.ndarray, two: np.ndarray, one: np.nda
 def _scored(slot_counts: np.ndarray, n_train: int, vocabulary: int, weights: np.ndarray):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Of one bucket: per document its tokens, known tokens and both sums of logarithms."""
-        uid, learned, parts, base = [], [], [], 0
+        parts, base = [], 0
         for x in table.column("packed").to_pylist():
-            w, t, d = np.frombuffer(x, "<u4", 3).tolist()
-            names, count, slot, doc, ids, flags = _fields(x, [w, w, t, t, d, d], ["<u8", "<u4", "<u2", "<u4", "<i8", "u1"], 12)
-            parts.append((np.repeat(names, count), slot, (doc + base).astype(np.int32)))
-            uid.append(ids), learned.append(flags)
+            w, n, d = np.frombuffer(x, "<u4", 3).tolist()
+            names, count, slot, doc, ids, flags = _fields(x, [w, w, n, n, d, d], ["<u8", "<u4", "<u2", "<u4", "<i8", "u1"], 12)
+            parts.append((names, count, slot, (doc + base).astype(np.int32), ids, flags))
             base += d
-        words, slots, doc = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        uid, learned = np.concatenate(uid), np.concatenate(learned).astype(bool)
-        order, names, number, slot = _grouped(words, slots)
-        del words, slots
-        doc = doc[order]
+        names, count, slot, doc, uid, learned = zip(*parts)
+        names, number = _numbered(list(names), list(count))
+        order, key_of = _ordered(number, np.concatenate(slot))
+        del number, slot
+        uid, learned, doc = np.concatenate(uid), np.concatenate(learned).astype(bool), np.concatenate(doc)[order]
+        del parts, order
         teach = learned[doc]
-        of_word = _summed(number, teach, len(names))
-        new = np.concatenate([[True], (number[1:] != number[:-1]) | (slot[1:] != slot[:-1])])
-        pair = np.cumsum(new) - 1
+        new = np.concatenate([[True], key_of[1:] != key_of[:-1]])
+        of_word = _summed((key_of // SLOTS).astype(np.int32), teach, len(names))
+        number, slot = key_of[new] // SLOTS, key_of[new] % SLOTS
+        pair = (np.cumsum(new) - 1).astype(np.int32)
+        del key_of
         of_pair = _summed(pair, teach, int(pair[-1]) + 1)
-        number, slot = number[new], slot[new]
         context = slot_counts[slot]
         l0, l1, l2 = weights[_level(context)].T
         p = l2 * of_pair / np.maximum(context, 1) + l1 * of_word[number] / max(1, n_train) + l0 / (vocabulary + 1)
@@ -229,7 +249,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rest = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         for block in columnar.blocks(batches, "t", 4 << 20):
-            _, slot, owner = tokens(*columnar.utf8(block.column("t")))
+            _, slot, owner = block_tokens(block)
             total += np.bincount(slot, minlength=SLOTS)
             rest += np.bincount(slot[~block.column("deleted").to_numpy()[owner]], minlength=SLOTS)
         there = np.flatnonzero(total)
@@ -242,8 +262,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     n_train = int(total.sum())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t"):
-            words, slot, owner = tokens(*columnar.utf8(block.column("t")))
+        for block in columnar.blocks(batches, "t", 8 << 20):
+            words, slot, owner = block_tokens(block)
             rows = list(_pack_pairs(words, slot, block.column("deleted").to_numpy()[owner], buckets))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "packed": pa.array([x[1] for x in rows], pa.binary())})
 
@@ -258,8 +278,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
         weights[:] = 1.0, 0.0, 0.0
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t"):
-            words, slot, owner = tokens(*columnar.utf8(block.column("t")))
+        for block in columnar.blocks(batches, "t", 8 << 20):
+            words, slot, owner = block_tokens(block)
             uid, held = block.column("uid").to_numpy(), block.column("held").to_numpy()
             found = list(_pack_tokens(words, slot, owner, uid, ~held, buckets))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in found], pa.int32()), "packed": pa.array([x[1] for x in found], pa.binary())})
