@@ -63,12 +63,14 @@ def shingles(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np
 def _sets(block: pa.Table, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text, their numbers, and the classes: fingerprints of the sets."""
     data, offs = columnar.utf8(block.column("t"))
-    tokens, owners = shingles(data, offs, words)
-    edges = np.searchsorted(owners, np.arange(len(offs)))
     sets = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        x = np.sort(tokens[a:b])
-        sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+    for i, j in columnar.pieces(offs):
+        own = offs[i : j + 1] - offs[i]
+        tokens, owners = shingles(data[offs[i] : offs[j]], own, words)
+        edges = np.searchsorted(owners, np.arange(len(own)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            x = np.sort(tokens[a:b])
+            sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
     sizes = np.array([len(x) for x in sets], np.int64)
     sums = np.array([np.add.reduce(x, dtype=np.uint64) for x in sets], np.uint64)
     twisted = np.array([np.bitwise_xor.reduce(x * np.uint64(0x9FB21C651E98DF25)) if len(x) else 0 for x in sets], np.uint64)
