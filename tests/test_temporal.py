@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import odds, quality, sql_functions
 from tidemark.operators import temporal as T
-from tidemark.operators.ordered import carry_forward, choose_grain, earlier_totals, neighbours
+from tidemark.operators.ordered import carry_forward, earlier_totals, neighbours
 from tidemark.plans import views
 
 DAY = 86_400_000_000
@@ -65,6 +65,19 @@ def test_retraction_keeps_the_past_readable(spark):
     assert T.as_of(after, 3).count() == 1 and T.as_of(after, 4).count() == 0
 
 
+def test_a_batch_with_several_rows_of_a_key_is_chained(spark):
+    table = spark.createDataFrame([("t", None, 1, 0, 2, None), ("t", "x", 4, 0, 1, 9), ("u", "s", 7, 0, 2, None)], HISTORY)
+    batch = spark.createDataFrame(
+        [("t", None, 2, 0, 3, 1), ("t", None, 9, 0, 5, 1), ("t", None, 3, 0, 5, 2), ("t", None, 3, 0, 6, 1), ("t", None, 8, 0, 2, 1), ("v", "s", 1, 0, 1, 1)],
+        "key string, source string, home int, away int, known_at bigint, event int",
+    )
+    after = T.revise(table, batch, ["key", "source"], ["home", "away"], ["event"])
+    assert rows(after, "key", "known_at") == [
+        ("t", "x", 4, 0, 1, 9), ("t", None, 1, 0, 2, 3), ("t", None, 2, 0, 3, 5), ("t", None, 3, 0, 5, None), ("u", "s", 7, 0, 2, None), ("v", "s", 1, 0, 1, None)
+    ]
+    assert [(r.home, r.known_at) for r in T.refused(table, batch, ["key", "source"], ["home", "away"]).collect()] == [(8, 2)]
+
+
 def test_null_key_parts_match_each_other(spark):
     have = spark.createDataFrame([(1, None), (2, 2.5)], "id int, line double")
     want = spark.createDataFrame([(1, None), (2, None), (2, 2.5), (2, None)], "id int, line double")
@@ -78,14 +91,12 @@ def test_split_keys_give_the_same_neighbours_and_totals(spark):
     data = [("hot" if random.random() < 0.6 else f"k{i % 5}", random.randrange(0, 40 * DAY, DAY // 4), i, random.randrange(9)) for i in range(600)]
     df = spark.createDataFrame(data, "key string, at bigint, id bigint, v int")
     take = dict(previous={"p": F.col("v")}, following={"n": F.col("v")})
-    plain = neighbours(df, ["key"], ["at", "id"], grain_us=None, **take)
+    plain = neighbours(df, ["key"], ["at", "id"], grain_us=1 << 60, **take)
     split = neighbours(df, ["key"], ["at", "id"], grain_us=3 * DAY, **take)
     assert rows(plain, "id") == rows(split.select(*plain.columns), "id")
     got = {(r.key, r["at"]): r.s for r in earlier_totals(df, ["key"], "at", {"s": F.col("v")}).collect()}
     for key, at, _, _ in data:
         assert got[key, at] == sum(v for k, a, _, v in data if k == key and a < at)
-    assert choose_grain(df, ["key"], "at", rows_per_task=100) < 40 * DAY
-    assert choose_grain(df, ["key"], "at", rows_per_task=10_000) is None
 
 
 def test_carry_forward_matches_brute_force(spark):
@@ -138,8 +149,8 @@ def test_form_and_totals_agree_with_and_without_splitting(spark, sf):
     from tidemark.operators.ordered import with_earlier_totals
 
     m = views.matches(spark, sf)
-    plain, split = (form_snapshot(m, grain_us=g) for g in (None, 90 * DAY))
+    plain, split = (form_snapshot(m, grain_us=g) for g in (1 << 60, 9 * DAY))
     assert plain.count() == split.count() and plain.select(*sorted(plain.columns)).exceptAll(split.select(*sorted(plain.columns))).isEmpty()
     sums = {"n": F.lit(1).cast("bigint"), "g": F.col("hg").cast("bigint")}
-    one, two = (with_earlier_totals(m, ["scope"], "k", sums, g).select("id", "n", "g") for g in (None, 30 * DAY))
+    one, two = (with_earlier_totals(m, ["scope"], "k", sums, g).select("id", "n", "g") for g in (1 << 60, DAY))
     assert one.exceptAll(two).isEmpty() and one.count() == two.count()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.probability import OVER_UNDER_LINES, line_name
-from tidemark.operators.ordered import AUTO, choose_grain, earlier_totals, neighbours
+from tidemark.operators.ordered import GRAIN_US, earlier_totals, neighbours
 from tidemark.operators.temporal import history_from_log
 
 
@@ -35,12 +35,11 @@ def standings(matches: DataFrame) -> DataFrame:
     return table.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
-def form_snapshot(matches: DataFrame, last: Sequence[int] = (5, 10), grain_us: int | str | None = AUTO) -> DataFrame:
+def form_snapshot(matches: DataFrame, last: Sequence[int] = (5, 10), grain_us: int = GRAIN_US) -> DataFrame:
     """Per (scope, team, k): totals of the last n playing instants and of the season, strictly before k.
 
-    If every team fits a task these are frames over its instants. Otherwise they
-    come from running totals: the sums over the last n are the difference of two
-    of them, found by an equi-join on the instant's number.
+    They come from running totals: the sums over the last n are the difference
+    of two of them, found by an equi-join on the instant's number.
     """
     side = team_sides(matches)
     keys = ["scope", "team"]
@@ -51,17 +50,6 @@ def form_snapshot(matches: DataFrame, last: Sequence[int] = (5, 10), grain_us: i
         "home_points": (F.col("points") * F.col("at_home")).cast("bigint"),
     }
     names = list(sums)
-    if grain_us == AUTO:
-        grain_us = choose_grain(side, keys, "k")
-    if grain_us is None:
-        instant = side.groupBy(*keys, "season", "k").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-        order = Window.partitionBy(*keys).orderBy("k")
-        within = Window.partitionBy(*keys, "season").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-        return instant.select(
-            *keys, "k", "season",
-            *[F.coalesce(F.sum(x).over(order.rowsBetween(-n, -1)), F.lit(0)).alias(f"last{n}_{x}") for n in last for x in names],
-            *[F.coalesce(F.sum(x).over(within), F.lit(0)).alias(f"season_{x}") for x in names],
-        )
     running = earlier_totals(side, keys, "k", sums, grain_us)
     ordinal = earlier_totals(running.select(*keys, "k"), keys, "k", {"ordinal": F.lit(1).cast("bigint")}, grain_us)
     numbered = running.join(ordinal, [*keys, "k"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.operators.ordered import carry_forward, choose_grain, earlier_totals, neighbours
+from tidemark.operators.ordered import carry_forward, earlier_totals, neighbours
 from tidemark.operators.temporal import as_of, content_differs, current_rows
 
 SOLVER_STEPS = 60
@@ -45,8 +45,7 @@ def price_path(ticks: DataFrame) -> DataFrame:
 def change_only(ticks: DataFrame, keys: Sequence[str] = ("series_id", "source", "price_kind"), tiebreak: Sequence[str] = ("event_id",)) -> DataFrame:
     """Ticks whose price or availability differs from the series' previous tick."""
     content = F.struct("price_c", "is_available")
-    grain = choose_grain(ticks, list(keys), "observed_at")
-    out = neighbours(ticks, list(keys), ["observed_at", *tiebreak], previous={"__prev": content}, grain_us=grain)
+    out = neighbours(ticks, list(keys), ["observed_at", *tiebreak], previous={"__prev": content})
     return out.filter(F.col("__prev").isNull() | content_differs(F.col("__prev"), content)).drop("__prev")
 
 
@@ -140,7 +139,11 @@ def consensus(quotes: DataFrame, market: Sequence[str], width: Column, max_age_u
     fresh = quotes.filter("is_available AND price IS NOT NULL")
     if max_age_us is not None:
         fresh = fresh.filter(now - F.col("observed_at") <= max_age_us)
-    book = fresh.withColumn("__width", width).groupBy(*market, "book").agg(
+    # A book's latest quote of a selection stands, so repeated quotes can't pass for a whole market.
+    latest = fresh.withColumn("__width", width).groupBy(*market, "book", "selection").agg(
+        F.max(F.struct("observed_at", "price")).alias("__t"), F.max("__width").alias("__width")
+    ).select(*market, "book", "selection", "__width", F.col("__t.price").alias("price"))
+    book = latest.groupBy(*market, "book").agg(
         F.sum(1 / F.col("price")).alias("__over"), F.count(F.lit(1)).alias("__n"), F.max("__width").alias("__width"),
         F.collect_list(F.struct("selection", "price")).alias("__q"),
     ).filter("__n = __width")

@@ -1,8 +1,11 @@
 """Ordered reads (strictly-earlier totals, previous and next row) that survive hot keys.
 
-A plain window sorts a whole key in one task. Here a key is first cut into
-time buckets, the heavy step runs per (key, bucket), and only one or two rows
-per bucket are ordered per key, so one key may hold most of the data.
+A plain window sorts a whole key in one task. Here a key is always cut into
+time buckets: the heavy step runs per (key, bucket), the rows or sums at bucket
+edges go on to buckets `COARSE` times as wide, and only the edges of those are
+ordered per key. So one key may hold most of the data, and a burst inside a
+bucket is narrowed by a smaller `grain_us`. Nothing is counted beforehand and
+every size of input runs the same plan.
 """
 
 from __future__ import annotations
@@ -12,70 +15,47 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUTO = "auto"
 DAY_US = 86_400_000_000
-ROWS_PER_TASK = 5_000_000
+#: Width of a bucket unless a caller knows better: a key's rows of a month fit a task.
+GRAIN_US = 30 * DAY_US
+#: Buckets per coarse bucket.
+COARSE = 64
 
 
-def earlier_totals(
-    df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int | str | None = AUTO
-) -> DataFrame:
+def earlier_totals(df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int = GRAIN_US) -> DataFrame:
     """Per (scope, at): the sum of each expression over rows of the scope with a strictly smaller `at`.
 
     Equal instants never see each other. Rows are combined per instant before
-    the shuffle. If every scope fits a task one window follows; otherwise sums
-    run inside a time bucket and across buckets.
+    the shuffle; sums then run inside a bucket and across buckets.
     """
-    names, scope = list(sums), list(scope)
-    if grain_us == AUTO:
-        grain_us = choose_grain(df, scope, at)
+    names = list(sums)
     instant = df.groupBy(*scope, at).agg(*[F.sum(expr).alias(n) for n, expr in sums.items()])
-    if grain_us is None:
-        before = Window.partitionBy(*scope).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-        return instant.select(*scope, at, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names])
     instant = instant.withColumn("__bucket", F.floor(F.col(at) / F.lit(grain_us)))
     inside = Window.partitionBy(*scope, "__bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*scope).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = Window.partitionBy(*scope, "__coarse")
+    near = coarse.orderBy("__bucket")
+    past = (Window.unboundedPreceding, -1)
+    far = _ends(scope, F.col("__end")).rowsBetween(*past)
+    # One row per bucket: sums before it in its coarse bucket, and, handed on by the coarse buckets' last rows, before that.
     before = (
-        instant.groupBy(*scope, "__bucket")
-        .agg(*[F.sum(n).alias(n) for n in names])
-        .select(*scope, "__bucket", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"__{n}") for n in names])
-    )
-    return (
-        instant.select(
-            *scope, at, "__bucket", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in names]
-        )
-        .join(before, [*scope, "__bucket"])
-        .select(*scope, at, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
+        instant.groupBy(*scope, "__bucket").agg(*[F.sum(n).alias(n) for n in names])
+        .withColumn("__coarse", F.floor(F.col("__bucket") / F.lit(COARSE)))
+        .select("*", F.lead(F.lit(1)).over(near).isNull().alias("__end"), *[F.sum(n).over(coarse).alias(f"__all_{n}") for n in names], *[F.sum(n).over(near.rowsBetween(*past)).alias(f"__near_{n}") for n in names])
+        .select("*", *[F.when(F.col("__end"), F.sum(f"__all_{n}").over(far)).alias(f"__far_{n}") for n in names])
+        .select(*scope, "__bucket", *[(F.coalesce(F.col(f"__near_{n}"), F.lit(0)) + F.coalesce(F.max(f"__far_{n}").over(coarse), F.lit(0))).alias(f"__{n}") for n in names])
     )
+    here = instant.select(*scope, at, "__bucket", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in names])
+    return here.join(before, [*scope, "__bucket"]).select(*scope, at, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
 
 
-def with_earlier_totals(
-    df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int | str | None = AUTO
-) -> DataFrame:
-    """Every row with the totals of strictly earlier rows of its scope: one window, or a join to the bucketed totals."""
-    if grain_us == AUTO:
-        grain_us = choose_grain(df, scope, at)
-    if grain_us is not None:
-        return df.join(earlier_totals(df, scope, at, sums, grain_us), [*scope, at])
-    before = Window.partitionBy(*scope).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    return df.select("*", *[F.coalesce(F.sum(expr).over(before), F.lit(0)).alias(n) for n, expr in sums.items()])
-
+def _ends(keys: Sequence[str], end: Column) -> Window:
+    """A window over the rows of a key marked by `end` alone, in bucket order; every other row stands by itself."""
+    return Window.partitionBy(*keys, F.when(~end, F.col("__bucket"))).orderBy("__bucket")
 
-def choose_grain(df: DataFrame, keys: Sequence[str], at: str, rows_per_task: int = ROWS_PER_TASK) -> int | None:
-    """None when every key fits one task, else a bucket width that splits the largest key.
 
-    Reads only the key and time columns and returns one row to the driver.
-    """
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-        .agg(F.max(F.struct("n", (F.col("hi") - F.col("lo")).alias("span"))).alias("top"))
-        .first()
-    )
-    if row is None or row.top is None or row.top.n <= rows_per_task:
-        return None
-    return max(1, row.top.span * rows_per_task // row.top.n)
+def with_earlier_totals(df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int = GRAIN_US) -> DataFrame:
+    """Every row with the totals of strictly earlier rows of its scope."""
+    return df.join(earlier_totals(df, scope, at, sums, grain_us), [*scope, at])
 
 
 def neighbours(
@@ -84,40 +64,37 @@ def neighbours(
     order: Sequence[str],
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
-    grain_us: int | str | None = AUTO,
+    grain_us: int = GRAIN_US,
 ) -> DataFrame:
     """Add `previous` / `following` expressions taken from the row before / after within the key.
 
-    `order[0]` is a bigint instant; the remaining columns break ties. With a
-    `grain_us` (by default chosen from the largest key) keys are cut into
-    buckets and only bucket edges are ordered across the whole key.
+    `order[0]` is a bigint instant; the remaining columns break ties.
     """
     previous, following = previous or {}, following or {}
-    if grain_us == AUTO:
-        grain_us = choose_grain(df, keys, order[0])
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    if grain_us is None:
-        return df.select(
-            "*",
-            *[F.lag(e).over(whole).alias(n) for n, e in previous.items()],
-            *[F.lead(e).over(whole).alias(n) for n, e in following.items()],
-        )
-    bucketed = df.withColumn("__bucket", F.floor(F.col(order[0]) / F.lit(grain_us)))
+    sides = [("p", previous, F.lag, F.max_by), ("f", following, F.lead, F.min_by)]
+    sides = [(s, F.struct(*[e.alias(n) for n, e in wanted.items()]), list(wanted), step, edge) for s, wanted, step, edge in sides if wanted]
+    rows = df.withColumn("__bucket", F.floor(F.col(order[0]) / F.lit(grain_us)))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    marked = bucketed.select(
-        "*",
-        *[F.lag(e).over(inside).alias(n) for n, e in previous.items()],
-        *[F.lead(e).over(inside).alias(n) for n, e in following.items()],
-        F.lag(F.lit(1)).over(inside).isNull().alias("__first"),
-        F.lead(F.lit(1)).over(inside).isNull().alias("__last"),
-    )
-    edge = marked.filter("__first OR __last")
-    fixed = edge.select(
-        *df.columns,
-        *[F.when(F.col("__first"), F.lag(e).over(whole)).otherwise(F.col(n)).alias(n) for n, e in previous.items()],
-        *[F.when(F.col("__last"), F.lead(e).over(whole)).otherwise(F.col(n)).alias(n) for n, e in following.items()],
+    near = Window.partitionBy(*keys, "__coarse").orderBy("__bucket")
+    # One row per bucket with the values its edges lend to its neighbours; they pass within coarse buckets, then between.
+    edges = (
+        rows.groupBy(*keys, "__bucket").agg(*[edge(value, F.struct(*order)).alias(f"__{s}") for s, value, _, _, edge in sides])
+        .withColumn("__coarse", F.floor(F.col("__bucket") / F.lit(COARSE)))
+        .select(
+            "*", (F.lag(F.lit(1)).over(near).isNull() | F.lead(F.lit(1)).over(near).isNull()).alias("__end"),
+            *[step(f"__{s}").over(near).alias(f"__near_{s}") for s, _, _, step, _ in sides],
+        )
+        .select(
+            *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__k_bucket"),
+            *[F.coalesce(F.col(f"__near_{s}"), F.when(F.col("__end"), step(f"__{s}").over(_ends(keys, F.col("__end"))))).alias(f"__far_{s}") for s, _, _, step, _ in sides],
+        )
     )
-    return marked.filter("NOT (__first OR __last)").select(*fixed.columns).unionByName(fixed)
+    here = rows.select("*", *[step(value).over(inside).alias(f"__here_{s}") for s, value, _, step, _ in sides])
+    same = F.col("__bucket").eqNullSafe(F.col("__k_bucket"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = here.join(edges, same).select(*df.columns, *[F.coalesce(f"__here_{s}", f"__far_{s}").alias(f"__{s}") for s, *_ in sides])
+    return joined.select(*df.columns, *[F.col(f"__{s}.{n}").alias(n) for s, _, names, _, _ in sides for n in names])
 
 
 def carry_forward(
@@ -125,20 +102,26 @@ def carry_forward(
 ) -> DataFrame:
     """Add the last non-NULL `value` at or before each row of its key, in `order` (bigint instant first).
 
-    Two levels as above: inside a bucket by a window, across buckets by the
-    last value of each bucket.
+    Inside a bucket by a window, across buckets by the last value of each
+    bucket, first within coarse buckets and then across those.
     """
     bucketed = df.withColumn("__bucket", F.floor(F.col(order[0]) / F.lit(grain_us)))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        bucketed.groupBy(*keys, "__bucket")
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
-        .select(*keys, "__bucket", F.last("__last", ignorenulls=True).over(across).alias("__before"))
+    last = bucketed.groupBy(*keys, "__bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
+    last = last.withColumn("__coarse", F.floor(F.col("__bucket") / F.lit(COARSE)))
+    near = Window.partitionBy(*keys, "__coarse").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    far = (
+        last.groupBy(*keys, "__coarse").agg(F.max_by("__last", F.when(F.col("__last").isNotNull(), F.col("__bucket"))).alias("__end"))
+        .select(*keys, "__coarse", F.last("__end", ignorenulls=True).over(across).alias("__far"))
+    )
+    before = (
+        last.withColumn("__near", F.last("__last", ignorenulls=True).over(near)).join(far, [*keys, "__coarse"])
+        .select(*keys, "__bucket", F.coalesce("__near", "__far").alias("__before"))
     )
     return (
         bucketed.withColumn("__here", F.last(value, ignorenulls=True).over(inside))
-        .join(last, [*keys, "__bucket"])
+        .join(before, [*keys, "__bucket"])
         .withColumn(name, F.coalesce("__here", "__before"))
         .drop("__bucket", "__here", "__before")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import AUTO, neighbours
+from tidemark.operators.ordered import GRAIN_US, neighbours
 from tidemark.operators.temporal import content_differs, current_rows, null_safe_join
 
 
@@ -59,7 +59,7 @@ def inverted(df: DataFrame, start: str = "known_at", end: str = "superseded_at")
     return df.filter(F.col(end).isNotNull() & (F.col(end) <= F.col(start)))
 
 
-def overlapping(df: DataFrame, keys: Sequence[str], tiebreak: Sequence[str] = (), grain_us: int | str | None = AUTO) -> DataFrame:
+def overlapping(df: DataFrame, keys: Sequence[str], tiebreak: Sequence[str] = (), grain_us: int = GRAIN_US) -> DataFrame:
     """Revisions still open when the key's next revision begins."""
     out = neighbours(df, keys, ["known_at", *tiebreak], following={"next_known": F.col("known_at")}, grain_us=grain_us)
     return out.filter(

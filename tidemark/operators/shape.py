@@ -14,14 +14,3 @@ def evaluated_once(df: DataFrame) -> DataFrame:
     whole expression a second time.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
-
-
-def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Mark a side for broadcast only after counting that it has at most `rows` rows; otherwise leave the join to Spark.
-
-    For sides like one row per scope: joined by shuffle, a hot scope would
-    drag the large side into one partition.
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import AUTO, choose_grain, neighbours
+from tidemark.operators.ordered import GRAIN_US, neighbours
 
 
 def _column(value: Column | str) -> Column:
@@ -71,25 +71,19 @@ def history_from_log(
     keys: Sequence[str],
     columns: Sequence[str],
     tiebreak: Sequence[str] = (),
-    grain_us: int | str | None = AUTO,
+    grain_us: int = GRAIN_US,
 ) -> DataFrame:
     """Turn an append log into revisions with half-open intervals, dropping repeats.
 
     Of several rows of a key at one instant the last by `tiebreak` stands.
     """
-    if grain_us == AUTO:
-        grain_us = choose_grain(log, keys, "known_at")
-    order = ["known_at", *tiebreak]
-    standing = neighbours(log, keys, order, following={"__next": F.col("known_at")}, grain_us=grain_us).filter(
-        "__next IS NULL OR __next > known_at"
-    )
-    changed = neighbours(standing, keys, order, previous={"__prev": payload(columns)}, grain_us=grain_us).filter(
+    others = [c for c in log.columns if c not in keys and c != "known_at"]
+    last = F.max_by(F.struct(*others), F.struct(*tiebreak)) if tiebreak else F.max(F.struct(*others))
+    standing = log.groupBy(*keys, "known_at").agg(last.alias("__r")).select(*keys, "known_at", "__r.*").select(*log.columns)
+    changed = neighbours(standing, keys, ["known_at"], previous={"__prev": payload(columns)}, grain_us=grain_us).filter(
         F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns))
     )
-    return neighbours(
-        changed.drop("__next", "__prev"),
-        keys, order, following={"superseded_at": F.col("known_at")}, grain_us=grain_us,
-    )
+    return neighbours(changed.drop("__prev"), keys, ["known_at"], following={"superseded_at": F.col("known_at")}, grain_us=grain_us)
 
 
 def compare_revisions(
@@ -118,27 +112,34 @@ def compare_revisions(
     return joined.select("old", "new", outcome.alias("outcome"))
 
 
-def revise(table: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def revise(
+    table: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str], tiebreak: Sequence[str] = ()
+) -> DataFrame:
     """The table after one batch: equal content writes nothing, a difference closes and opens.
 
-    One shuffle on the key. Closed revisions pass through without joining.
+    A key may come several times; its rows are chained in time after the open
+    revision, the last by `tiebreak` standing for an instant. Rows that are not
+    newer than the open revision change nothing; `refused` lists them. Closed
+    revisions pass by; open ones and the batch share one shuffle on the key.
     """
-    changes = compare_revisions(table, incoming, keys, columns)
     names = [*keys, *columns, "known_at"]
-
-    def row(side: str, closed: Column) -> Column:
-        return F.struct(*[F.col(f"{side}.{n}").alias(n) for n in names], closed.alias("superseded_at"))
-
     kind = table.schema["superseded_at"].dataType
-    open_end = F.lit(None).cast(kind)
-    rows = (
-        F.when(F.col("outcome") == "created", F.array(row("new", open_end)))
-        .when(F.col("outcome") == "revised", F.array(row("old", F.col("new.known_at").cast(kind)), row("new", open_end)))
-        .otherwise(F.array(row("old", open_end)))
+    last = [F.lit(None).cast(incoming.schema[t].dataType).alias(t) for t in tiebreak]
+    both = current_rows(table).select(*names, *last, F.lit(True).alias("__open")).unionByName(
+        incoming.select(*names, *tiebreak, F.lit(False).alias("__open"))
     )
-    written = changes.select(F.explode(rows).alias("r")).select("r.*")
+    since = F.max(F.when(F.col("__open"), F.col("known_at"))).over(Window.partitionBy(*keys))
+    log = both.withColumn("__since", since).filter("__open OR __since IS NULL OR known_at > __since").drop("__open", "__since")
+    chain = history_from_log(log, keys, columns, tiebreak)
     closed = table.filter(F.col("superseded_at").isNotNull()).select(*names, "superseded_at")
-    return closed.unionByName(written)
+    return closed.unionByName(chain.select(*names, F.col("superseded_at").cast(kind).alias("superseded_at")))
+
+
+def refused(table: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of the batch that differ from the open revision of their key without being newer than it."""
+    current = current_rows(table).select(*keys, F.struct(*columns).alias("__old"), F.col("known_at").alias("__since"))
+    late = null_safe_join(incoming, current, keys, "inner").filter("known_at <= __since")
+    return late.filter(content_differs(F.col("__old"), payload(columns))).drop("__old", "__since")
 
 
 def retract(table: DataFrame, mistakes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,8 +154,12 @@ def retract(table: DataFrame, mistakes: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def insert_absent(table: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of `incoming` whose key the table lacks, one per key, NULL key parts matching each other."""
-    fresh = incoming.dropDuplicates(list(keys))
+    """Rows of `incoming` whose key the table lacks, one per key, NULL key parts matching each other.
+
+    Of several rows of a key the smallest by the other columns, in their order, stands.
+    """
+    others = [c for c in incoming.columns if c not in keys]
+    fresh = incoming.groupBy(*keys).agg(F.min(F.struct(*others)).alias("__r")).select(*keys, "__r.*").select(*incoming.columns) if others else incoming.distinct()
     known = table.select(*keys).distinct()
     return null_safe_join(fresh, known, keys, "left_anti")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.ordered import choose_grain, neighbours
+from tidemark.operators.ordered import neighbours
 from tidemark.operators.temporal import content_differs, history_from_log, payload
 
 Step = Callable[[DataFrame | None, DataFrame, int], tuple[DataFrame, DataFrame]]
@@ -82,8 +82,7 @@ def change_only_step(keys: Sequence[str], columns: Sequence[str], order: Sequenc
         fresh = rows.select(*names).withColumn("__new", F.lit(True))
         known = None if held is None else held.select(*names).withColumn("__new", F.lit(False))
         both = fresh if known is None else fresh.unionByName(known)
-        grain = choose_grain(both, list(keys), order[0])
-        marked = neighbours(both, list(keys), list(order), previous={"__prev": payload(columns)}, grain_us=grain)
+        marked = neighbours(both, list(keys), list(order), previous={"__prev": payload(columns)})
         changed = marked.filter("__new").filter(F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns)))
         last = both.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("r")).select(*keys, "r.*")
         return changed.select(*names), last.select(*names)
