@@ -179,7 +179,7 @@ def test_combined_candidate_takes_the_best_decay(spark):
 
 
 def test_unknown_profile_is_refused():
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError):
         profile("best")
 
 

@@ -173,9 +173,10 @@ def persistable_headers(entries: Column) -> Column:
 
 
 def status_to_problem(status: Column) -> Column:
-    """HTTP status -> problem kind; NULL for success."""
+    """HTTP status -> problem kind; NULL for success. A request without a status timed out."""
     return (
-        F.when(status.between(200, 299), F.lit(None).cast("string"))
+        F.when(status.isNull(), "timeout")
+        .when(status.between(200, 299), F.lit(None).cast("string"))
         .when(status.isin(401, 407), "authentication")
         .when(status == 403, "authorization")
         .when(status == 404, "not_found")

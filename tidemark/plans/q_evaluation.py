@@ -9,7 +9,6 @@ from tidemark.functions.probability import decay_weight, outcome_of, with_market
 from tidemark.model import backtest, metrics
 from tidemark.model.profiles import CANDIDATES, MAX_BRIER_COST, MIN_LOG_LOSS_GAIN, MIN_TRAINING_MATCHES, PROFILES
 from tidemark.operators.ordered import earlier_totals, neighbours, with_earlier_totals
-from tidemark.operators.shape import bounded
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 
@@ -159,7 +158,7 @@ _HALF_LIVES = sorted({c.half_life for c in PROFILES.values() if c.half_life})
  FROM m JOIN last USING (scope) CROSS JOIN (VALUES (30.0), (90.0), (180.0), (365.0)) AS h(hl)""")
 def decay_weights(spark, sf_dir):
     m = views.matches(spark, sf_dir)
-    last = bounded(m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff")))
+    last = m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff"))
     lives = F.explode(F.array(*[F.lit(h) for h in _HALF_LIVES])).alias("hl")
     return m.join(last, "scope").select("id", "k", "cutoff", lives).select(
         "id", F.col("hl").cast("int").alias("half_life"),
@@ -176,7 +175,7 @@ def decay_weights(spark, sf_dir):
 def model_profiles(spark, sf_dir):
     """The weight mass each named profile gives the corpus at its last cutoff."""
     m = views.matches(spark, sf_dir)
-    last = bounded(m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff")))
+    last = m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff"))
     # Seven weighted sums in one pass, then one row per profile: the matches are never repeated.
     aged = m.join(last, "scope").withColumn("age", F.col("cutoff") - F.col("k"))
     sums = aged.groupBy("scope").agg(
@@ -301,6 +300,7 @@ def low_score_cells(spark, sf_dir):
  SELECT candidate, count(*) AS predictions, count(DISTINCT (scope, k)) AS fits, min(k) AS first_prediction,
  max(k) AS last_prediction, {sql_scaled(f'avg({M_LOSS})', 6)} AS log_loss, {sql_scaled(f'avg({M_BRIER})', 6)} AS brier,
  {sql_scaled(f'avg({FREQ_LOSS})', 6)} AS frequency_log_loss, {sql_scaled(f'avg({FREQ_BRIER})', 6)} AS frequency_brier,
+ {sql_scaled(f'avg({M_LOSS})', 6)} AS league_log_loss, {sql_scaled(f'avg({M_BRIER})', 6)} AS league_brier,
  {sql_scaled('avg(lh)', 6)} AS mean_predicted_home, {sql_scaled('avg(la)', 6)} AS mean_predicted_away,
  {sql_scaled('avg(hg)', 6)} AS mean_actual_home, {sql_scaled('avg(ag)', 6)} AS mean_actual_away,
  CAST(sum(CASE WHEN cold THEN 1 ELSE 0 END) AS BIGINT) AS cold_start FROM j GROUP BY candidate""")
@@ -310,7 +310,7 @@ def backtest_report(spark, sf_dir):
     rows = scored.join(window.drop("training_matches"), ["scope", "k"])
     # The league baseline of a model without ratings is the model itself.
     rows = rows.withColumns({f"league_p_{o}": F.col(f"p_{o}") for o in metrics.OUTCOMES})
-    out = backtest.backtest_report(rows).drop("league_log_loss", "league_brier")
+    out = backtest.backtest_report(rows)
     whole = {"candidate", "predictions", "fits", "first_prediction", "last_prediction", "cold_start"}
     return out.select(*[F.col(c) if c in whole else scaled(c, 6).alias(c) for c in out.columns])
 

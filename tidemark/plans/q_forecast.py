@@ -10,7 +10,6 @@ from tidemark.model import backtest, metrics
 from tidemark.model.fit import fit_many, pair_cells, ratings_of
 from tidemark.model.predict import expected_goals, league_baseline, predict
 from tidemark.model.profiles import CANDIDATES, MIN_TRAINING_MATCHES, PROFILES, Config
-from tidemark.operators.shape import bounded
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 
@@ -159,7 +158,7 @@ def moment_fits(spark, sf_dir) -> DataFrame:
     )
     # One entry per team of a scope; team 7 is left out to play the unseen team.
     arrays = team.groupBy("scope").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return bounded(scope.join(arrays, "scope")).select(
+    return scope.join(arrays, "scope").select(
         "scope", F.ln("ga").alias("mu"), F.ln(F.col("gh") / F.col("ga")).alias("home_advantage"),
         F.col("t.team").alias("teams"), F.col("t.att").alias("attack"), F.col("t.def").alias("defence"),
         F.col("t.n").alias("matches"), F.lit(-0.04).alias("rho"),
@@ -228,7 +227,7 @@ def _expected_by_pair(spark, sf_dir) -> DataFrame:
     m = views.matches(spark, sf_dir)
     fits = season_fits(spark, sf_dir)
     halves = list(dict.fromkeys(c.half_life for c in ALL_RATED))
-    cut = bounded(season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs")))
+    cut = season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
     seen = F.explode(F.filter("cutoffs", lambda c: c > F.col("k"))).alias("cutoff")
     pairs = pair_cells(m).join(cut, "scope").select("scope", "k", "home", "away", "n", seen)
     half = F.explode(F.array(*[
@@ -284,24 +283,28 @@ def fit_summary(spark, sf_dir):
     )
 
 
-@query("estimate_rho", ["m"], """SELECT DISTINCT scope, epoch_us(make_timestamp(season + 1, 1, 1, 0, 0, 0)) AS cutoff,
- CAST(0 AS BIGINT) AS slope, true AS feasible FROM m""")
+@query("estimate_rho", ["m"], """SELECT DISTINCT half, scope, epoch_us(make_timestamp(season + 1, 1, 1, 0, 0, 0)) AS cutoff,
+ CAST(0 AS BIGINT) AS slope, true AS feasible FROM m CROSS JOIN (VALUES (0), (4)) h(half)""")
 def estimate_rho(spark, sf_dir):
-    """The low-score log likelihood has slope zero at the fitted rho, and rho is feasible for every training match."""
+    """The weighted low-score log likelihood has slope zero at every fitted rho, and rho is feasible for every training match."""
     m = views.matches(spark, sf_dir)
-    fits = season_fits(spark, sf_dir).filter("half = 0")
-    cut = bounded(season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs")))
+    fits = season_fits(spark, sf_dir).filter("rho IS NOT NULL")
+    halves = list(dict.fromkeys(c.half_life for c in ALL_RATED))
+    corrected = [(i, h) for i, h in enumerate(halves) if any(c.dixon_coles and c.half_life == h for c in ALL_RATED)]
+    half = F.explode(F.array(*[F.struct(F.lit(i).alias("half"), F.lit(h).cast("double").alias("hl")) for i, h in corrected])).alias("x")
+    cut = season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
     seen = F.explode(F.filter("cutoffs", lambda c: c > F.col("k"))).alias("cutoff")
-    counts = pair_cells(m).join(cut, "scope").select("*", seen).groupBy("scope", "cutoff", "home", "away").agg(
-        *[F.sum(c).alias(c) for c in ("w00", "w01", "w10", "w11")]
+    weight = P.decay_weight(F.col("cutoff") - F.col("k"), F.col("x.hl"))
+    counts = pair_cells(m).join(cut, "scope").select("*", seen).select("*", half).groupBy("x.half", "scope", "cutoff", "home", "away").agg(
+        *[F.sum(F.col(c) * weight).alias(c) for c in ("w00", "w01", "w10", "w11")]
     )
-    rated = expected_goals(counts.join(fits, ["scope", "cutoff"]), min_matches=1)
+    rated = expected_goals(counts.join(fits, ["half", "scope", "cutoff"]), min_matches=1)
     lam1, lam2, rho = F.col("lambda_home"), F.col("lambda_away"), F.col("rho")
     slope = (
         F.col("w00") * -lam1 * lam2 / (1 - lam1 * lam2 * rho) + F.col("w01") * lam1 / (1 + lam1 * rho)
         + F.col("w10") * lam2 / (1 + lam2 * rho) - F.col("w11") / (1 - rho)
     )
-    return rated.groupBy("scope", "cutoff").agg(
+    return rated.groupBy("half", "scope", "cutoff").agg(
         scaled(F.sum(slope), 5).alias("slope"), F.min(P.rho_is_valid(rho, lam1, lam2)).alias("feasible")
     )
 
@@ -373,7 +376,7 @@ def leakage_check(spark, sf_dir):
     cut = 915148800000000
 
     def forecasts(rows: DataFrame) -> DataFrame:
-        scored = backtest.walk_forward(rows, [PROFILES["production"]], grain="month")
+        scored = backtest.walk_forward(rows, [PROFILES["production"]])
         return scored.filter(F.col("k") < cut).select("id", *[scaled(c, 12).alias(c) for c in ("p_home", "p_draw", "p_away")])
 
     whole, early = forecasts(m), forecasts(m.filter(F.col("k") < cut))

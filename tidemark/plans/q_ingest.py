@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,13 +198,14 @@ def stage_filter(spark, sf_dir):
 
 
 def _meetings(spark, sf_dir) -> DataFrame:
-    return views.matches(spark, sf_dir).filter("id % 4 = 0").select(
-        "id", F.concat_ws("/", "scope", "season").alias("file"), F.col("home").alias("home_team"), F.col("away").alias("away_team"),
+    month = F.month(F.timestamp_micros("k")).cast("string")
+    return views.matches(spark, sf_dir).select(
+        "id", F.concat_ws("/", "scope", "season", month).alias("file"), F.col("home").alias("home_team"), F.col("away").alias("away_team"),
         F.lit(None).cast("string").alias("problem"),
     )
 
 
-_MEET_SQL = "+ x AS (SELECT id, concat_ws('/', scope, season) AS file, home, away FROM m WHERE id % 4 = 0), c AS (SELECT file, home, away, count(*) AS n FROM x GROUP BY ALL)\n"
+_MEET_SQL = "+ x AS (SELECT id, concat_ws('/', scope, season, month(make_timestamp(k))) AS file, home, away FROM m), c AS (SELECT file, home, away, count(*) AS n FROM x GROUP BY ALL)\n"
 
 
 @query("pairing_counts", ["m"], "SELECT scope, season, home, away, count(*) AS n, count(*) > 1 AS repeated FROM m GROUP BY ALL")
@@ -450,11 +453,11 @@ def season_bounds(spark, sf_dir):
     )
 
 
-@query("scope_union", ["m"], "SELECT id, season FROM m WHERE season IN (1995, 1997, 2001)")
+@query("scope_union", ["m"], "SELECT id, season FROM m")
 def scope_union(spark, sf_dir):
     m = views.matches(spark, sf_dir).select("id", "season")
-    parts = [m.filter(F.col("season") == year) for year in (1995, 1997, 2001)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    seasons = sorted(r.season for r in m.select("season").distinct().collect())  # calendar years
+    return functools.reduce(DataFrame.unionByName, [m.filter(F.col("season") == year) for year in seasons])
 
 
 @query("latest_n", ["m"], "SELECT scope, id AS latest, k FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY k DESC, id DESC) AS i FROM m) WHERE i = 1")

@@ -195,15 +195,15 @@ def edge_ev_kelly(spark, sf_dir):
     )
 
 
-@query("clv", ["books"], _RAW_SQL + f"""SELECT b.id, b.book, {sql_scaled('b.home_c / 100.0 * (o.h / o.w) - 1', 8)} AS clv, 'provider_closing' AS reference_kind
- FROM books b JOIN o ON o.id = b.id AND o.book = 0 WHERE b.book <> 0""")
+@query("clv", ["books"], _RAW_SQL + f""", t AS (SELECT id, book, unnest(['home', 'draw', 'away']) AS selection, unnest([home_c, draw_c, away_c]) AS c FROM books WHERE book <> 0),
+ x AS (SELECT id, unnest(['home', 'draw', 'away']) AS selection, unnest([h / w, d / w, a / w]) AS p FROM o WHERE book = 0)
+ SELECT id, book, selection, {sql_scaled('c / 100.0 * p - 1', 8)} AS clv, 'provider_closing' AS reference_kind FROM t JOIN x USING (id, selection)""")
 def clv(spark, sf_dir):
-    """Home prices of the other books against the fair closing probability of book 0; the reference kind stays with the number."""
-    close = markets(spark, sf_dir).filter("book = 0").select(
-        "id", F.get(O.devig_multiplicative(F.col("raw"), F.col("overround")), F.lit(0)).alias("p_close"),
-        F.lit("provider_closing").alias("reference_kind"),
-    )
-    taken = views.books(spark, sf_dir).filter("book <> 0").select("id", "book", (F.col("home_c") / F.lit(100.0)).alias("price"))
-    return taken.join(close, "id").select(
-        "id", "book", scaled(O.closing_line_value(F.col("price"), F.col("p_close")), 8).alias("clv"), "reference_kind"
+    """Prices of the other books against the fair closing probabilities of book 0; the reference kind stays with the number."""
+    fair = O.devig_multiplicative(F.col("raw"), F.col("overround"))
+    close = markets(spark, sf_dir).filter("book = 0").select("id", fair.alias("fair"), F.lit("provider_closing").alias("reference_kind"))
+    prices = F.array(*[F.struct(F.lit(s).alias("selection"), F.lit(i).alias("place"), (F.col(f"{s}_c") / F.lit(100.0)).alias("price")) for i, s in enumerate(SELECTIONS)])
+    taken = views.books(spark, sf_dir).filter("book <> 0").select("id", "book", F.explode(prices).alias("q")).select("id", "book", "q.*")
+    return taken.join(close, "id").withColumn("p_close", F.get("fair", F.col("place"))).select(
+        "id", "book", "selection", scaled(O.closing_line_value(F.col("price"), F.col("p_close")), 8).alias("clv"), "reference_kind"
     )
