@@ -148,7 +148,7 @@ def moment_fits(spark, sf_dir) -> DataFrame:
         F.struct(F.col("home").alias("team"), F.col("hg").alias("f"), F.col("ag").alias("a")),
         F.struct(F.col("away").alias("team"), F.col("ag").alias("f"), F.col("hg").alias("a")),
     )).alias("s")).select("scope", "s.*")
-    team = side.filter("team <> 7").groupBy("scope", "team").agg(
+    team = side.groupBy("scope", "team").agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.sum("f").alias("f"), F.sum("a").alias("a")
     ).select(
         "scope", F.struct(
@@ -156,7 +156,7 @@ def moment_fits(spark, sf_dir) -> DataFrame:
             (-F.ln((F.col("a") + 1) / (F.col("n") + 1))).alias("def"), "n",
         ).alias("t")
     )
-    # One entry per team of a scope; team 7 is left out to play the unseen team.
+    # One entry per team of a scope.
     arrays = team.groupBy("scope").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return scope.join(arrays, "scope").select(
         "scope", F.ln("ga").alias("mu"), F.ln(F.col("gh") / F.col("ga")).alias("home_advantage"),
@@ -165,14 +165,21 @@ def moment_fits(spark, sf_dir) -> DataFrame:
     )
 
 
-MOMENT_FIT_SQL = """+ sc AS (SELECT scope, sum(hg) / CAST(count(*) AS DOUBLE) AS gh, sum(ag) / CAST(count(*) AS DOUBLE) AS ga FROM m GROUP BY scope),
+def with_unseen(matches: DataFrame) -> DataFrame:
+    """All matches, and every fiftieth once more with a home side that no match knows."""
+    again = matches.filter("id % 50 = 0").withColumns({"id": -F.col("id"), "home": F.lit(99)})
+    return matches.unionByName(again)
+
+
+MOMENT_FIT_SQL = """+ mm AS (SELECT * FROM m UNION ALL SELECT * REPLACE (-id AS id, 99 AS home) FROM m WHERE id % 50 = 0),
+ sc AS (SELECT scope, sum(hg) / CAST(count(*) AS DOUBLE) AS gh, sum(ag) / CAST(count(*) AS DOUBLE) AS ga FROM m GROUP BY scope),
  sd AS (SELECT scope, home AS team, hg AS f, ag AS a FROM m UNION ALL SELECT scope, away, ag, hg FROM m),
  tm AS (SELECT scope, team, count(*) AS n, ln((sum(f) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS att,
-  -ln((sum(a) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS def FROM sd WHERE team <> 7 GROUP BY ALL),
+  -ln((sum(a) + 1) / CAST(count(*) + 1 AS DOUBLE)) AS def FROM sd GROUP BY ALL),
  e AS (SELECT m.id, m.scope, m.home, m.away, least(greatest(exp(ln(ga) + ln(gh / ga) + coalesce(h.att, 0) - coalesce(a.def, 0)), 1e-6), 15) AS lh,
   least(greatest(exp(ln(ga) + coalesce(a.att, 0) - coalesce(h.def, 0)), 1e-6), 15) AS la, -0.04 AS rho,
   concat_ws(',', CASE WHEN coalesce(h.n, 0) < 4 THEN CAST(m.home AS VARCHAR) END, CASE WHEN coalesce(a.n, 0) < 4 THEN CAST(m.away AS VARCHAR) END) AS cold
-  FROM m JOIN sc USING (scope) LEFT JOIN tm h ON h.scope = m.scope AND h.team = m.home LEFT JOIN tm a ON a.scope = m.scope AND a.team = m.away),
+  FROM mm m JOIN sc USING (scope) LEFT JOIN tm h ON h.scope = m.scope AND h.team = m.home LEFT JOIN tm a ON a.scope = m.scope AND a.team = m.away),
  pr AS (SELECT DISTINCT scope, home, away, lh, la, rho FROM e),
  g AS (SELECT CAST(range AS INT) AS x, CAST(factorial(CAST(range AS INT)) AS DOUBLE) AS fact FROM range(16)),
  raw AS (SELECT pr.*, h.x AS i, a.x AS j, exp(-lh) * power(lh, h.x) / h.fact * exp(-la) * power(la, a.x) / a.fact AS q
@@ -182,7 +189,7 @@ MOMENT_FIT_SQL = """+ sc AS (SELECT scope, sum(hg) / CAST(count(*) AS DOUBLE) AS
 
 @query("expected_goals", ["m"], MOMENT_FIT_SQL + f"SELECT id, {sql_scaled('lh')} AS lambda_home, {sql_scaled('la')} AS lambda_away, cold FROM e")
 def expected_goals_query(spark, sf_dir):
-    rated = expected_goals(views.matches(spark, sf_dir).join(moment_fits(spark, sf_dir), "scope"))
+    rated = expected_goals(with_unseen(views.matches(spark, sf_dir)).join(moment_fits(spark, sf_dir), "scope"))
     return rated.select(
         "id", scaled(P.clamp_lambda(F.col("lambda_home"))).alias("lambda_home"),
         scaled(P.clamp_lambda(F.col("lambda_away"))).alias("lambda_away"), F.array_join("cold_started", ",").alias("cold"),
@@ -193,7 +200,7 @@ def expected_goals_query(spark, sf_dir):
  k AS (SELECT scope, home, away, {_MARKETS_SQL} FROM c GROUP BY ALL)
  SELECT e.id, k.* EXCLUDE (scope, home, away), e.cold FROM e JOIN k USING (scope, home, away)""")
 def predict_fixture(spark, sf_dir):
-    out = predict(views.matches(spark, sf_dir), moment_fits(spark, sf_dir), ["scope"])
+    out = predict(with_unseen(views.matches(spark, sf_dir)), moment_fits(spark, sf_dir), ["scope"])
     return _markets(out.withColumn("cold", F.array_join("cold_started", ",")), "id", "cold")
 
 
