@@ -84,7 +84,7 @@ def iso_instant(text: Column) -> Column:
 
 
 def known_zone(zone: Column) -> Column:
-    names = sorted(z for z in zoneinfo.available_timezones() if z not in ("Factory", "localtime", "posixrules"))
+    names = sorted(z for z in zoneinfo.available_timezones() if z not in ("Factory", "ROC", "localtime", "posixrules"))
     return zone.isin(names)
 
 
