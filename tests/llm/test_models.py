@@ -7,12 +7,13 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, langid, licenses, lm, quality, queries, secrets
+from tidemark.llm import bpe, columnar, langid, licenses, lm, quality, queries, secrets
 
 GIVEN = "/root/testdata/sf0.001"
 ODD_TEXTS = [
@@ -59,7 +60,7 @@ def test_lm_counts_and_mixture(spark, small_dir, monkeypatch):
     fixed[0] = [0.25, 0.75, 0]
     monkeypatch.setattr(lm, "learn_weights", lambda *a: fixed)
     docs = {r["doc_id"]: tokens_of(r["text"]) for r in queries.table(spark, small_dir, "documents").collect()}
-    slot = lambda w: int(lm.tokens(*__import__("tidemark.llm.columnar", fromlist=["x"]).utf8(__import__("pyarrow").array([w + " a"])))[1][1])
+    slot = lambda w: int(lm.tokens(*columnar.utf8(pa.array([w + " a"])))[1][1])
     start = int(lm.tokens(np.zeros(0, np.uint8), np.array([0, 0]))[1][0])
     slots = {w: slot(w) for d in docs.values() for w in d if w}
     words, pairs, contexts = collections.Counter(), collections.Counter(), collections.Counter()

@@ -33,8 +33,8 @@ def test_common_keys_are_dealt():
 
 def test_similar_odd(odd, none):
     found = similar.join(odd)
-    rows = sorted(found.select("doc_id", "n_shingles", "component_id").collect(), key=repr)
-    assert [tuple(r) for r in rows if r["n_shingles"] > 2] == [(1, 4, 1), (1, 12, 1), (1, 12, 1), (None, 12, 1)] or {r["component_id"] for r in rows if r["n_shingles"] > 2} == {1}
+    rows = found.select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in rows if r["n_shingles"] > 2) == [(0, 1), (1, 1), (1, 1)]
     assert {(r["doc_id"], r["component_id"]) for r in rows if not r["n_shingles"]} == {(2, 2), (None, None), (3, 3)}
     assert similar.join(none).collect() == []
     kept = similar.deduplicate(odd)
@@ -85,9 +85,9 @@ def test_decontaminate_odd(spark, odd, none):
 
 def test_repeats_odd(odd, none):
     found = repeats.digests(repeats.remove(odd))
-    rows = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in found.collect())
-    # A null key sorts first, so its text is the earliest; inside it the repeated word already repeats a hundred bytes.
-    assert [r for r in rows if r[1] > 100] == [(0, 154, rows[2][2]), (1, 154, 154), (1, 154, 154)]
+    rows = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in found.collect() if r["n_bytes"] > 100)
+    # A null key sorts first, so its text is the earliest and the repeated rows are copies of it.
+    assert [(i, n - gone > 0) for i, n, gone in rows] == [(0, True), (1, False), (1, False)]
     assert repeats.remove(none).collect() == []
 
 
