@@ -78,7 +78,8 @@ def _sets(block: pa.Table, words: int) -> tuple[list[np.ndarray], np.ndarray, np
 
 
 def _pack(sets: list[np.ndarray], classes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket: its number, and how many classes, the classes, their counts, and the shingles' low 48 bits."""
+    """One row per bucket: its number, and how many classes, the classes, their sizes, how many of their shingles fall here,
+    and the low 48 bits of those."""
     counts = np.array([len(x) for x in sets], np.int64)
     tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), counts)
@@ -91,69 +92,83 @@ def _pack(sets: list[np.ndarray], classes: np.ndarray, buckets: int) -> pa.Recor
     for a, b in zip(np.searchsorted(bucket, names).tolist(), np.searchsorted(bucket, names, "right").tolist()):
         there = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
         rows.append(b"".join([
-            np.uint32(len(there)).tobytes(), classes[owner[a:b][there]].tobytes(),
+            np.uint32(len(there)).tobytes(), classes[owner[a:b][there]].tobytes(), counts[owner[a:b][there]].astype(np.uint32).tobytes(),
             np.diff(np.append(there, b - a)).astype(np.uint32).tobytes(), low[a:b].tobytes(),
         ]))
     return pa.RecordBatch.from_pydict({"bucket": pa.array(names.astype(np.int32)), "packed": pa.array(rows, pa.binary())})
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(packed, "<u4", 1)[0])
     classes = np.frombuffer(packed, "<u8", n, 4)
-    counts = np.frombuffer(packed, "<u4", n, 4 + 8 * n)
-    low = np.frombuffer(packed, np.uint8, -1, 4 + 12 * n).reshape(-1, 6)
+    sizes, counts = np.frombuffer(packed, "<u4", 2 * n, 4 + 8 * n).reshape(2, n)
+    low = np.frombuffer(packed, np.uint8, -1, 4 + 16 * n).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :6] = low
-    return classes, counts.astype(np.int64), wide.view("<u8").ravel()
-
-
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket: per class the shingles that another class has too, and the powers of two of their class counts."""
-    parts = [_unpack(x) for x in table.column("packed").to_pylist()]
-    classes = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts])
-    tokens = np.concatenate([p[2] for p in parts])
-    del parts
-    names, first = np.unique(classes, return_index=True)  # a class that several blocks sent counts once
-    once = np.zeros(len(classes), bool)
-    once[first] = True
-    tokens = tokens[np.repeat(once, counts)]
-    owner = np.repeat(np.arange(int(once.sum()), dtype=np.int32), counts[once])
-    classes = classes[once]
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(starts, len(tokens)))
-    common = np.repeat(runs, runs)
-    keep = common >= 2
-    tokens, owner, power = tokens[keep], owner[keep], np.log2(common[keep]).astype(np.uint8)
-    order = np.argsort(owner, kind="stable")
-    tokens, owner, power = tokens[order] | np.uint64(int(key[0].as_py()) << 48), owner[order], power[order]
-    there = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    edges = np.append(there, len(owner)).astype(np.int64)
-
-    def lists(values: np.ndarray, width: int) -> pa.Array:
-        return pa.Array.from_buffers(pa.large_binary(), len(there), [None, pa.py_buffer((edges * width).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-    return pa.table({"class": pa.array(classes[owner[there]].view(np.int64)), "tokens": lists(tokens, 8), "powers": lists(power, 1)})
+    return classes, sizes, counts.astype(np.int64), wide.view("<u8").ravel()
+
+
+def _shared(buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one bucket: the shingles that several classes have, with the powers of two of their class counts; packed by
+        ranges of classes."""
+        classes, sizes, counts, tokens = (np.concatenate(x) for x in zip(*[_unpack(x) for x in table.column("packed").to_pylist()]))
+        once = np.zeros(len(classes), bool)
+        once[np.unique(classes, return_index=True)[1]] = True  # a class that several blocks sent counts once
+        tokens = tokens[np.repeat(once, counts)]
+        owner = np.repeat(np.arange(int(once.sum()), dtype=np.int32), counts[once])
+        classes, sizes = classes[once], sizes[once]
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        runs = np.diff(np.append(starts, len(tokens)))
+        common = np.repeat(runs, runs)
+        keep = common >= 2
+        tokens, owner, power = tokens[keep] | np.uint64(int(key[0].as_py()) << 48), owner[keep], np.log2(common[keep]).astype(np.uint8)
+        order = np.lexsort((owner, classes[owner]))  # by class, and so by part
+        tokens, owner, power = tokens[order], owner[order], power[order]
+        part = _part(classes[owner], buckets)
+        names = np.unique(part)
+        rows = []
+        for i, j in zip(np.searchsorted(part, names).tolist(), np.searchsorted(part, names, "right").tolist()):
+            there = np.flatnonzero(np.concatenate([[True], owner[i + 1 : j] != owner[i : j - 1]]))
+            who = owner[i:j][there]
+            rows.append(b"".join([
+                np.uint32(len(who)).tobytes(), classes[who].tobytes(), sizes[who].astype("<u4").tobytes(), np.diff(np.append(there, j - i)).astype("<u4").tobytes(),
+                tokens[i:j].astype("<u8").tobytes(), power[i:j].tobytes(),
+            ]))
+        return pa.table({"part": pa.array(names, pa.int32()), "packed": pa.array(rows, pa.binary())})
+
+    return run
+
+
+def _part(classes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((classes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
 def _live(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"class": [], "n": [], "k": [], "tokens": [], "prefix": []}
-            for name, n, parts in zip(batch.column("class").to_pylist(), batch.column("n").to_pylist(), batch.column("parts").to_pylist()):
-                tokens = np.frombuffer(b"".join([p["tokens"] for p in parts]), np.int64)
-                power = np.frombuffer(b"".join([p["powers"] for p in parts]), np.uint8)
-                need = -(-percent * n // 100)
-                if len(tokens) < need:
-                    continue
-                tokens = tokens[np.lexsort((tokens, power))]
-                for column, value in zip(out.values(), (name, n, len(tokens), tokens, tokens[: len(tokens) - need + 1])):
-                    column.append(value)
-            long = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), long, long)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], list(out))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one part: the classes with enough shared shingles, those in order of rarity, and their prefixes."""
+        found = []
+        for x in table.column("packed").to_pylist():
+            n = int(np.frombuffer(x, "<u4", 1)[0])
+            classes = np.frombuffer(x, "<u8", n, 4)
+            sizes, counts = np.frombuffer(x, "<u4", 2 * n, 4 + 8 * n).reshape(2, n).astype(np.int64)
+            total = int(counts.sum())
+            found.append((np.repeat(classes, counts), np.repeat(sizes, counts), np.frombuffer(x, "<i8", total, 4 + 16 * n), np.frombuffer(x, "u1", total, 4 + 16 * n + 8 * total)))
+        classes, sizes, tokens, power = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((tokens, power, classes))
+        classes, sizes, tokens = classes[order], sizes[order], tokens[order]
+        first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+        last = np.append(first[1:], len(classes))
+        need = -(-percent * sizes[first] // 100)
+        enough = np.flatnonzero(last - first >= need)
+        out = [(classes[a], sizes[a], tokens[a:b], tokens[a : b - q + 1]) for a, b, q in zip(first[enough].tolist(), last[enough].tolist(), need[enough].tolist())]
+        long = pa.list_(pa.int64())
+        return pa.table({
+            "class": pa.array(np.array([x[0] for x in out], np.uint64).view(np.int64)), "n": pa.array([x[1] for x in out], pa.int64()),
+            "k": pa.array([len(x[2]) for x in out], pa.int64()), "tokens": pa.array([x[2] for x in out], long), "prefix": pa.array([x[3] for x in out], long),
+        })
 
     return run
 
@@ -194,9 +209,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     kind = taken.schema["k"].dataType.simpleString()
     rows = stored(taken.mapInArrow(sizes, f"k {kind}, uid long, n long, class long"))
     classes = rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("k").alias("least"))
-    shared = taken.select("t").mapInArrow(packed, "bucket int, packed binary").groupBy("bucket").applyInArrow(_shared, "class long, tokens binary, powers binary")
-    parts = shared.groupBy("class").agg(F.collect_list(F.struct("tokens", "powers")).alias("parts"))  # of one document
-    live = parts.join(classes.select("class", "n"), "class").mapInArrow(_live(percent), "class long, n long, k long, tokens array<long>, prefix array<long>")
+    shared = taken.select("t").mapInArrow(packed, "bucket int, packed binary").groupBy("bucket").applyInArrow(_shared(buckets), "part int, packed binary")
+    live = shared.groupBy("part").applyInArrow(_live(percent), "class long, n long, k long, tokens array<long>, prefix array<long>")
     live = stored(live.withColumn("group", F.xxhash64("n", "prefix")))
 
     groups = live.groupBy("group").agg(F.min("class").alias("head"))
@@ -204,8 +218,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     band = F.floor(F.log("n") / math.log(100 / percent))
     heads = live.join(groups.select(F.col("head").alias("class")), "class", "left_semi")
     entries = stored(heads.select(F.col("class").alias("head"), "n", "k", band.alias("band"), F.posexplode("prefix").alias("pos", "token")))
-    lists = entries.groupBy("token", "band").agg(F.min("head").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    near = entries.join(lists, ["token", "band"]).filter("head <> hub").select(F.col("head").alias("a"), F.col("hub").alias("b"))
+    # A list's hub is the class with the least share of shingles of its own: the text that others were made from.
+    central = F.struct(((F.col("n") - F.col("k")) / F.col("n")).alias("own"), F.col("head").alias("head"))
+    lists = entries.groupBy("token", "band").agg(F.min(central).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    near = entries.join(lists, ["token", "band"]).filter("head <> hub.head").select(F.col("head").alias("a"), F.col("hub.head").alias("b"))
     inner = member.filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     links = stored(_verified(near.unionByName(inner).distinct(), live, percent))
 
@@ -219,7 +235,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     left = rooted()
-    hubs = left.groupBy("token").agg(F.max(F.struct("class", "root", "n")).alias("hub"))
+    own = F.struct(((F.col("n") - F.col("k")) / F.col("n")).alias("own"), "class", "root", "n")
+    hubs = left.groupBy("token").agg(F.min(own).alias("hub"))
     second = left.join(hubs, "token").select(F.col("class").alias("a"), F.col("hub.class").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), "root", F.col("hub.root").alias("other"))
     more = _verified(second.filter("root <> other").filter(fits).select("a", "b").distinct(), live, percent)
     links = stored(links.unionByName(more).distinct())
