@@ -109,6 +109,17 @@ def test_carry_forward_matches_brute_force(spark):
         assert got[i] == (past[-1][2] if past else None)
 
 
+def test_late_rows_are_not_emitted_as_changes(spark):
+    from tidemark.streaming.batches import change_only_step
+
+    kind = "key string, at bigint, id bigint, v int"
+    step = change_only_step(["key"], ["v"], ["at", "id"])
+    held = spark.createDataFrame([("a", 20, 1, 7)], kind)
+    out, state = step(held, spark.createDataFrame([("a", 5, 2, 1), ("a", 15, 3, 2), ("a", 30, 4, 7), ("a", 40, 5, 8), ("b", 1, 6, 3)], kind), 1)
+    assert rows(out, "key", "at") == [("a", 8, 40, 5), ("b", 3, 1, 6)]
+    assert sorted((r.key, r["at"], r.v) for r in state.collect()) == [("a", 40, 8), ("b", 1, 3)]
+
+
 def test_closing_price_example(spark):
     ticks = spark.createDataFrame(
         [(1, "s", 10, 260, True, "observed", 100, None), (1, "s", 20, 255, True, "observed", 100, None),

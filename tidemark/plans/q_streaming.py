@@ -48,16 +48,18 @@ def stream_change_only(spark, sf_dir):
     return batches.output(spark, root).select("event_id", "price_c", "is_available")
 
 
-@query("stream_revise", ["rev"], "SELECT key_id, source, p1, known_at, superseded_at FROM rev WHERE superseded_at IS NOT NULL")
+@query("stream_revise", ["rev"], "SELECT key_id, source, p1, known_at, superseded_at FROM rev")
 def stream_revise(spark, sf_dir):
-    """Closed revisions emitted by the stream."""
+    """Closed revisions emitted by the stream, and the open ones its state holds."""
     log = _stream(spark, sf_dir, "events").selectExpr(
         "CAST(user_id % 50 AS INT) AS key_id", "event_type AS source", "event_id", f"{views.micros('ts')} AS known_at",
         "CAST(floor(value) AS BIGINT) % 3 AS p1",
     )
     root = _root(spark, "revisions")
-    batches.run_available(log, root, batches.revise_step(["key_id", "source"], ["p1"], ["event_id"]))
-    return batches.output(spark, root).select("key_id", "source", "p1", "known_at", "superseded_at")
+    last = batches.run_available(log, root, batches.revise_step(["key_id", "source"], ["p1"], ["event_id"]))
+    names = ["key_id", "source", "p1", "known_at"]
+    open_rows = batches.state(spark, root, last).select(*names, F.lit(None).cast("bigint").alias("superseded_at"))
+    return batches.output(spark, root).select(*names, "superseded_at").unionByName(open_rows)
 
 
 @query("stream_late_data", None, f'SELECT epoch_us(ts) // {DAY_US} * {DAY_US} AS "window", count(*) AS on_time, CAST(0 AS BIGINT) AS late FROM events GROUP BY 1')

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,11 +20,13 @@ from tidemark.operators.temporal import content_differs, history_from_log, paylo
 Step = Callable[[DataFrame | None, DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
-def run_available(stream: DataFrame, root: str, step: Step) -> None:
+def run_available(stream: DataFrame, root: str, step: Step) -> int:
     """Process everything the source has now; `step(state, rows, batch_id)` returns (output, next state).
 
     The first batch gets no state. Progress and state live under `root`.
+    Returns the number of the last batch, -1 if there was none.
     """
+    done = [-1]
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
@@ -32,6 +34,7 @@ def run_available(stream: DataFrame, root: str, step: Step) -> None:
         output, following = step(state, rows, batch_id)
         output.write.mode("overwrite").parquet(f"{root}/out/{batch_id}")
         following.write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
+        done.append(batch_id)
 
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -40,6 +43,7 @@ def run_available(stream: DataFrame, root: str, step: Step) -> None:
         .start()
     )
     query.awaitTermination()
+    return done[-1]
 
 
 def output(spark: SparkSession, root: str) -> DataFrame:
@@ -74,7 +78,8 @@ def write_available(stream: DataFrame, root: str) -> None:
 def change_only_step(keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> Step:
     """Emit a row iff its content differs from the key's previous row; state is the last row per key.
 
-    A row at or before the state's instant is late; it is left to the late-data step.
+    A row at or before the state's instant is late: what was emitted can't be
+    taken back, so it is left out here and counted by the late-data step.
     """
     names = [*keys, *columns, *order]
 
@@ -82,6 +87,8 @@ def change_only_step(keys: Sequence[str], columns: Sequence[str], order: Sequenc
         fresh = rows.select(*names).withColumn("__new", F.lit(True))
         known = None if held is None else held.select(*names).withColumn("__new", F.lit(False))
         both = fresh if known is None else fresh.unionByName(known)
+        since = F.max(F.when(~F.col("__new"), F.struct(*order))).over(Window.partitionBy(*keys))
+        both = both.withColumn("__since", since).filter(~F.col("__new") | F.col("__since").isNull() | (F.struct(*order) > F.col("__since"))).drop("__since")
         marked = neighbours(both, list(keys), list(order), previous={"__prev": payload(columns)})
         changed = marked.filter("__new").filter(F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns)))
         last = both.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("r")).select(*keys, "r.*")
