@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
+from tidemark.llm.shared import text_batches
 
 PROFILE = 300
 MAX_LANGUAGES = 2_000
@@ -32,11 +33,11 @@ _KEYS = _BASE + _BASE**2 + _BASE**3
 
 
 def _grams(letters: np.ndarray) -> np.ndarray:
-    """Keys of all n-grams of one text's letters; 0 is a gap, and the ends count as gaps."""
-    x = letters[(letters > 0) | (np.concatenate([[1], letters[:-1]]) > 0)]
-    x = np.concatenate([np.zeros(1, np.uint32), x, np.zeros(1, np.uint32)]) if not len(x) or x[-1] else np.concatenate([np.zeros(1, np.uint32), x])
-    if len(x) > 1 and not x[1]:
-        x = x[1:]
+    """Keys of all n-grams of one text's letters; 0 is a gap, runs of gaps count as one, and the ends are gaps."""
+    kept = letters[(letters > 0) | (np.concatenate([np.zeros(1, np.uint32), letters[:-1]]) > 0)]
+    if not len(kept):
+        return kept
+    x = np.concatenate([np.zeros(1, np.uint32), kept, np.zeros(1 if kept[-1] else 0, np.uint32)])
     two = x[:-1] * _BASE + x[1:]
     three = two[:-1] * _BASE + x[2:]
     return np.concatenate([x[x > 0], two + _BASE, three + (_BASE + _BASE**2)])
@@ -70,6 +71,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     Counts cover every text; rows without a language teach nothing. N-grams are summed per block of text before they are
     shuffled, and only `size` rows a language reach the driver.
     """
+    text_batches(docs.sparkSession)
     taken = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +103,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
     language that sorts first. A text that is null or has no letter, and every text when there is no profile, is `und` with
     score 0. Only the text is read: other columns, whatever their names, and repeated rows make no difference.
     """
+    text_batches(docs.sparkSession)
     names = sorted(profiles)
     known = np.unique(np.concatenate([np.asarray(profiles[x], np.int64) for x in names] or [np.zeros(0, np.int64)]))
     place = np.full((len(names), len(known) + 1), size, np.int64)  # the last column: n-grams in no profile
