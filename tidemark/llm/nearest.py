@@ -25,14 +25,14 @@ from tidemark.llm.shared import stored
 
 SHARD_ROWS = 8_192
 BLOCK_QUERIES = 256
-LEAF = 128
+LEAF = 256
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """All inner products, each summed in component order."""
-    total = np.zeros((len(queries), len(vectors)))
+    """Inner products row by row, each summed in component order."""
+    total = np.zeros(len(queries))
     for j in range(queries.shape[1]):
-        total += queries[:, j, None] * vectors[None, :, j]
+        total += queries[:, j] * vectors[:, j]
     return total
 
 
@@ -72,22 +72,28 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
     square = (queries**2).sum(axis=1)
     lift = float((vectors[0] ** 2).sum() + tree["last"][0] ** 2)  # M^2
 
+    size = np.sqrt(square * max(lift, 0.0))  # bounds every inner product of a query
+    slack = 1e-6 * np.sqrt(max(lift, 0.0))  # far wider than rounding, also after a square root
+
     def offer(who: np.ndarray, a: int, b: int) -> np.ndarray:
-        s = products(queries[who], vectors[a:b])
-        gained = np.where(query_ids[who][:, None] == ids[None, a:b], -np.inf, s)
-        some = np.flatnonzero((gained >= score[who, -1:]).any(axis=1) & (gained > -np.inf).any(axis=1))
+        """Take points a to b for the queries; the matrix product finds what may matter, the score is then summed in order."""
+        rough = queries[who] @ vectors[a:b].T
+        may = (rough >= (score[who, -1] - 1e-12 * size[who])[:, None]) & (query_ids[who][:, None] != ids[None, a:b])
+        some = np.flatnonzero(may.any(axis=1))
         if len(some):
-            rows = who[some]
-            both = np.concatenate([score[rows], gained[some]], axis=1)
+            rows, (i, j) = who[some], np.nonzero(may[some])
+            gained = np.full((len(rows), b - a), -np.inf)
+            gained[i, j] = products(queries[rows[i]], vectors[a + j])
+            both = np.concatenate([score[rows], gained], axis=1)
             names = np.concatenate([found[rows], np.broadcast_to(ids[a:b], (len(rows), b - a))], axis=1)
             names = np.where(both > -np.inf, names, np.iinfo(np.int64).max)
             best = np.lexsort((names, -both), axis=1)[:, :k]
             score[rows], found[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-        return s
+        return rough
 
     def reach(who: np.ndarray) -> np.ndarray:
-        """Distance of the k-th best, a little wider than rounding."""
-        return np.sqrt(np.maximum(square[who] + lift - 2 * score[who, -1], 0)) * (1 + 1e-9) + 1e-7
+        """Distance of the k-th best."""
+        return np.sqrt(np.maximum(square[who] + lift - 2 * score[who, -1], 0)) + slack
 
     todo: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(n), np.zeros(n))]
     while todo:
@@ -101,7 +107,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
             offer(who, a, b)
             continue
         d = np.sqrt(np.maximum(square[who] + lift - 2 * offer(who, a, a + 1)[:, 0], 0))
-        low = [np.maximum(np.maximum(nodes[at, 4 + 2 * s] - d, d - nodes[at, 5 + 2 * s]), 0) - 1e-7 for s in (0, 1)]
+        low = [np.maximum(np.maximum(nodes[at, 4 + 2 * s] - d, d - nodes[at, 5 + 2 * s]), 0) - slack for s in (0, 1)]
         first = low[0] <= low[1]
         # The nearer side first: the last pushed is the next looked at.
         todo += [(right, who[first], low[1][first]), (left, who[~first], low[0][~first]), (left, who[first], low[0][first]), (right, who[~first], low[1][~first])]
