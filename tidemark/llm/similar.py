@@ -11,9 +11,9 @@ set, so two similar sets share a shingle within their prefixes, and shingles tha
 3. classes with equal prefixes and size form a group; groups meet on prefix shingles, filtered by size and position;
 4. group pairs are expanded to members and verified on whole sets.
 
-A list of a common prefix shingle may hold a third of all groups, nearly all of them similar to each other. So pairs are
-made in rounds: each group with one hub of its list, then what is left in another component with a second hub, and only then
-the pairs whose components still differ, all of them. A pair within a component needs no link of its own.
+A list of a common prefix shingle may hold a third of all groups, nearly all of them similar to each other. So each group
+meets one hub of its list first, the text that has fewest shingles of its own, and then come the pairs whose components still
+differ, all of them. A pair within a component needs no link of its own.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
 from tidemark.llm.components import components
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import stored, text_batches
 
 WORDS = 5
 PERCENT = 75
@@ -191,6 +191,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     result. Other columns of docs, whatever their names, are not read.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     taken = docs.select(F.col(key).alias("k"), _uid(key, text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
@@ -225,23 +226,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     inner = member.filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     links = stored(_verified(near.unionByName(inner).distinct(), live, percent))
 
-    def rooted() -> DataFrame:
-        """Members of groups on lists where components still differ, with their roots."""
-        roots = components(links)
-        placed = member.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        spans = placed.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_lists = entries.join(spans, "head").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-        return stored(entries.join(open_lists, "token").select("token", "head", "pos").join(placed.select("head", "class", "n", "k", "root"), "head"))
-
+    # Members of groups on lists where components still differ, with their roots.
+    roots = components(links)
+    placed = member.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    spans = placed.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_lists = entries.join(spans, "head").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
+    left = stored(entries.join(open_lists, "token").select("token", "head", "pos").join(placed.select("head", "class", "n", "k", "root"), "head"))
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    left = rooted()
-    own = F.struct(((F.col("n") - F.col("k")) / F.col("n")).alias("own"), "class", "root", "n")
-    hubs = left.groupBy("token").agg(F.min(own).alias("hub"))
-    second = left.join(hubs, "token").select(F.col("class").alias("a"), F.col("hub.class").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), "root", F.col("hub.root").alias("other"))
-    more = _verified(second.filter("root <> other").filter(fits).select("a", "b").distinct(), live, percent)
-    links = stored(links.unionByName(more).distinct())
-
-    left = rooted()
     one = left.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), (F.col("n") - F.col("k") + F.col("pos")).alias("pa"))
     two = one.toDF("token", "b", "nb", "rb", "pb")
     least_overlap = f"ceil({percent} * (na + nb) / {100 + percent}D - 1e-9)"
