@@ -2,8 +2,8 @@
 
 A pair of neighbouring bytes that stands inside no vocabulary token can never be merged across, so a word may be cut there:
 the fragments are encoded independently and their ids concatenated. Only the last fragment of a word carries the end-of-word
-mark. The merges of a fragment are done by the tokenizers library; each worker keeps the ids of words it has met in a table
-of at most `WORDS_KEPT` entries, which is emptied when full.
+mark. The merges of a fragment are done by the tokenizers library; each task keeps the ids of words it has met in a table
+of at most `WORDS_KEPT` entries, which is emptied when full and at its end.
 
 Everything is one narrow pass over the documents: no shuffle, and a lost task is simply run again.
 """
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
 from tidemark.llm import columnar
+from tidemark.llm.shared import text_batches
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 MARK = "</w>"
 
 
@@ -115,6 +116,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple
     whole whatever their length. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)  # the vocabulary file, whose size does not grow with the data
     key = hash(tokenizer_json)
     taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -128,6 +130,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple
             arrays = [block.column(i).combine_chunks() for i in range(len(keep))]
             arrays += [pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [*[f"k{i}" for i in range(len(keep))], "n_tokens", "ids", "decoded"])
+        encoder.kept.clear()  # workers go on to other stages
 
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(taken.schema.fields[:-1]))
     rows = taken.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded string")

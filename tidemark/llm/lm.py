@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
+from tidemark.llm.shared import text_batches
 
 SLOTS = 1 << 16
 LEVELS = 48  # buckets of context frequency
@@ -239,7 +240,8 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     are not read, whatever their names.
     """
     spark = docs.sparkSession
-    buckets = min(MOST_BUCKETS, max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
+    text_batches(spark)
+    buckets = min(MOST_BUCKETS, max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 4))
     body = F.coalesce(F.col(text), F.lit(""))
     taken = docs.select(
         F.col(key).alias("k"), F.xxhash64(F.col(key).cast("string"), body).alias("uid"), F.coalesce(held_out, F.lit(True)).alias("held"),
@@ -262,7 +264,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     n_train = int(total.sum())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 8 << 20):
+        for block in columnar.blocks(batches, "t", 6 << 20):
             words, slot, owner = block_tokens(block)
             rows = list(_pack_pairs(words, slot, block.column("deleted").to_numpy()[owner], buckets))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "packed": pa.array([x[1] for x in rows], pa.binary())})
@@ -278,7 +280,7 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
         weights[:] = 1.0, 0.0, 0.0
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 8 << 20):
+        for block in columnar.blocks(batches, "t", 6 << 20):
             words, slot, owner = block_tokens(block)
             uid, held = block.column("uid").to_numpy(), block.column("held").to_numpy()
             found = list(_pack_tokens(words, slot, owner, uid, ~held, buckets))

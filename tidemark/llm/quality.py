@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
+from tidemark.llm.shared import text_batches
 
 FIT_ROWS = 12_000
 BITS = 18
@@ -151,10 +152,11 @@ def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 150, rate: floa
 
 
 def _measured(docs: DataFrame, text: str, keep: tuple[str, ...], with_features: bool) -> DataFrame:
+    text_batches(docs.sparkSession)
     taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 2 << 20):
+        for block in columnar.blocks(batches, "t", 1 << 20):
             data, offs = columnar.utf8(block.column("t"))
             words, shares, insults, pairs = measure(data, offs)
             arrays = [block.column(i).combine_chunks() for i in range(len(keep))] + [pa.array(votes(words, shares, insults), pa.string())]
@@ -192,12 +194,13 @@ def train(docs: DataFrame, labels: DataFrame | None = None, text: str = "text",
 
 
 def _rated(docs: DataFrame, weights: np.ndarray, text: str, keep: tuple[str, ...]) -> DataFrame:
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # 3 x (2^BITS + 1)
     taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for block in columnar.blocks(batches, "t", 2 << 20):
+        for block in columnar.blocks(batches, "t", 1 << 20):
             data, offs = columnar.utf8(block.column("t"))
             pairs = measure(data, offs)[3]
             row = (pairs >> np.uint64(BITS)).astype(np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import stored, text_batches
 
 LENGTH = 100
 GRAM = 32
@@ -247,6 +247,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     the text. An empty table gives an empty result. Other columns of docs are not read.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col(text), F.lit(""))
     taken = docs.select(
