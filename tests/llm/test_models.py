@@ -85,6 +85,42 @@ def test_lm_counts_and_mixture(spark, small_dir, monkeypatch):
         assert r["score"] == pytest.approx(want)
 
 
+def test_lm_contexts_are_whole_words(spark, monkeypatch):
+    """More words than 2^16 hashed slots keep apart: every context has its own counts and its own frequency bucket."""
+    fixed = np.tile(np.array([0.1, 0.3, 0.6]), (lm.LEVELS, 1))
+    fixed[:, 1:] = np.linspace(0.2, 0.5, lm.LEVELS)[:, None] * [1, 0] + (0.9 - np.linspace(0.2, 0.5, lm.LEVELS))[:, None] * [0, 1]
+    fixed[0] = [0.25, 0.75, 0]
+    seen = []
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: seen.append(a) or fixed)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.15, 400) % 60_000) for _ in range(200)]
+    docs = [x.split(" ") + [None] for x in texts]
+    got = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 == 1).collect()
+
+    def counted(ids):
+        words, pairs, contexts = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in ids:
+            for w, before in zip(docs[i], ["start", *docs[i]]):
+                words[w], pairs[before, w], contexts[before] = words[w] + 1, pairs[before, w] + 1, contexts[before] + 1
+        return words, pairs, contexts
+
+    words, pairs, contexts = counted(i for i in range(200) if i % 10)
+    n, v = sum(words.values()), len(words)
+    assert len(got) == 200 and v > 5_000
+    for r in got:
+        want = 0.0
+        for w, before in zip(docs[r["doc_id"]], ["start", *docs[r["doc_id"]]]):
+            l0, l1, l2 = fixed[contexts[before].bit_length()]
+            want += math.log10(l2 * pairs[before, w] / max(1, contexts[before]) + l1 * words[w] / n + l0 / (v + 1))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+    words, pairs, contexts = counted(i for i in range(200) if i % 10 > 1)
+    level, held, two, one, none = seen[0]
+    found = [(w, before) for i in range(1, 200, 10) for w, before in zip(docs[i], ["start", *docs[i]])]
+    assert held.sum() == len(found) and none == 1 / (len(words) + 1)
+    assert (held * two).sum() == pytest.approx(sum(pairs[b, w] / max(1, contexts[b]) for w, b in found))
+    assert np.bincount(level, held, minlength=lm.LEVELS).tolist() == np.bincount([contexts[b].bit_length() for _, b in found], minlength=lm.LEVELS).tolist()
+
+
 def test_lm_weights_maximise_held_out_likelihood():
     n, two, one = np.array([50.0, 30.0, 20.0]), np.array([0.2, 0.0, 0.01]), np.array([0.01, 0.005, 0.001])
     level = np.array([3, 3, 3])

@@ -2,18 +2,19 @@
 
     P(w | context) = l2 * c(context, w) / c(context) + l1 * c(w) / N + l0 / (V + 1)
 
-The context of a token is the word before it, or the start, as one of 2^16 hashed slots; frequent words have a slot nearly
-to themselves. The weights l depend on the bucket of the context's frequency (powers of two) and come from
-expectation-maximisation on a deleted part of the training documents, against counts of the rest; afterwards all training
-documents count. Three passes:
-
-1. sums per slot, which are bounded by the slots;
-2. distinct (word, slot) pairs of a block of text with their counts, dealt by word: gives V and, for the deleted part, a
-   histogram of the two estimates per bucket, on which the weights are learned;
-3. the tokens of all documents, dealt by word, so that a bucket has every count that a token of it needs; what leaves it is
-   one partial sum per document.
-
-What travels is packed: a word's fingerprint once per block and bucket, and a few bytes a token.
+The context of a token is the word before it, or the start; words and pairs are told apart by 64-bit fingerprints. The
+weights l depend on the bucket of the context's frequency (powers of two) and come from expectation-maximisation on a
+deleted part of the training documents, against counts of the rest; afterwards all training documents count.
+
+1. Texts become blocks, stored once: the distinct words of a block, and its tokens as numbers of these.
+2. A block asks for the counts of its distinct words and (word before, word) pairs, dealt by ranges of their fingerprints.
+   A range sums what its blocks have and answers each block in the order in which it asked. However frequent a word or
+   pair is, a block names it once.
+3. Blocks meet their answers: those of the deleted part make a histogram of the two estimates per bucket, on which the
+   weights are learned; then all blocks score their documents.
+
+A text ends with an end token, and the start counts as the context "end": it occurs as often, so c(context) is the count of
+the word before in every case.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import columnar
-from tidemark.llm.shared import text_batches
+from tidemark.llm.shared import stored, text_batches
 
-SLOTS = 1 << 16
 LEVELS = 48  # buckets of context frequency
 STEPS = 4  # histogram steps per octave of an estimate
-START, END = np.uint64(0x53D7A9E1B2C4F601), np.uint64(0x1F83D9ABFB41BD6B)
+END = np.uint64(0x1F83D9ABFB41BD6B)
+BLOCK = 8 << 20
 MOST_BUCKETS = 1 << 16
+HELD, DELETED, REST = 0, 1, 2  # what a block's documents are for; a block has documents of one kind
 PRIOR = np.array([0.05, 0.35, 0.6])  # weights of the uniform, word and context estimates where nothing was deleted
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, slot of its context and text number of every token in text order, one end a text."""
+    """Word, context (the word before) and text number of every token in text order, one end a text."""
     lower = columnar.LOWER[data]
     s, e, d = columnar.word_spans(lower, offs, columnar.WHITE_SPACE)
     n = len(offs) - 1
@@ -47,18 +51,14 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     all_words[place] = words
     owner = np.empty(len(all_words), np.int64)
     owner[place] = d
-    last = np.cumsum(np.bincount(d, minlength=n) + 1) - 1
-    owner[last] = np.arange(n)
-    before = np.concatenate([[START], all_words[:-1]])
-    before[np.concatenate([[0], last[:-1] + 1])[:n]] = START
-    return all_words, (columnar.mix(before) >> np.uint64(48)).astype(np.int64), owner
+    owner[np.cumsum(np.bincount(d, minlength=n) + 1) - 1] = np.arange(n)
+    return all_words, np.concatenate([[END], all_words[:-1]]), owner
 
 
-def block_tokens(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """tokens() of a block of texts, piece by piece."""
+def block_words(block: pa.Table) -> np.ndarray:
+    """The words of tokens() of a block of texts, piece by piece."""
     data, offs = columnar.utf8(block.column("t"))
-    parts = [(i, tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in columnar.pieces(offs)]
-    return np.concatenate([x[0] for _, x in parts]), np.concatenate([x[1] for _, x in parts]), np.concatenate([x[2] + i for i, x in parts])
+    return np.concatenate([tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0] for i, j in columnar.pieces(offs)])
 
 
 def _buckets(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -70,98 +70,111 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0), LEVELS - 1).astype(np.int64)
 
 
-def _grouped(words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """An order by word and slot; the distinct words; the word number and slot of each token in that order."""
-    names, number = np.unique(words, return_inverse=True)
-    pair = number * SLOTS + slots
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    return order, names, pair // SLOTS, pair % SLOTS
-
-
-def _pack_pairs(words: np.ndarray, slots: np.ndarray, held: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    order, names, number, slot = _grouped(words, slots)
-    held = held[order]
-    new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (slot[1:] != slot[:-1])])) if len(number) else np.zeros(0, np.int64)
-    total = np.diff(np.append(new, len(number)))
-    deleted = np.add.reduceat(held.astype(np.int64), new) if len(new) else new
-    number, slot = number[new], slot[new]
-    bucket = _buckets(names, buckets)
-    for b in np.unique(bucket).tolist():
-        i, j = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
-        x, y = np.searchsorted(number, i), np.searchsorted(number, j)
-        yield b, b"".join([
-            np.array([j - i, y - x], "<u4").tobytes(), names[i:j].tobytes(), np.bincount(number[x:y] - i, minlength=j - i).astype("<u4").tobytes(),
-            slot[x:y].astype("<u2").tobytes(), total[x:y].astype("<u4").tobytes(), deleted[x:y].astype("<u4").tobytes(),
-        ])
-
-
-def _pack_tokens(words: np.ndarray, slots: np.ndarray, owner: np.ndarray, uid: np.ndarray, learned: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    order, names, number, slot = _grouped(words, slots)
-    owner = owner[order]
-    bucket = _buckets(names, buckets)
-    for b in np.unique(bucket).tolist():
-        i, j = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
-        x, y = np.searchsorted(number, i), np.searchsorted(number, j)
-        docs, doc = np.unique(owner[x:y], return_inverse=True)
-        yield b, b"".join([
-            np.array([j - i, y - x, len(docs)], "<u4").tobytes(), names[i:j].tobytes(), np.bincount(number[x:y] - i, minlength=j - i).astype("<u4").tobytes(),
-            slot[x:y].astype("<u2").tobytes(), doc.astype("<u4").tobytes(), uid[docs].astype("<i8").tobytes(), learned[docs].astype(np.uint8).tobytes(),
-        ])
-
-
-def _fields(packed: bytes, sizes: list[int], kinds: list[str], start: int) -> list[np.ndarray]:
-    out = []
-    for n, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(packed, kind, n, start))
-        start += out[-1].nbytes
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of one length as planes of bytes, which compress better than whole numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns))
+
+
+def _restored(packed: bytes, *kinds: str) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(data) // sum(sizes), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
     return out
 
 
-def _numbered(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of several blocks, and the word number of each of their entries, four bytes each."""
-    distinct, number = np.unique(np.concatenate(names), return_inverse=True)
-    return distinct, np.repeat(number.astype(np.int32), np.concatenate(counts))
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=np.uint64(0))
+
+
+def _block(names: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a block in order, and the word number of each token."""
+    return np.cumsum(_restored(names, "<u8")[0]), _restored(numbers, "<u4")[0].astype(np.int64)
+
+
+def _pairs(names: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a block in the order of their fingerprints, their two words and counts; the pair of each token."""
+    before = np.concatenate([[np.searchsorted(names, END)], number[:-1]])
+    code, pair, count = np.unique(before * len(names) + number, return_inverse=True, return_counts=True)
+    before, word = code // len(names), code % len(names)
+    prints = columnar.fold([names[before], names[word]])
+    order = np.argsort(prints, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return prints[order], before[order], word[order], count[order], place[pair]
+
+
+def _asked(word_buckets: int, pair_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block and range the fingerprints whose counts it needs, with its own counts where it teaches."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, number = _block(row["names"], row["numbers"])
+                prints, _, _, count, _ = _pairs(names, number)
+                out = []
+                for base, n, keys, counts in ((0, word_buckets, names, np.bincount(number, minlength=len(names))), (word_buckets, pair_buckets, prints, count)):
+                    counts = (counts * (row["role"] != HELD)).astype("<u4")
+                    bucket = _buckets(keys, n)
+                    for b in np.unique(bucket).tolist():
+                        i, j = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
+                        out.append((base + b, _squeezed(_steps(keys[i:j]), counts[i:j])))
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([row["block"]] * len(out), pa.int64()),
+                    "role": pa.array([row["role"]] * len(out), pa.int32()), "packed": pa.array([x[1] for x in out], pa.binary()),
+                })
 
+    return run
 
-def _ordered(number: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of entries by word number and slot, and both as one key in that order."""
-    pair = number.astype(np.int64) * SLOTS + slot
-    order = np.argsort(pair, kind="stable")
-    return order, pair[order]
 
+def _answered(word_buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one range: per block the counts that it asked for, those of the rest beside them for a deleted block.
+
+        A range of words adds a row without a block: distinct words and tokens of the training documents and of the rest.
+        """
+        bucket, roles = key[0].as_py(), table.column("role").to_numpy()
+        parts = [_restored(x, "<u8", "<u4") for x in table.column("packed").to_pylist()]
+        edges = np.cumsum([0, *[len(p[0]) for p in parts]]).tolist()
+        names, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        counts = np.concatenate([p[1] for p in parts])
+        total = np.bincount(at, counts, minlength=len(names)).astype("<u8")
+        gone = np.repeat(roles == DELETED, np.diff(edges))
+        rest = total - np.bincount(at[gone], counts[gone], minlength=len(names)).astype("<u8")
+        packed = [_squeezed(total[at[i:j]], *([rest[at[i:j]]] if r == DELETED else [])) for i, j, r in zip(edges[:-1], edges[1:], roles.tolist())]
+        sums = [int((total > 0).sum()), int((rest > 0).sum()), int(total.sum()), int(rest.sum())]
+        extra = 1 if bucket < word_buckets else 0
+        n = len(packed)
+        return pa.table({
+            "block": pa.array(table.column("block").to_pylist() + [None] * extra, pa.int64()), "role": pa.array(roles.tolist() + [None] * extra, pa.int32()),
+            "bucket": pa.array([bucket] * (n + extra), pa.int32()), "packed": pa.array(packed + [None] * extra, pa.binary()),
+            **{c: pa.array([None] * n + [x] * extra, pa.int64()) for c, x in zip(("words", "rest_words", "tokens", "rest_tokens"), sums)},
+        })
 
-def _summed(number: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(number, weights, minlength=n).astype(np.int64)
+    return run
 
 
-def _histogram(slots_of_rest: np.ndarray, rest_tokens: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Of one bucket: how many words, and the deleted tokens by level of context and by both estimates."""
-        parts = []
-        for x in table.column("packed").to_pylist():
-            w, p = np.frombuffer(x, "<u4", 2).tolist()
-            parts.append(_fields(x, [w, w, p, p, p], ["<u8", "<u4", "<u2", "<u4", "<u4"], 8))
-        names, count, slot, total, deleted = zip(*parts)
-        names, number = _numbered(list(names), list(count))
-        order, pair = _ordered(number, np.concatenate(slot))
-        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        total, deleted = (np.add.reduceat(np.concatenate(x).astype(np.int64)[order], new) for x in (total, deleted))
-        number, slot = pair[new] // SLOTS, pair[new] % SLOTS
-        rest = total - deleted
-        of_word = _summed(number, rest, len(names))
-        context = slots_of_rest[slot]
-        two = np.where(context > 0, rest / np.maximum(context, 1), 0.0)
-        one = of_word[number] / max(1, rest_tokens)
-        seen = deleted > 0
+def _counts(answers: pa.Table, word_buckets: int, role: int, of_rest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The counts in the answers to a block, of all training documents or of the rest: of its words and of its pairs."""
+    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("packed").to_pylist()))
+    got = [(b < word_buckets, _restored(x, *["<u8"] * (2 if role == DELETED else 1))[of_rest].astype(np.int64)) for b, x in rows]
+    return np.concatenate([x for of_word, x in got if of_word]), np.concatenate([x for of_word, x in got if not of_word])
+
+
+def _histogram(word_buckets: int, rest_tokens: int):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """Of one deleted block: its tokens by level of context and by both estimates from the rest."""
+        names, number = _block(block.column("names")[0].as_py(), block.column("numbers")[0].as_py())
+        _, before, word, count, _ = _pairs(names, number)
+        of_word, of_pair = _counts(answers, word_buckets, DELETED, True)
+        context = of_word[before]
+        two = np.where(context > 0, of_pair / np.maximum(context, 1), 0.0)
+        one = of_word[word] / max(1, rest_tokens)
         step = lambda p: np.where(p > 0, np.round(-STEPS * np.log2(np.maximum(p, 1e-30))), -1).astype(np.int64)
-        code = (_level(context[seen]) * 512 + step(two[seen]) + 1) * 512 + step(one[seen]) + 1
-        codes, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, deleted[seen], minlength=len(codes))
-        out = {"code": [-1, -2, *codes.tolist()], "n": [float(len(names)), float((of_word > 0).sum()), *n.tolist()]}
-        for name, p in (("two", two[seen]), ("one", one[seen])):
-            out[name] = [0.0, 0.0, *np.bincount(at, deleted[seen] * p, minlength=len(codes)).tolist()]
-        return pa.table({"code": pa.array(out["code"], pa.int64()), "n": pa.array(out["n"], pa.float64()), "two": pa.array(out["two"], pa.float64()), "one": pa.array(out["one"], pa.float64())})
+        codes, at = np.unique((_level(context) * 512 + step(two) + 1) * 512 + step(one) + 1, return_inverse=True)
+        sums = {"n": count, "two": count * two, "one": count * one}
+        return pa.table({"code": pa.array(codes, pa.int64()), **{c: pa.array(np.bincount(at, x, minlength=len(codes)), pa.float64()) for c, x in sums.items()}})
 
     return run
 
@@ -192,39 +205,25 @@ def learn_weights(level: np.ndarray, n: np.ndarray, two: np.ndarray, one: np.nda
     return weights
 
 
-def _scored(slot_counts: np.ndarray, n_train: int, vocabulary: int, weights: np.ndarray):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Of one bucket: per document its tokens, known tokens and both sums of logarithms."""
-        parts, base = [], 0
-        for x in table.column("packed").to_pylist():
-            w, n, d = np.frombuffer(x, "<u4", 3).tolist()
-            names, count, slot, doc, ids, flags = _fields(x, [w, w, n, n, d, d], ["<u8", "<u4", "<u2", "<u4", "<i8", "u1"], 12)
-            parts.append((names, count, slot, (doc + base).astype(np.int32), ids, flags))
-            base += d
-        names, count, slot, doc, uid, learned = zip(*parts)
-        names, number = _numbered(list(names), list(count))
-        order, key_of = _ordered(number, np.concatenate(slot))
-        del number, slot
-        uid, learned, doc = np.concatenate(uid), np.concatenate(learned).astype(bool), np.concatenate(doc)[order]
-        del parts, order
-        teach = learned[doc]
-        new = np.concatenate([[True], key_of[1:] != key_of[:-1]])
-        of_word = _summed((key_of // SLOTS).astype(np.int32), teach, len(names))
-        number, slot = key_of[new] // SLOTS, key_of[new] % SLOTS
-        pair = (np.cumsum(new) - 1).astype(np.int32)
-        del key_of
-        of_pair = _summed(pair, teach, int(pair[-1]) + 1)
-        context = slot_counts[slot]
+def _scored(word_buckets: int, n_train: int, vocabulary: int, weights: np.ndarray):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """Of one block: per document its tokens, known tokens and both sums of logarithms."""
+        names, number = _block(block.column("names")[0].as_py(), block.column("numbers")[0].as_py())
+        role = block.column("role")[0].as_py()
+        _, before, word, _, pair = _pairs(names, number)
+        of_word, of_pair = _counts(answers, word_buckets, role, False)
+        context = of_word[before]
         l0, l1, l2 = weights[_level(context)].T
-        p = l2 * of_pair / np.maximum(context, 1) + l1 * of_word[number] / max(1, n_train) + l0 / (vocabulary + 1)
-        plain = (of_word[number] + 0.1) / (n_train + 0.1 * (vocabulary + 1))
-        per = lambda values: np.bincount(doc, values[pair], minlength=len(uid))
-        ids, at = np.unique(uid, return_inverse=True)
-        fold = lambda values: np.bincount(at, values, minlength=len(ids))
+        p = l2 * of_pair / np.maximum(context, 1) + l1 * of_word[word] / max(1, n_train) + l0 / (vocabulary + 1)
+        plain = (of_word + 0.1) / (n_train + 0.1 * (vocabulary + 1))
+        ends = number == np.searchsorted(names, END)
+        doc = np.cumsum(ends) - ends
+        keys = block.column("keys").combine_chunks().flatten()
+        per = lambda values: np.bincount(doc, values, minlength=len(keys))
         return pa.table({
-            "uid": pa.array(ids, pa.int64()), "n_tokens": pa.array(fold(np.bincount(doc, minlength=len(uid))).astype(np.int64)),
-            "n_known": pa.array(fold(per((of_word[number] > 0).astype(float))).astype(np.int64)),
-            "base_score": pa.array(fold(per(np.log10(plain)))), "score": pa.array(fold(per(np.log10(p)))),
+            "k": keys, "held": pa.array(np.full(len(keys), role == HELD)), "n_tokens": pa.array(np.bincount(doc, minlength=len(keys)), pa.int64()),
+            "n_known": pa.array(per((of_word > 0)[number]).astype(np.int64)),
+            "base_score": pa.array(per(np.log10(plain)[number])), "score": pa.array(per(np.log10(p)[pair])),
         })
 
     return run
@@ -241,58 +240,42 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, text: str = "text"
     """
     spark = docs.sparkSession
     text_batches(spark)
-    buckets = min(MOST_BUCKETS, max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 4))
-    body = F.coalesce(F.col(text), F.lit(""))
-    taken = docs.select(
-        F.col(key).alias("k"), F.xxhash64(F.col(key).cast("string"), body).alias("uid"), F.coalesce(held_out, F.lit(True)).alias("held"),
-        F.coalesce(deleted & ~held_out, F.lit(False)).alias("deleted"), body.alias("t"),
-    )
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rest = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for block in columnar.blocks(batches, "t", 4 << 20):
-            _, slot, owner = block_tokens(block)
-            total += np.bincount(slot, minlength=SLOTS)
-            rest += np.bincount(slot[~block.column("deleted").to_numpy()[owner]], minlength=SLOTS)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": there, "total": total[there], "rest": rest[there]})
-
-    teaching = taken.filter(~F.col("held")).select("deleted", "t")
-    sums = teaching.mapInArrow(slots, "slot long, total long, rest long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("rest").alias("rest")).toPandas()  # at most SLOTS rows
-    total, rest = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-    total[sums["slot"].to_numpy(np.int64)], rest[sums["slot"].to_numpy(np.int64)] = sums["total"].to_numpy(np.int64), sums["rest"].to_numpy(np.int64)
-    n_train = int(total.sum())
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 6 << 20):
-            words, slot, owner = block_tokens(block)
-            rows = list(_pack_pairs(words, slot, block.column("deleted").to_numpy()[owner], buckets))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "packed": pa.array([x[1] for x in rows], pa.binary())})
-
-    packed = teaching.mapInArrow(pairs, "bucket int, packed binary")
-    counted = packed.groupBy("bucket").applyInArrow(_histogram(rest, int(rest.sum())), "code long, n double, two double, one double")
+    pair_buckets = min(MOST_BUCKETS, max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 4))
+    word_buckets = -(-pair_buckets // 4)
+    held = F.coalesce(held_out, F.lit(True))
+    role = F.when(held, HELD).when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(REST)
+    taken = docs.select(F.col(key).alias("k"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    kind = taken.schema["k"].dataType.simpleString()
+
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for texts in columnar.blocks(batches, "t", BLOCK):
+            roles = texts.column("role").to_numpy()
+            for r in np.unique(roles).tolist():
+                block = texts.filter(pa.array(roles == r))
+                names, number = np.unique(block_words(block), return_inverse=True)
+                keys = block.column("k").combine_chunks()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([at], pa.int64()), pa.array([r], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                    pa.array([_squeezed(_steps(names))], pa.binary()), pa.array([_squeezed(number.astype("<u4"))], pa.binary()),
+                ], ["block", "role", "keys", "names", "numbers"])
+                at += 1
+
+    blocks = stored(taken.mapInArrow(told_apart, f"block long, role int, keys array<{kind}>, names binary, numbers binary"))
+    asked = blocks.select("block", "role", "names", "numbers").mapInArrow(_asked(word_buckets, pair_buckets), "bucket int, block long, role int, packed binary")
+    sums = ("words", "rest_words", "tokens", "rest_tokens")
+    answers = stored(asked.groupBy("bucket").applyInArrow(_answered(word_buckets), "block long, role int, bucket int, packed binary, " + ", ".join(f"{c} long" for c in sums)))
+    vocabulary, rest_vocabulary, n_train, rest_tokens = (x or 0 for x in answers.agg(*[F.sum(c) for c in sums]).first())
+    answers = answers.filter("block is not null").select("block", "role", "bucket", "packed")
+
+    gone, told = blocks.filter(F.col("role") == DELETED), answers.filter(F.col("role") == DELETED)
+    counted = gone.select("block", "names", "numbers").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_histogram(word_buckets, rest_tokens), "code long, n double, two double, one double")
     rows = counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).orderBy("code").toPandas()  # bounded by the steps
-    code, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float)
-    vocabulary, rest_vocabulary = int(n[code == -1].sum()), int(n[code == -2].sum())
-    real = code >= 0
-    weights = learn_weights(code[real] >> 18, n[real], rows["two"].to_numpy(float)[real] / n[real], rows["one"].to_numpy(float)[real] / n[real], 1 / (rest_vocabulary + 1))
+    n = rows["n"].to_numpy(float)
+    weights = learn_weights(rows["code"].to_numpy(np.int64) >> 18, n, rows["two"].to_numpy(float) / n, rows["one"].to_numpy(float) / n, 1 / (rest_vocabulary + 1))
     if not n_train:
         weights[:] = 1.0, 0.0, 0.0
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in columnar.blocks(batches, "t", 6 << 20):
-            words, slot, owner = block_tokens(block)
-            uid, held = block.column("uid").to_numpy(), block.column("held").to_numpy()
-            found = list(_pack_tokens(words, slot, owner, uid, ~held, buckets))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in found], pa.int32()), "packed": pa.array([x[1] for x in found], pa.binary())})
-
-    judged = taken.select("uid", "held", "t").mapInArrow(dealt, "bucket int, packed binary").groupBy("bucket")
-    parts = judged.applyInArrow(_scored(total, n_train, vocabulary, weights), "uid long, n_tokens long, n_known long, base_score double, score double")
-    scores = parts.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    listed = taken.select("k", "uid", "held")
-    copies = listed.groupBy("uid").agg(F.count("*").alias("copies"))
-    each = scores.join(copies, "uid").select("uid", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return listed.join(each, "uid").select(
-        F.col("k").alias(key), F.col("held").alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
-    )
+    met = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    scores = met.applyInArrow(_scored(word_buckets, n_train, vocabulary, weights), f"k {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+    return scores.select(F.col("k").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
