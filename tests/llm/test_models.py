@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -211,6 +212,15 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 8 and licenses.scan(none).collect() == []
 
 
+def test_licenses_wrapped(spark):
+    """Every template stays confirmed where its lines are wrapped, also within comments and inside a cue."""
+    wrapped = [(name, mark, "\n".join(mark + x for x in textwrap.wrap(t, 72))) for name, t in licenses.TEMPLATES for mark in ("", "# ", " * ")]
+    wrapped += [("proprietary", "", "All rights\nreserved."), ("CC0-1.0", "", "Released under CC0 1.0 into the public\n// domain.")]
+    docs = spark.createDataFrame([(i, f"Some prose before.\n\n{t}\n\nand after") for i, (_, _, t) in enumerate(wrapped)], "doc_id long, text string")
+    got = {r["doc_id"]: [(b["start"], b["end"], b["license"]) for b in r["blocks"]] for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(wrapped))] == [[(20, 20 + len(t), name)] for name, _, t in wrapped]
+
+
 def test_pipeline_stages_against_plain_versions(spark, small_dir, library):
     docs = queries.table(spark, small_dir, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
