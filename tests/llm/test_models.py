@@ -221,6 +221,21 @@ def test_licenses_wrapped(spark):
     assert [got[i] for i in range(len(wrapped))] == [[(20, 20 + len(t), name)] for name, _, t in wrapped]
 
 
+def test_licenses_in_long_lines(spark):
+    """Every template is confirmed between thousands of words on one line, and several on a line are all told."""
+    prose = [w for r in queries.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").limit(300).collect() if not licenses._CUE.search(r["text"] or "") for w in (r["text"] or "").split()]
+    assert len(prose) > 50_000
+    rng = np.random.default_rng(2)
+    part = lambda n: " ".join(prose[(a := int(rng.integers(len(prose) - n))) : a + n])
+    texts = [f"{part(n)} {t} {part(n)}" for _, t in licenses.TEMPLATES for n in (1000, 5000)]
+    texts.append(" ".join(f"{part(5)} {t}" for _, t in licenses.TEMPLATES))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [b["license"] for b in r["blocks"]] for r in licenses.scan(docs).collect()}
+    names = [name for name, _ in licenses.TEMPLATES]
+    assert [got[i] for i in range(len(texts) - 1)] == [[name] for name in names for _ in range(2)]
+    assert got[len(texts) - 1] == names
+
+
 def test_pipeline_stages_against_plain_versions(spark, small_dir, library):
     docs = queries.table(spark, small_dir, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
