@@ -188,6 +188,46 @@ def test_quality_on_labels(spark, odd, none):
     assert not any(r["rejected"] for r in quality.score(odd, quality.train(none, labels)).collect())
 
 
+def test_quality_features_are_whole_words():
+    """Words that begin alike differ by a feature of their own, prefixes are letters, and no character is left out."""
+
+    def features(text):
+        data, offs = columnar.utf8(pa.array([text]))
+        return set(quality.measure(data, offs)[3].tolist())
+
+    only = lambda a, b: features(a) - features(b)
+    for a, b in (("idiotic", "idiotypes"), ("path", "pathetic"), ("привет", "привал"), ("это очень плохо", "это очень плод"), ("天气很好我们出去玩吧", "天气很好我们出去死吧"), ("สวัสดีคนดี", "สวัสดีคนเลว")):
+        assert only(a, b) and only(b, a), (a, b)
+    assert features("приветы") & features("приветик") - features("прилив"), "five letters in common"
+    data, offs = columnar.utf8(pa.array(["天", "气", None, "", "é"]))
+    assert len(quality.measure(data, offs)[3]) == 5 * 5 + 3 * 2
+
+
+def test_quality_hears_other_scripts(spark):
+    """What a class says late in a run, or after the first letters of a word, is learned in scripts without spaces too."""
+    rng = np.random.default_rng(4)
+    filler = ["天气", "我们", "今天", "朋友", "城市", "音乐", "学校", "时间", "问题", "工作", "生活", "电影"]
+    cyrillic = ["погода", "сегодня", "город", "музыка", "школа", "время", "работа", "жизнь", "друзья"]
+
+    def text(i):
+        bad = i % 7 == 0
+        if i % 2:
+            return " ".join([*rng.choice(cyrillic, 12)] + ["придурок" if bad else "природа"])
+        words = list(rng.choice(filler, 30))
+        words.insert(int(rng.integers(8, 25)), "白痴" if bad else "白云")
+        return "".join(words) + "。"
+
+    texts = [text(i) for i in range(1200)]
+    toxic = [int(i % 7 == 0) for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic) if i % 5], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["p_toxic"] for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    for rest in (0, 1):
+        held = [i for i in range(0, 1200, 5) if i % 2 == rest]
+        bad, good = [got[i] for i in held if toxic[i]], [got[i] for i in held if not toxic[i]]
+        assert np.mean([b > 3 * g for b in bad for g in good]) >= 0.95
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.choice(3, 20_000, p=[0.7, 0.2, 0.1])

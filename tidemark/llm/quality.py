@@ -36,6 +36,7 @@ _BINS = (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.8)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*|@^~+=<>")] = True
+_APART_BY = 0x9E3779B97F4A7C15  # sets kinds of features apart
 _APART = columnar.byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
@@ -46,7 +47,11 @@ def _insult_prints() -> np.ndarray:
 
 
 def measure(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: words, the five shares of LIMITS, and insults; and word prefixes as (text, hashed feature) pairs."""
+    """Per text: words, the five shares of LIMITS, and insults; and hashed features as (text, feature) pairs.
+
+    Features are whole words, the first 4 and 5 letters of longer words, every 1 to 3 neighbouring multi-byte characters, as
+    a run of these may be a sentence in a script without spaces, and the bins of the shares.
+    """
     n = len(offs) - 1
     per = lambda rows, weights=None: np.bincount(rows, weights, minlength=n)[:n]
     lower = columnar.LOWER[data]
@@ -69,8 +74,21 @@ def measure(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     s, e, d = columnar.word_spans(lower, offs, _APART)
     insults = per(d[np.isin(columnar.fingerprints(sums, s, e), _insult_prints())])
     shift = np.uint64(64 - BITS)
-    heads = [(columnar.fingerprints(sums, s, np.minimum(s + k, e)) + np.uint64(k)) >> shift for k in (4, 5)]
-    pairs = np.unique(np.concatenate([(d.astype(np.uint64) << np.uint64(BITS)) | h for h in heads]))
+    hashed = lambda d, s, e, kind: (d.astype(np.uint64) << np.uint64(BITS)) | ((columnar.fingerprints(sums, s, e) + np.uint64(kind * _APART_BY & 0xFFFFFFFFFFFFFFFF)) >> shift)
+    found = [hashed(d, s, e, 0)]
+    first = (lower & 0xC0) != 0x80  # bytes that begin a character
+    marks = np.append(np.flatnonzero(first), len(lower))
+    at = (np.cumsum(first) - 1)[s]
+    for k in (4, 5):
+        cut = marks[np.minimum(at + k, len(marks) - 1)]
+        longer = cut < e
+        found.append(hashed(d[longer], s[longer], cut[longer], k))
+    wide = np.flatnonzero(lower[marks[:-1]] >= 0x80)
+    text = owner[marks[wide]]
+    for k in (1, 2, 3):
+        run = np.flatnonzero((wide[k - 1 :] - wide[: len(wide) - k + 1] == k - 1) & (text[k - 1 :] == text[: len(wide) - k + 1]))
+        found.append(hashed(text[run], marks[wide[run]], marks[wide[run] + k], 10 + k))
+    pairs = np.unique(np.concatenate(found))
     bins = np.digitize(shares, _BINS)
     shape = columnar.mix((np.arange(5)[:, None] * 64 + bins + 1_000_003).astype(np.uint64)) >> shift
     shape = (np.arange(n, dtype=np.uint64)[None, :] << np.uint64(BITS)) | shape
