@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, columnar, langid, licenses, lm, quality, queries, secrets
+from tidemark.llm import bpe, columnar, langid, licenses, lm, quality, queries, repeats, secrets
 
 GIVEN = "/root/testdata/sf0.001"
 ODD_TEXTS = [
@@ -276,6 +276,18 @@ def test_licenses_in_long_lines(spark):
     assert got[len(texts) - 1] == names
 
 
+def test_repeats_keep_contexts_apart_by_64_bits():
+    """Contexts under one gram that agree in their low 40 bits only are no repeats but stay open; equal ones are."""
+    data, offs = columnar.utf8(pa.array(["".join(chr(97 + i * i % 23) for i in range(j, j + 300)) for j in range(20)]))
+    assert repeats.anchors(data, offs, 100)["context"].max() > 1 << 60
+    for kind in (repeats._PLAIN, repeats._COMMON):
+        r = np.zeros(3, repeats._ANCHOR)
+        r["doc"], r["context"], r["kind"] = [0, 1, 2], [5, 5 | 1 << 50, 5], kind
+        packed = [x for _, x in repeats._packed(np.zeros(3, np.int64), r, np.array([10, 11, 12]), np.zeros(3, np.int64))]
+        got = repeats._sorted(100)(None, pa.table({"packed": pa.array(packed, pa.binary())})).to_pylist()
+        assert [x["id"] for x in got if x["spans"]] == [12] and sorted(x["id"] for x in got if x["open"]) == [10, 11]
+
+
 def test_pipeline_stages_against_plain_versions(spark, small_dir, library):
     docs = queries.table(spark, small_dir, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]

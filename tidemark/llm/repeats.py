@@ -71,7 +71,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.nda
     context = columnar.mix(context + ((at - first) * 256 + (last - first)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return {
         "doc": np.searchsorted(offs, at, "right") - 1, "first": first, "at": at, "more": last - first,
-        "key": (lead << np.uint64(16)) | (gram >> np.uint64(48)), "rest": (gram >> np.uint64(32)) & np.uint64(0xFFFF), "context": context & np.uint64(0xFFFFFFFFFF),
+        "key": (lead << np.uint64(16)) | (gram >> np.uint64(48)), "rest": (gram >> np.uint64(32)) & np.uint64(0xFFFF), "context": context,
     }
 
 
@@ -106,7 +106,7 @@ class Ranges:
 
 
 #: Records that travel: documents by id and tag, and per record its document's place in the block.
-_ANCHOR = np.dtype([("doc", "<u4"), ("key", "<u8"), ("rest", "<u2"), ("c0", "<u4"), ("c1", "u1"), ("first", "<u4"), ("more", "u1"), ("at", "u1"), ("kind", "u1")])
+_ANCHOR = np.dtype([("doc", "<u4"), ("key", "<u8"), ("rest", "<u2"), ("context", "<u8"), ("first", "<u4"), ("more", "u1"), ("at", "u1"), ("kind", "u1")])
 _REPEAT, _PLAIN, _COMMON = 0, 1, 2
 
 
@@ -164,7 +164,7 @@ def _sorted(length: int):
         known = r["kind"] == _REPEAT
         spans_doc, spans = [r["doc"][known]], [np.stack([r["first"][known], r["first"][known].astype(np.int64) + r["more"][known] + length], axis=1)]
         r, rank = r[~known], rank[~known]
-        context = r["c0"].astype(np.uint64) | (r["c1"].astype(np.uint64) << np.uint64(32))
+        context = r["context"].astype(np.uint64)
         order = np.lexsort((r["first"], rank, context, r["rest"], r["key"]))
         r, rank, context = r[order], rank[order], context[order]
         new_gram = np.concatenate([[True], (r["key"][1:] != r["key"][:-1]) | (r["rest"][1:] != r["rest"][:-1])])[: len(r)]
@@ -281,7 +281,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
             doc = found["doc"]
             r = np.zeros(len(doc), _ANCHOR)
             r["doc"], r["key"], r["rest"], r["more"] = doc, found["key"], found["rest"], found["more"]
-            r["c0"], r["c1"] = found["context"].astype(np.uint64) & np.uint64(0xFFFFFFFF), found["context"].astype(np.uint64) >> np.uint64(32)
+            r["context"] = found["context"]
             r["first"], r["at"] = found["first"] - offs[doc], found["at"] - found["first"]
             bucket, common = ranges.value.deal(found["key"].astype(np.uint64), found["context"].astype(np.uint64))
             r["kind"] = np.where(common, _COMMON, _PLAIN)
