@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, licenses, lm, nearest, quality, repeats, secrets, similar
+from tidemark.llm import bpe, decontaminate, langid, licenses, lm, nearest, negatives, pivots, quality, repeats, secrets, similar, spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,21 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest", nearest.ORACLE)
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_topk", pivots.ORACLE)
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_negatives", negatives.ORACLE)
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One label in seven is wrong on purpose, as given labels are."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run in 97 of the given texts is misspelled on purpose before words are counted."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), typos=97))
