@@ -2,10 +2,12 @@
 
 A pair of neighbouring bytes that stands inside no vocabulary token can never be merged across, so a word may be cut there:
 the fragments are encoded independently and their ids concatenated. Only the last fragment of a word carries the end-of-word
-mark. The merges of a fragment are done by the tokenizers library; each task keeps the ids of words it has met in a table
-of at most `WORDS_KEPT` entries, which is emptied when full and at its end.
+mark. The merges are done by the tokenizers library, in one call for all different fragments of a block of texts: no word
+crosses a blank, so the block's texts are told apart by what stands between blanks, each such chunk is cut into words once,
+each word into fragments once, and the ids are gathered back by offsets.
 
-Everything is one narrow pass over the documents: no shuffle, and a lost task is simply run again.
+Everything is one narrow pass over the documents: no shuffle, and a lost task is simply run again. A block is 4 MB of text; a
+longer text makes a block of its own.
 """
 
 from __future__ import annotations
@@ -16,15 +18,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import Split
 
 from tidemark.llm import columnar
 from tidemark.llm.shared import text_batches
 
-WORDS_KEPT = 200_000
+BLOCK_BYTES = 4 << 20
 MARK = "</w>"
 
 
@@ -35,6 +40,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of ranges of such starts and lengths, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
 class Encoder:
     """Encodes and decodes whole texts; built once per worker from the tokenizer's JSON text."""
 
@@ -43,39 +58,60 @@ class Encoder:
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
+        self.split = regex.compile(f" |{pattern}")
         self.space = regex.compile(r"\s+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.letters = byte_letters()
-        number = {x: b for b, x in enumerate(self.letters)}
+        letters = byte_letters()
+        self.letters = np.array([ord(x) for x in letters], np.uint32)
+        number = {x: b for b, x in enumerate(letters)}
         self.joined = np.zeros((256, 256), bool)  # byte pairs that stand inside some token
         for token in vocab:
             b = [number[x] for x in token.removesuffix(MARK)]
             self.joined[b[:-1], b[1:]] = True
-        self.last = BPE(vocab, merges, end_of_word_suffix=MARK)
-        self.inner = BPE(vocab, merges)
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.last, self.inner = Tokenizer(BPE(vocab, merges, end_of_word_suffix=MARK)), Tokenizer(BPE(vocab, merges))
+        for one in (self.last, self.inner):
+            one.pre_tokenizer = Split("\n", "removed")
+
+    def cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where fragments of the words in `data` begin: at a word's start and between bytes that stand in no token."""
+        begins = np.zeros(len(data), bool)
+        begins[1:] = ~self.joined[data[:-1], data[1:]]
+        begins[offs[:-1]] = True
+        return np.flatnonzero(begins)
 
     def fragments(self, word: str) -> list[bytes]:
         raw = word.encode()
-        b = np.frombuffer(raw, np.uint8)
-        cuts = (np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()
-        return [raw[i:j] for i, j in zip([0, *cuts], [*cuts, len(raw)])]
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        """The ids as little-endian bytes, and the tokens' texts joined by blanks."""
-        ids: list[int] = []
-        parts = self.fragments(word)
-        for k, part in enumerate(parts):
-            model = self.last if k == len(parts) - 1 else self.inner
-            ids += [t.id for t in model.tokenize("".join([self.letters[x] for x in part]))]
-        found = np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
-        if len(self.kept) >= WORDS_KEPT:
-            self.kept.clear()
-        self.kept[word] = found
-        return found
+        at = self.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+
+    def _merged(self, tokenizer: Tokenizer, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the fragments of such starts and lengths, and the fragment's number of each."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = np.full(int(lengths.sum()) + len(starts), ord("\n"), np.uint32)
+        text[ragged(offsets(lengths + 1)[:-1], lengths)] = self.letters[data[ragged(starts, lengths)]]
+        found = tokenizer.encode(text.tobytes().decode("utf-32-le"), add_special_tokens=False)
+        return np.array(found.ids, np.int64), np.array(found.word_ids, np.int64)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each word has. A special token is given with a line end before it."""
+        data, offs = columnar.utf8(pa.array(words, pa.string()))
+        starts = self.cuts(data, offs)
+        ends = np.append(starts[1:], len(data))
+        word = np.searchsorted(offs, starts, "right") - 1
+        given = np.array([w[0] == "\n" for w in words], bool)[word]
+        last = np.flatnonzero((ends == offs[word + 1]) & ~given)
+        inner = np.flatnonzero((ends < offs[word + 1]) & ~given)
+        found = [(ids, which[at]) for which, (ids, at) in ((some, self._merged(one, data, starts[some], (ends - starts)[some])) for some, one in ((last, self.last), (inner, self.inner)))]
+        marks = [(i, self.special[w[1:]]) for i, w in enumerate(words) if w[0] == "\n"]
+        found.append((np.array([x for _, x in marks], np.int64), np.searchsorted(word, np.array([i for i, _ in marks], np.int64))))
+        ids, fragment = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(fragment, kind="stable")
+        return ids[order], np.bincount(word[fragment], minlength=len(words))
 
     def normal(self, text: str) -> str:
         """NFC, one blank for white space, lower case letter by letter (a capital sigma doesn't look at its neighbours)."""
@@ -84,25 +120,61 @@ class Encoder:
         text = self.space.sub(" ", text)
         return "".join([x.lower() for x in text]) if "Σ" in text else text.lower()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        ids: list[bytes] = []
-        decoded: list[str] = []
-        pieces = self.marks.split(text) if self.marks and "<|" in text else [text]
-        for piece in pieces:
-            if piece in self.special:
-                ids.append(np.array([self.special[piece]], "<u4").tobytes())
-                decoded.append(piece)
+    def _words(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all chunks, and how many each has. Chunks with special tokens or other white space come one by one."""
+        plain = [i for i, x in enumerate(chunks) if "<|" not in x and not self.space.search(x)]
+        found = self.split.findall(self.normal(" ".join([chunks[i] for i in plain])))
+        codes = pa.array([*found, " "], pa.string())
+        apart = np.flatnonzero(pc.equal(codes, " ").to_numpy(zero_copy_only=False))
+        count = np.zeros(len(chunks), np.int64)
+        if plain:
+            count[plain] = np.diff(apart, prepend=-1) - 1
+        if len(plain) == len(chunks):
+            return [w for w in found if w != " "], count
+        ready, at, words = [w for w in found if w != " "], 0, []
+        simple = set(plain)
+        for i, chunk in enumerate(chunks):
+            if i in simple:
+                words += ready[at : at + count[i]]
+                at += count[i]
                 continue
-            kept = self.kept
-            for w in self.words.findall(self.normal(piece)):
-                found = kept.get(w) or self.word(w)
-                ids.append(found[0])
-                decoded.append(found[1])
-        return b"".join(ids), " ".join(decoded)
+            pieces = self.marks.split(chunk) if self.marks else [chunk]
+            own = [w for p in pieces for w in (["\n" + p] if p in self.special else self.words.findall(self.normal(p)))]
+            count[i] = len(own)
+            words += own
+        return words, count
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each text has."""
+        for mark in "\n\t\r":  # they part words as a blank does; other white space is left to the expressions
+            texts = pc.replace_substring(texts, mark, " ")
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        chunks = parts.flatten().dictionary_encode()
+        words, n_words = self._words(chunks.dictionary.to_pylist())
+        known = pa.array(words, pa.string()).dictionary_encode()
+        ids, n_ids = self.encode_words(known.dictionary.to_pylist())
+        # From words to chunks to texts: every level takes the ranges of the one below.
+        code = known.indices.to_numpy()
+        some = n_ids[code]
+        chunk_ids = ids[ragged(offsets(n_ids)[:-1][code], some)]
+        per_chunk = np.diff(offsets(some)[offsets(n_words)])
+        code = chunks.indices.to_numpy()
+        flat = chunk_ids[ragged(offsets(per_chunk)[:-1][code], per_chunk[code])]
+        return flat, np.diff(offsets(per_chunk[code])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+
+    def texts_of(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The tokens' texts joined by blanks, for texts of so many ids each."""
+        lists = pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), self.tokens.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        ids, counts = self.encode_block(pa.array([text], pa.string()))
+        return ids.astype("<u4").tobytes(), self.texts_of(ids, counts)[0].as_py()
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the tokenizer's file, the tokens' texts joined by blanks."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        known = [i for i in ids if i < len(self.tokens) and self.tokens[i].is_valid]
+        return self.texts_of(np.array(known, np.int64), np.array([len(known)]))[0].as_py()
 
 
 _BUILT: dict[int, Encoder] = {}
@@ -125,12 +197,13 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple
         encoder = _BUILT.get(key)
         if encoder is None:
             encoder = _BUILT[key] = Encoder(shared.value)
-        for block in columnar.blocks(batches, "t", 4 << 20):
-            out = [encoder.encode(t) for t in block.column("t").to_pylist()]
+        for block in columnar.blocks(batches, "t", BLOCK_BYTES):
+            ids, counts = encoder.encode_block(block.column("t").combine_chunks())
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets(4 * counts).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             arrays = [block.column(i).combine_chunks() for i in range(len(keep))]
-            arrays += [pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())]
+            arrays += [pa.array(counts, pa.int64()), raw, encoder.texts_of(ids, counts)]
             yield pa.RecordBatch.from_arrays(arrays, [*[f"k{i}" for i in range(len(keep))], "n_tokens", "ids", "decoded"])
-        encoder.kept.clear()  # workers go on to other stages
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
 
     kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(taken.schema.fields[:-1]))
     rows = taken.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded string")
