@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views import DAY_US, HOUR_US
 from tidemark.session import shared_dir
-from tidemark.streaming import batches
+from tidemark.streaming import batches, changes
 
 
 def _stream(spark, sf_dir, table: str):
@@ -22,30 +23,39 @@ def _root(spark, name: str) -> str:
     return f"{shared_dir(spark)}/stream/{name}-{uuid.uuid4().hex}"
 
 
-@query("stream_dedup_bodies", ["bodies"], "SELECT body_hash, count(*) AS rows FROM (SELECT DISTINCT body_hash FROM bodies) GROUP BY body_hash")
+#: Arrivals come in slices of so long; each is one run of a stream, continued at its checkpoint.
+SLICE_US = 8 * DAY_US
+
+
+def _slice(arrives: str) -> Column:
+    return F.floor((F.col(arrives) - views.EPOCH_2024) / SLICE_US)
+
+
+@query("stream_dedup_bodies", ["bodies"], "SELECT body_hash, count(*) AS rows, min(fetched_at) AS first_fetched FROM (SELECT body_hash, min(fetched_at) AS fetched_at FROM bodies GROUP BY body_hash) GROUP BY body_hash")
 def stream_dedup_bodies(spark, sf_dir):
-    """Each body once, within a watermark longer than the table's span."""
-    docs = _stream(spark, sf_dir, "documents").select(
-        F.timestamp_micros(F.lit(views.EPOCH_2024) + F.col("doc_id") * HOUR_US).alias("fetched_at"), F.sha2("text", 256).alias("body_hash")
-    )
+    """Each body once over several runs, copies lying far beyond the watermark of two days."""
+    bodies = views.bodies(spark, sf_dir).select("body_hash", F.timestamp_micros("fetched_at").alias("fetched_at"), "doc_id")
+    span = bodies.agg(F.max("doc_id")).first()[0] or 0
     root = _root(spark, "dedup")
-    batches.write_available(batches.dedup_bodies(docs, "36500 days"), root)
-    return spark.read.parquet(f"{root}/out").groupBy("body_hash").agg(F.count(F.lit(1)).alias("rows"))
+    for folder in batches.arrivals(bodies.withColumn("part", F.floor(F.col("doc_id") * 4 / (span + 1))), "part", root):
+        batches.dedup_bodies(batches.read_stream(spark, folder, bodies.schema), root, "2 days")
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("body_hash").agg(F.count(F.lit(1)).alias("rows"), F.unix_micros(F.min("fetched_at")).alias("first_fetched"))
 
 
 @query("stream_change_only", ["ticks"], """SELECT event_id, price_c, is_available FROM (SELECT *, row_number() OVER w AS i, lag(price_c) OVER w AS pp, lag(is_available) OVER w AS pa FROM ticks
  WINDOW w AS (PARTITION BY series_id, source, price_kind ORDER BY observed_at, event_id))
  WHERE i = 1 OR price_c IS DISTINCT FROM pp OR is_available IS DISTINCT FROM pa""")
 def stream_change_only(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id AS series_id", "event_type AS source", f"{views.micros('ts')} AS observed_at", "event_id % 11 <> 0 AS is_available",
-        "CASE WHEN event_id % 11 <> 0 THEN 101 + (CAST(floor(value) AS BIGINT) % 5) * 25 END AS price_c",
-        "CASE event_id % 4 WHEN 0 THEN 'provider_closing' WHEN 1 THEN 'exchange_sp' ELSE 'observed' END AS price_kind",
-    )
+    """Ticks in the order they became known, up to six hours late, over several runs of one stateful processor."""
+    changes.prepare(spark)
+    ticks = views.ticks(spark, sf_dir).select("series_id", "source", "price_kind", "observed_at", "event_id", "price_c", "is_available", "known_at")
     root = _root(spark, "changes")
-    step = batches.change_only_step(["series_id", "source", "price_kind"], ["price_c", "is_available"], ["observed_at", "event_id"])
-    batches.run_available(events, root, step)
-    return batches.output(spark, root).select("event_id", "price_c", "is_available")
+    for folder in batches.arrivals(ticks.withColumn("part", _slice("known_at")), "part", root):
+        stream = batches.read_stream(spark, folder, ticks.schema)
+        told = changes.change_only(stream, ["series_id", "source", "price_kind"], "observed_at", "event_id", ["price_c", "is_available"], "12 hours")
+        batches.write_available(told, root)
+    return changes.stands(spark.read.parquet(f"{root}/out"), "event_id", "price_c", "is_available")
 
 
 @query("stream_revise", ["rev"], "SELECT key_id, source, p1, known_at, superseded_at FROM rev")
@@ -62,10 +72,18 @@ def stream_revise(spark, sf_dir):
     return batches.output(spark, root).select(*names, "superseded_at").unionByName(open_rows)
 
 
-@query("stream_late_data", None, f'SELECT epoch_us(ts) // {DAY_US} * {DAY_US} AS "window", count(*) AS on_time, CAST(0 AS BIGINT) AS late FROM events GROUP BY 1')
+#: How far the late-data watermark lies behind the newest instant.
+DELAY_US = 2 * HOUR_US
+
+
+@query("stream_late_data", ["ticks"], f"""+ cut AS (SELECT observed_at AS o, (known_at - {views.EPOCH_2024}) // {SLICE_US} AS slice FROM ticks),
+ newest AS (SELECT slice, max(max(o)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM cut GROUP BY slice)
+ SELECT o // {DAY_US} * {DAY_US} AS "window", count(*) FILTER (mark IS NULL OR o >= mark - {DELAY_US}) AS on_time, count(*) FILTER (o < mark - {DELAY_US}) AS late
+ FROM cut JOIN newest USING (slice) GROUP BY 1""")
 def stream_late_data(spark, sf_dir):
-    """Rows per day against the watermark of earlier batches; a single first batch has none late."""
-    events = _stream(spark, sf_dir, "events").selectExpr("event_id", f"{views.micros('ts')} AS at")
+    """Ticks per day, on time or behind the watermark that earlier runs left."""
+    ticks = views.ticks(spark, sf_dir).select("event_id", F.col("observed_at").alias("at"), "known_at")
     root = _root(spark, "late")
-    batches.run_available(events, root, batches.late_rows_step("at", DAY_US))
+    for folder in batches.arrivals(ticks.withColumn("part", _slice("known_at")), "part", root):
+        batches.run_available(batches.read_stream(spark, folder, ticks.schema), root, batches.late_rows_step("at", DAY_US, DELAY_US))
     return batches.output(spark, root).groupBy("window").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))

@@ -8,14 +8,14 @@ restart neither loses nor doubles rows, and no state lives in executor memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.ordered import neighbours
-from tidemark.operators.temporal import content_differs, history_from_log, payload
+from tidemark.operators.temporal import history_from_log
 
 Step = Callable[[DataFrame | None, DataFrame, int], tuple[DataFrame, DataFrame]]
 
@@ -59,42 +59,51 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def dedup_bodies(stream: DataFrame, delay: str) -> DataFrame:
-    """Payloads whose hash was not seen within `delay` of event time; state is bounded by the watermark.
+def arrivals(rows: DataFrame, part: str, root: str) -> Iterator[str]:
+    """Rows of a table as they come: those of one value of the bigint `part` after the other, appended to a folder.
 
-    Needs fetched_at (timestamp) and body_hash.
+    Yields the folder after each; a stream read up to there and begun again at its checkpoint sees several triggers.
     """
-    return stream.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["body_hash"])
+    bounds = rows.agg(F.min(part).alias("lo"), F.max(part).alias("hi")).first()
+    for i in range(bounds.lo or 0, (bounds.hi if bounds.hi is not None else -1) + 1):
+        rows.filter(F.col(part) == i).drop(part).write.mode("append").parquet(f"{root}/in")
+        yield f"{root}/in"
 
 
-def write_available(stream: DataFrame, root: str) -> None:
-    query = (
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+#: Parts of the table of seen bodies; a batch reads those its own hashes fall into.
+SEEN_PARTS = 64
 
 
-def change_only_step(keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> Step:
-    """Emit a row iff its content differs from the key's previous row; state is the last row per key.
+def dedup_bodies(stream: DataFrame, root: str, delay: str) -> None:
+    """Each payload once, for ever, with state bounded by `delay`: process everything the source has now.
 
-    A row at or before the state's instant is late: what was emitted can't be
-    taken back, so it is left out here and counted by the late-data step.
+    Live duplicates, within `delay` of event time, are told apart by Spark's state store. What passes is compared with the
+    table of bodies already stored, in parts by hash, of which only those that the batch touches are read. A repeated batch
+    overwrites its own rows. Needs fetched_at (timestamp) and body_hash; the table is `root`/out.
     """
-    names = [*keys, *columns, *order]
 
-    def step(held: DataFrame | None, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        fresh = rows.select(*names).withColumn("__new", F.lit(True))
-        known = None if held is None else held.select(*names).withColumn("__new", F.lit(False))
-        both = fresh if known is None else fresh.unionByName(known)
-        since = F.max(F.when(~F.col("__new"), F.struct(*order))).over(Window.partitionBy(*keys))
-        both = both.withColumn("__since", since).filter(~F.col("__new") | F.col("__since").isNull() | (F.struct(*order) > F.col("__since"))).drop("__since")
-        marked = neighbours(both, list(keys), list(order), previous={"__prev": payload(columns)})
-        changed = marked.filter("__new").filter(F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns)))
-        last = both.groupBy(*keys).agg(F.max(F.struct(*order, *columns)).alias("r")).select(*keys, "r.*")
-        return changed.select(*names), last.select(*names)
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        fresh = rows.dropDuplicates(["body_hash"]).withColumn("part", F.pmod(F.xxhash64("body_hash"), F.lit(SEEN_PARTS)).cast("int"))
+        if batch_id:
+            touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # SEEN_PARTS at most
+            seen = spark.read.schema(StructType([*fresh.schema, StructField("batch", LongType())])).parquet(f"{root}/out").filter(F.col("part").isin(touched) & (F.col("batch") < batch_id))
+            fresh = fresh.join(seen.select("part", "body_hash"), ["part", "body_hash"], "left_anti").select(*fresh.columns)
+        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/out/batch={batch_id}")
+
+    live = stream.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["body_hash"])
+    query = live.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    return step
+
+def write_available(stream: DataFrame, root: str) -> list[dict]:
+    """Append what a stream has now to `root`/out; the progress reports of its batches."""
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
 
 def revise_step(keys: Sequence[str], columns: Sequence[str], tiebreak: Sequence[str]) -> Step:
@@ -112,12 +121,13 @@ def revise_step(keys: Sequence[str], columns: Sequence[str], tiebreak: Sequence[
     return step
 
 
-def late_rows_step(at: str, window_us: int) -> Step:
-    """Count on-time and late rows per window against the newest instant seen in earlier batches."""
+def late_rows_step(at: str, window_us: int, delay_us: int = 0) -> Step:
+    """Count on-time and late rows per window: late is what lies before the watermark, `delay_us` behind the newest instant of
+    earlier batches. State is that instant."""
 
     def step(held: DataFrame | None, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         mark = None if held is None else held.first().mark
-        late = F.coalesce(F.col(at) < F.lit(mark).cast("bigint"), F.lit(False))
+        late = F.coalesce(F.col(at) < F.lit(mark).cast("bigint") - delay_us, F.lit(False))
         window = (F.floor(F.col(at) / F.lit(window_us)) * window_us).alias("window")
         counts = rows.groupBy(window).agg(
             F.sum((~late).cast("bigint")).alias("on_time"), F.sum(late.cast("bigint")).alias("late")
