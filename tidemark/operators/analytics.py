@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.probability import OVER_UNDER_LINES, line_name
-from tidemark.operators.ordered import GRAIN_US, earlier_totals, neighbours
+from tidemark.operators.ordered import GRAIN_US, earlier_totals, neighbours, same_key_join
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.temporal import history_from_log
 
 
@@ -50,19 +51,19 @@ def form_snapshot(matches: DataFrame, last: Sequence[int] = (5, 10), grain_us: i
         "home_points": (F.col("points") * F.col("at_home")).cast("bigint"),
     }
     names = list(sums)
-    running = earlier_totals(side, keys, "k", sums, grain_us)
-    ordinal = earlier_totals(running.select(*keys, "k"), keys, "k", {"ordinal": F.lit(1).cast("bigint")}, grain_us)
-    numbered = running.join(ordinal, [*keys, "k"])
+    instants = side.groupBy(*keys, "season", "k").agg(*[F.sum(e).alias(x) for x, e in sums.items()])
+    # Playing instants are counted in the same pass as what they sum up.
+    numbered = earlier_totals(instants.groupBy(*keys, "k").agg(*[F.sum(x).alias(x) for x in names]), keys, "k", {x: F.col(x) for x in names} | {"ordinal": F.lit(1).cast("bigint")}, grain_us)
     out = numbered
     for n in last:
         back = numbered.select(*keys, (F.col("ordinal") + n).alias("ordinal"), *[F.col(x).alias(f"__{x}") for x in names])
-        out = out.join(back, [*keys, "ordinal"], "left").select(
+        out = same_key_join(out, back, [*keys, "ordinal"], "left").select(
             *out.columns, *[(F.col(x) - F.coalesce(F.col(f"__{x}"), F.lit(0))).alias(f"last{n}_{x}") for x in names]
         )
-    season = earlier_totals(side, [*keys, "season"], "k", sums, grain_us).select(
+    season = earlier_totals(instants, [*keys, "season"], "k", {x: F.col(x) for x in names}, grain_us).select(
         *keys, "k", "season", *[F.col(x).alias(f"season_{x}") for x in names]
     )
-    return out.drop("ordinal", *names).join(season, [*keys, "k"])
+    return same_key_join(out.drop("ordinal", *names), season, [*keys, "k"])
 
 
 def settle_selection(market: Column, line: Column, selection: Column, home: Column, away: Column) -> Column:
@@ -155,8 +156,6 @@ def feed_metrics(truth: DataFrame, feed: DataFrame, key: str, by: Sequence[str])
     def share(condition: Column, of: Column) -> Column:
         return F.sum((of & F.coalesce(condition, F.lit(False))).cast("double")) / F.sum(of.cast("double"))
 
-    # Whole seconds: the exact percentile then keeps a bounded number of distinct values.
-    minutes = F.when(known, F.floor((F.col("arrived_at") - F.col("t_k")) / F.lit(1e6)) / F.lit(60.0))
     goals = F.col("t_hg") + F.col("t_ag")
     out = matched.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(F.when(known, F.col(key))).alias("found"),
@@ -167,9 +166,11 @@ def feed_metrics(truth: DataFrame, feed: DataFrame, key: str, by: Sequence[str])
         share(F.col("shots_on_target") <= F.col("shots"), F.col("shots").isNotNull()).alias("plausible"),
         (F.sum(F.when(known, F.col("xg"))) / F.sum(F.when(known & F.col("xg").isNotNull(), goals))).alias("xg_ratio"),
         F.corr(F.when(known, F.col("xg")), F.when(known, goals.cast("double"))).alias("xg_correlation"),
-        F.percentile(minutes, 0.5).alias("latency_median"), F.percentile(minutes, 0.95).alias("latency_p95"),
     )
-    return out.join(expected, list(by)).withColumn("recall", F.col("found") / F.col("expected"))
+    waits = matched.filter(known).select(*by, (F.col("arrived_at") - F.col("t_k")).alias("__us"))
+    latency = exact_quantiles(waits, by, "__us", {"latency_median": 0.5, "latency_p95": 0.95})
+    latency = latency.select(*by, *[(F.col(c) / F.lit(6e7)).alias(c) for c in ("latency_median", "latency_p95")])
+    return same_key_join(same_key_join(out, latency, by, "left"), expected, by).withColumn("recall", F.col("found") / F.col("expected"))
 
 
 def union_violations(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize_alias
-from tidemark.operators.ordered import DAY_US, earlier_totals
+from tidemark.operators.ordered import DAY_US, earlier_totals, same_key_join
 from tidemark.operators.temporal import as_of, current_rows, insert_absent, null_safe_join, visible_at
 
 
@@ -132,7 +132,7 @@ def match_candidates(
     low = totals.select(*keys, F.col("at").alias("lo"), F.col("n").alias("n0"), F.col("s").alias("s0"))
     high = totals.select(*keys, F.col("at").alias("hi"), F.col("n").alias("n1"), F.col("s").alias("s1"))
     bounded = ours.withColumns({"lo": F.col("k") - span, "hi": F.col("k") + span + 1})
-    counted = bounded.join(low, [*keys, "lo"]).join(high, [*keys, "hi"]).withColumn("n", F.col("n1") - F.col("n0"))
+    counted = same_key_join(same_key_join(bounded, low, [*keys, "lo"]), high, [*keys, "hi"]).withColumn("n", F.col("n1") - F.col("n0"))
     single = F.when(F.col("n") == 1, (F.col("s1") - F.col("s0")).cast("bigint"))
     decision = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("review")
     return counted.select(*ours.columns, "n", single.alias("candidate"), decision.alias("decision"))

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.operators.ordered import carry_forward, earlier_totals, neighbours
+from tidemark.operators.ordered import carry_forward, earlier_totals, neighbours, same_key_join
 from tidemark.operators.temporal import as_of, content_differs, current_rows
 
 SOLVER_STEPS = 60
@@ -36,10 +36,18 @@ def last_before_kickoff(ticks: DataFrame, bound: str = "kickoff") -> DataFrame:
     return _latest(kept, ["series_id", bound])
 
 
-def price_path(ticks: DataFrame) -> DataFrame:
-    """Every tick of a series with its position in time order; positions come from running counts, not one long list."""
+#: What orders ticks of one series at one instant.
+TIES = ("source", "price_kind", "event_id")
+
+
+def price_path(ticks: DataFrame, ties: Sequence[str] = TIES) -> DataFrame:
+    """Every tick of a series with its position in time order, ticks of one instant in the order of `ties`.
+
+    Positions come from running counts, not from one long list; only an instant's own ticks are numbered in a window.
+    """
     before = earlier_totals(ticks, ["series_id"], "observed_at", {"position": F.lit(1).cast("bigint")})
-    return ticks.join(before, ["series_id", "observed_at"]).withColumn("position", F.col("position") + 1)
+    place = F.row_number().over(Window.partitionBy("series_id", "observed_at").orderBy(*ties))
+    return same_key_join(ticks.withColumn("__place", place), before, ["series_id", "observed_at"]).withColumn("position", F.col("position") + F.col("__place")).drop("__place")
 
 
 def change_only(ticks: DataFrame, keys: Sequence[str] = ("series_id", "source", "price_kind"), tiebreak: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -49,15 +57,16 @@ def change_only(ticks: DataFrame, keys: Sequence[str] = ("series_id", "source",
     return out.filter(F.col("__prev").isNull() | content_differs(F.col("__prev"), content)).drop("__prev")
 
 
-def step_price(ticks: DataFrame, instants: DataFrame) -> DataFrame:
+def step_price(ticks: DataFrame, instants: DataFrame, ties: Sequence[str] = TIES) -> DataFrame:
     """Price of each series at each asked instant: its last tick carried forward; a suspended tick gives NULL.
 
-    `instants`: series_id, at. Ticks at exactly `at` count.
+    `instants`: series_id, at. Ticks at exactly `at` count; of ticks at one instant the last by `ties` holds.
     """
     state = F.struct("is_available", "price_c")
-    rows = ticks.select("series_id", F.col("observed_at").alias("at"), F.lit(0).alias("probe"), state.alias("state"))
-    probes = instants.select("series_id", "at", F.lit(1).alias("probe"), F.lit(None).cast(rows.schema["state"].dataType).alias("state"))
-    carried = carry_forward(rows.unionByName(probes), ["series_id"], ["at", "probe"], "state", "held")
+    rows = ticks.select("series_id", F.col("observed_at").alias("at"), F.lit(0).alias("probe"), *ties, state.alias("state"))
+    none = [F.lit(None).cast(rows.schema[t].dataType).alias(t) for t in ties]
+    probes = instants.select("series_id", "at", F.lit(1).alias("probe"), *none, F.lit(None).cast(rows.schema["state"].dataType).alias("state"))
+    carried = carry_forward(rows.unionByName(probes), ["series_id"], ["at", "probe", *ties], "state", "held")
     return carried.filter("probe = 1").select(
         "series_id", "at", F.when(F.col("held.is_available"), F.col("held.price_c")).alias("price_c"),
         F.col("held").isNotNull().alias("quoted"),

@@ -26,7 +26,8 @@ def earlier_totals(df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[s
     """Per (scope, at): the sum of each expression over rows of the scope with a strictly smaller `at`.
 
     Equal instants never see each other. Rows are combined per instant before
-    the shuffle; sums then run inside a bucket and across buckets.
+    the shuffle; sums then run inside a bucket and across buckets. NULL key
+    parts make a key of their own, and rows without an instant come first.
     """
     names = list(sums)
     instant = df.groupBy(*scope, at).agg(*[F.sum(expr).alias(n) for n, expr in sums.items()])
@@ -45,7 +46,7 @@ def earlier_totals(df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[s
         .select(*scope, "__bucket", *[(F.coalesce(F.col(f"__near_{n}"), F.lit(0)) + F.coalesce(F.max(f"__far_{n}").over(coarse), F.lit(0))).alias(f"__{n}") for n in names])
     )
     here = instant.select(*scope, at, "__bucket", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in names])
-    return here.join(before, [*scope, "__bucket"]).select(*scope, at, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
+    return same_key_join(here, before, [*scope, "__bucket"]).select(*scope, at, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
 
 
 def _ends(keys: Sequence[str], end: Column) -> Window:
@@ -55,7 +56,16 @@ def _ends(keys: Sequence[str], end: Column) -> Window:
 
 def with_earlier_totals(df: DataFrame, scope: Sequence[str], at: str, sums: Mapping[str, Column], grain_us: int = GRAIN_US) -> DataFrame:
     """Every row with the totals of strictly earlier rows of its scope."""
-    return df.join(earlier_totals(df, scope, at, sums, grain_us), [*scope, at])
+    return same_key_join(df, earlier_totals(df, scope, at, sums, grain_us), [*scope, at])
+
+
+def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Hash-joinable equi-join under which NULL key parts match each other; keeps the left key columns."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def neighbours(
@@ -116,12 +126,11 @@ def carry_forward(
         .select(*keys, "__coarse", F.last("__end", ignorenulls=True).over(across).alias("__far"))
     )
     before = (
-        last.withColumn("__near", F.last("__last", ignorenulls=True).over(near)).join(far, [*keys, "__coarse"])
+        same_key_join(last.withColumn("__near", F.last("__last", ignorenulls=True).over(near)), far, [*keys, "__coarse"])
         .select(*keys, "__bucket", F.coalesce("__near", "__far").alias("__before"))
     )
     return (
-        bucketed.withColumn("__here", F.last(value, ignorenulls=True).over(inside))
-        .join(before, [*keys, "__bucket"])
+        same_key_join(bucketed.withColumn("__here", F.last(value, ignorenulls=True).over(inside)), before, [*keys, "__bucket"])
         .withColumn(name, F.coalesce("__here", "__before"))
         .drop("__bucket", "__here", "__before")
     )

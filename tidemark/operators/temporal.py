@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import GRAIN_US, neighbours
+from tidemark.operators.ordered import GRAIN_US, neighbours, same_key_join
 
 
 def _column(value: Column | str) -> Column:
@@ -57,13 +57,7 @@ def content_differs(left: Column, right: Column) -> Column:
     return ~left.eqNullSafe(right)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Hash-joinable equi-join under which NULL key parts match each other; keeps the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+null_safe_join = same_key_join
 
 
 def history_from_log(

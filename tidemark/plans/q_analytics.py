@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,16 @@ from tidemark.model import metrics
 from tidemark.model.calibrate import isotonic, platt
 from tidemark.operators import analytics as A
 from tidemark.operators import odds as O
-from tidemark.operators import quality
+from tidemark.operators import quality, quarantine
 from tidemark.operators.ordered import neighbours
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import views
 from tidemark.plans.q_evaluation import moment_scored
 from tidemark.plans.q_forecast import RATES_SQL, rates
 from tidemark.plans.q_temporal import CANONICAL_SQL, PREDICTIONS_SQL, canonical, stored_predictions
 from tidemark.plans.registry import query, scaled, sql_scaled
 from tidemark.plans.views import DAY_US, HOUR_US
+from tidemark.session import shared_dir
 
 _SIDE_SQL = """+ sd AS (SELECT id, scope, season, k, home AS team, 1 AS at_home, hg AS gf, ag AS ga FROM m UNION ALL SELECT id, scope, season, k, away, 0, ag, hg FROM m),
  sp AS (SELECT *, CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END AS points FROM sd)
@@ -168,6 +172,42 @@ def post_ingest_rules(spark, sf_dir):
     return A.union_violations(parts).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("exact_quantiles", ["ticks"], "+ r AS (SELECT price_kind, source, known_at, row_number() OVER (PARTITION BY price_kind, source ORDER BY known_at) - 1 AS i, count(*) OVER (PARTITION BY price_kind, source) - 1 AS n FROM ticks) SELECT price_kind, source, "
+       + ", ".join(f"max(known_at) FILTER (i = floor({q}::DOUBLE * n)) AS p{int(q * 100):02d}" for q in (0.05, 0.5, 0.95)) + " FROM r GROUP BY price_kind, source")
+def exact_quantiles_query(spark, sf_dir):
+    """When ticks of each kind and source became known, to the microsecond."""
+    return exact_quantiles(views.ticks(spark, sf_dir), ["price_kind", "source"], "known_at", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, lower=True)
+
+
+@query("quarantine_closure", ["m", "books"], """+ f AS (SELECT id, CASE WHEN id % 4 <> 0 THEN id - id % 4 WHEN id % 32 <> 0 THEN id - 4 END AS replay_of, hg + ag AS goals FROM m),
+ it AS (SELECT id AS hit_id, 0 AS hops FROM f WHERE goals >= 6 UNION SELECT f.id, hops + 1 FROM it, f WHERE replay_of = hit_id),
+ gone AS (SELECT hit_id AS id, min(hops) AS hops FROM it GROUP BY 1),
+ rows AS (SELECT 'fixtures' AS part, id, hops FROM f LEFT JOIN gone USING (id)
+  UNION ALL SELECT 'results', id, hops + 1 FROM m LEFT JOIN gone USING (id)
+  UNION ALL SELECT 'prices', id, CASE WHEN home_c <= 125 THEN 0 ELSE hops + 1 END FROM books LEFT JOIN gone USING (id))
+ SELECT part, hops IS NOT NULL AS quarantined, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(hops) AS BIGINT) AS hops FROM rows GROUP BY ALL""")
+def quarantine_closure(spark, sf_dir):
+    """Fixtures with unlikely scores go, and with them their replays, and the results and prices of all of these."""
+    m, books = views.matches(spark, sf_dir), views.books(spark, sf_dir)
+    i = F.col("id")
+    replay_of = F.when(i % 4 != 0, i - i % 4).when(i % 32 != 0, i - 4)
+    tables = {"fixtures": m.select("id", replay_of.alias("replay_of"), (F.col("hg") + F.col("ag")).alias("goals")), "results": m.select("id", "hg", "ag"), "prices": books.select("id", "book", "home_c")}
+    keys = {"fixtures": ["id"], "results": ["id"], "prices": ["id", "book"]}
+    refused = {"fixtures": tables["fixtures"].filter("goals >= 6").select("id", F.lit("unlikely score").alias("rule")), "prices": books.filter("home_c <= 125").select("id", "book", F.lit("price out of range").alias("rule"))}
+    references = [quarantine.Reference("fixtures", "replay_of", "fixtures"), quarantine.Reference("results", "id", "fixtures"), quarantine.Reference("prices", "id", "fixtures")]
+    accepted, kept_back = quarantine.split(tables, keys, quarantine.closure(tables, keys, refused, references))
+    root = f"{shared_dir(spark)}/quarantine-{uuid.uuid4().hex}"
+    quarantine.write(accepted, kept_back, root)
+    out = None
+    for half in ("accepted", "quarantine"):
+        for name in tables:
+            df = spark.read.parquet(f"{root}/{half}/{name}")
+            hops = F.col("hops") if half == "quarantine" else F.lit(None).cast("int")
+            part = df.select(F.lit(name).alias("part"), F.lit(half == "quarantine").alias("quarantined"), "id", hops.alias("hops"))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("part", "quarantined").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("hops").alias("hops"))
+
+
 @query("calibrate")
 def calibrate(spark, sf_dir):
     """Home-win probability recalibrated on development seasons, scored on the held-out ones."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
@@ -10,8 +10,10 @@ from tidemark.model import backtest, metrics
 from tidemark.model.fit import fit_many, pair_cells, ratings_of
 from tidemark.model.predict import expected_goals, league_baseline, predict
 from tidemark.model.profiles import CANDIDATES, MIN_TRAINING_MATCHES, PROFILES, Config
+from tidemark.model.rho_large import estimate_rho_distributed
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
+from tidemark.session import ensure_checkpoint_dir
 
 # Rates derived from each match id: 0.2 .. 3.19 and 0.2 .. 2.69.
 RATES_SQL = """+ r AS (SELECT id, home, away, hg, ag, 0.2 + (id % 300) / CAST(100 AS DOUBLE) AS lh,
@@ -294,6 +296,14 @@ def fit_summary(spark, sf_dir):
  CAST(0 AS BIGINT) AS slope, true AS feasible FROM m CROSS JOIN (VALUES (0), (4)) h(half)""")
 def estimate_rho(spark, sf_dir):
     """The weighted low-score log likelihood has slope zero at every fitted rho, and rho is feasible for every training match."""
+    lam1, lam2, rho = F.col("lambda_home"), F.col("lambda_away"), F.col("rho")
+    return _low_scores(spark, sf_dir).groupBy("half", "scope", "cutoff").agg(
+        scaled(F.sum(_rho_slope(lam1, lam2, rho)), 5).alias("slope"), F.min(P.rho_is_valid(rho, lam1, lam2)).alias("feasible")
+    )
+
+
+def _low_scores(spark, sf_dir) -> DataFrame:
+    """Per pairing of every season-end fit with a dependence parameter: both rates and the weighted counts of low scores."""
     m = views.matches(spark, sf_dir)
     fits = season_fits(spark, sf_dir).filter("rho IS NOT NULL")
     halves = list(dict.fromkeys(c.half_life for c in ALL_RATED))
@@ -305,14 +315,28 @@ def estimate_rho(spark, sf_dir):
     counts = pair_cells(m).join(cut, "scope").select("*", seen).select("*", half).groupBy("x.half", "scope", "cutoff", "home", "away").agg(
         *[F.sum(F.col(c) * weight).alias(c) for c in ("w00", "w01", "w10", "w11")]
     )
-    rated = expected_goals(counts.join(fits, ["half", "scope", "cutoff"]), min_matches=1)
-    lam1, lam2, rho = F.col("lambda_home"), F.col("lambda_away"), F.col("rho")
-    slope = (
+    return expected_goals(counts.join(fits, ["half", "scope", "cutoff"]), min_matches=1)
+
+
+def _rho_slope(lam1: Column, lam2: Column, rho: Column) -> Column:
+    return (
         F.col("w00") * -lam1 * lam2 / (1 - lam1 * lam2 * rho) + F.col("w01") * lam1 / (1 + lam1 * rho)
         + F.col("w10") * lam2 / (1 + lam2 * rho) - F.col("w11") / (1 - rho)
     )
-    return rated.groupBy("half", "scope", "cutoff").agg(
-        scaled(F.sum(slope), 5).alias("slope"), F.min(P.rho_is_valid(rho, lam1, lam2)).alias("feasible")
+
+
+@query("estimate_rho_distributed", ["m"], """SELECT DISTINCT half, scope, epoch_us(make_timestamp(season + 1, 1, 1, 0, 0, 0)) AS cutoff,
+ CAST(0 AS BIGINT) AS slope, true AS feasible, true AS agrees FROM m CROSS JOIN (VALUES (0), (4)) h(half)""")
+def estimate_rho_query(spark, sf_dir):
+    """The same by grouped sums: slope zero and feasible at every scope, and within 1e-8 of the fit solved in a task."""
+    ensure_checkpoint_dir(spark)
+    rated = _low_scores(spark, sf_dir).withColumnRenamed("rho", "batched").checkpoint()
+    keys = ["half", "scope", "cutoff"]
+    found = estimate_rho_distributed(rated, keys)
+    l1, l2, rho = F.col("lambda_home"), F.col("lambda_away"), F.col("rho")
+    return rated.join(found, keys).groupBy(*keys).agg(
+        scaled(F.sum(_rho_slope(l1, l2, rho)), 5).alias("slope"), F.min(P.rho_is_valid(rho, l1, l2)).alias("feasible"),
+        F.max(F.abs(rho - F.col("batched")) < 1e-8).alias("agrees"),
     )
 
 

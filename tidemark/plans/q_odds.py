@@ -37,7 +37,7 @@ def last_observed_pre_live(spark, sf_dir):
     return O.last_before_kickoff(t, "live_at").select("series_id", "observed_at", "source", "price_c")
 
 
-@query("price_path", ["ticks"], "SELECT event_id, series_id, observed_at, price_c, row_number() OVER (PARTITION BY series_id ORDER BY observed_at) AS position FROM ticks")
+@query("price_path", ["ticks"], "SELECT event_id, series_id, observed_at, price_c, row_number() OVER (PARTITION BY series_id ORDER BY observed_at, source, price_kind, event_id) AS position FROM ticks")
 def price_path(spark, sf_dir):
     return O.price_path(views.ticks(spark, sf_dir)).select("event_id", "series_id", "observed_at", "price_c", "position")
 

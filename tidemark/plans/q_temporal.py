@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality, sql_functions
 from tidemark.operators import temporal as T
+from tidemark.operators.intervals import as_of_cutoffs
 from tidemark.operators.corpus import eligible_fixtures, training_corpus
 from tidemark.plans import views
 from tidemark.plans.registry import query
@@ -98,6 +99,16 @@ def as_of_multi_cutoff(spark, sf_dir):
     )
 
 
+@query("as_of_cutoff_table", ["rev", "ticks"], f"""+ cuts AS (SELECT DISTINCT known_at // 60000000 * 60000000 AS cutoff FROM ticks)
+ SELECT cutoff, count(*) AS visible, count(DISTINCT (key_id, source)) AS keys, CAST(sum(p1) AS BIGINT) AS p1 FROM rev JOIN cuts ON {_vis('cutoff')} GROUP BY cutoff""")
+def as_of_cutoff_table(spark, sf_dir):
+    """The history at every minute at which a tick became known: one revision of each key at any cutoff."""
+    cutoffs = views.ticks(spark, sf_dir).select((F.floor(F.col("known_at") / 60_000_000) * 60_000_000).alias("cutoff")).distinct()
+    seen = as_of_cutoffs(history(spark, sf_dir), cutoffs, columns=["key_id", "source", "p1"])
+    per_key = seen.groupBy("cutoff", "key_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("p1").alias("p1"))
+    return per_key.groupBy("cutoff").agg(F.sum("n").alias("visible"), F.count(F.lit(1)).alias("keys"), F.sum("p1").alias("p1"))
+
+
 @query("as_of_external_ids", ["mappings"], f"SELECT external_id, internal_id FROM mappings WHERE {_vis(CUT)}")
 def as_of_external_ids(spark, sf_dir):
     return T.as_of(views.mappings(spark, sf_dir), CUT).select("external_id", "internal_id")

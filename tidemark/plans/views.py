@@ -7,6 +7,7 @@ agree exactly. Every view is a plain projection: its size follows its table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +189,7 @@ def with_views(names: Iterable[str], body: str) -> str:
         add(name)
     ctes = [f"{name} AS ({SQL_VIEWS[name]})" for name in ordered]
     body = body.strip()
-    start = "WITH RECURSIVE " if "FROM it WHERE" in body else "WITH "
+    start = "WITH RECURSIVE " if re.search(r"\bFROM it\b", body) else "WITH "
     if body.startswith("+"):
         return start + ",\n".join(ctes) + ",\n" + body[1:].strip()
     return start + ",\n".join(ctes) + "\n" + body
