@@ -268,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame | None = None, text: str = "text",
             some = [np.frombuffer(x, "<u4") for x in batch.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[np.isin(x, names)].tobytes() for x in some], pa.binary()), batch.column("p")], ["features", "p"])
 
-    taught = sample.select("features", "p").mapInArrow(only, "features binary, p string").orderBy("p", "features").collect()  # fit_rows x fit_features at most
+    taught = sample.select("features", "p").mapInArrow(only, "features binary, p string").collect()  # fit_rows x fit_features at most
+    taught.sort(key=lambda r: (r["p"], bytes(r["features"])))
     return fit(names, [np.frombuffer(r["features"], "<u4") for r in taught], np.array([target[r["p"]] for r in taught]).reshape(len(taught), 3))
 
 
