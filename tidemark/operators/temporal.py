@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import GRAIN_US, neighbours, same_key_join
@@ -114,7 +114,7 @@ def revise(
     A key may come several times; its rows are chained in time after the open
     revision, the last by `tiebreak` standing for an instant. Rows that are not
     newer than the open revision change nothing; `refused` lists them. Closed
-    revisions pass by; open ones and the batch share one shuffle on the key.
+    revisions pass by; no task holds a key, however many rows it has.
     """
     names = [*keys, *columns, "known_at"]
     kind = table.schema["superseded_at"].dataType
@@ -122,8 +122,8 @@ def revise(
     both = current_rows(table).select(*names, *last, F.lit(True).alias("__open")).unionByName(
         incoming.select(*names, *tiebreak, F.lit(False).alias("__open"))
     )
-    since = F.max(F.when(F.col("__open"), F.col("known_at"))).over(Window.partitionBy(*keys))
-    log = both.withColumn("__since", since).filter("__open OR __since IS NULL OR known_at > __since").drop("__open", "__since")
+    since = current_rows(table).groupBy(*keys).agg(F.max("known_at").alias("__since"))
+    log = null_safe_join(both, since, keys, "left").filter("__open OR __since IS NULL OR known_at > __since").drop("__open", "__since")
     chain = history_from_log(log, keys, columns, tiebreak)
     closed = table.filter(F.col("superseded_at").isNotNull()).select(*names, "superseded_at")
     return closed.unionByName(chain.select(*names, F.col("superseded_at").cast(kind).alias("superseded_at")))
