@@ -5,10 +5,12 @@ import math
 import pathlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
+from tidemark.model.calibrate import apply_isotonic, isotonic_blocks
 from tidemark.model import backtest
 from tidemark.model.fit import fit_many, pair_cells, ratings_of
 from tidemark.model.fit_large import fit_distributed
@@ -189,3 +191,24 @@ def test_model_never_imports_prices():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("odds" in n for n in names), path
+
+
+def test_isotonic_blocks_equal_the_min_max_formula(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, int(at), int(rng.random() < at / 60)) for m in ("a", "b", None) for at in rng.integers(0, 50, 300)]
+    past = spark.createDataFrame([*rows, ("a", None, 1), ("b", 3, None), ("one", 7, 1)], "market string, at long, label long")
+    blocks = isotonic_blocks(past, ["market"], "at", "label").collect()
+    for market in ("a", "b", None):
+        x = np.array([[at, y] for m, at, y in rows if m == market])
+        values = np.unique(x[:, 0])
+        mean = {(a, b): x[(x[:, 0] >= a) & (x[:, 0] <= b), 1].mean() for a in values for b in values if a <= b}
+        want = [max(min(mean[a, b] for b in values if b >= v) for a in values if a <= v) for v in values]
+        own = [r for r in blocks if r["market"] == market]
+        assert np.allclose([next(r["hits"] / r["rows"] for r in own if r["low"] <= v <= r["high"]) for v in values], want)
+        assert len(own) == len(set(np.round(want, 12))) and sum(r["rows"] for r in own) == len(x)
+    table = spark.createDataFrame([tuple(r) for r in blocks], "market string, low long, high long, rows long, hits long")
+    future = spark.createDataFrame([("one", 0), ("one", 90), ("one", None), ("new", 5), (None, 0), (None, 0)], "market string, at long")
+    out = [(r["market"], r["p"]) for r in apply_isotonic(future, table, ["market"], "at", "p", 2).collect()]
+    low = min((r for r in blocks if r["market"] is None), key=lambda r: r["low"])
+    assert sorted(out, key=repr) == sorted([("one", 1.0), ("one", 1.0), ("one", None), ("new", None)] + [(None, low["hits"] / low["rows"])] * 2, key=repr)
+    assert isotonic_blocks(past.limit(0), ["market"], "at", "label").count() == 0

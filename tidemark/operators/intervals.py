@@ -46,15 +46,20 @@ def nodes_of(at: Column, grain_us: int = HOUR_US) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(cell / F.pow(F.lit(2.0), k)).alias("node")))
 
 
-def as_of_cutoffs(df: DataFrame, cutoffs: DataFrame, name: str = "cutoff", grain_us: int = HOUR_US, columns: Sequence[str] | None = None) -> DataFrame:
+def as_of_cutoffs(df: DataFrame, cutoffs: DataFrame, name: str = "cutoff", grain_us: int = HOUR_US, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Every row of df at every cutoff that sees it: the as-of predicate for a table of cutoffs of any size.
 
     df has known_at and superseded_at, cutoffs a bigint column `name` and whatever else is asked of a cutoff. A NULL cutoff
-    sees nothing, equal cutoffs are told apart as rows, an inverted or empty interval is never seen.
+    sees nothing, equal cutoffs are told apart as rows, an inverted or empty interval is never seen. Columns `by`, which both sides have and which
+    the result takes from the cutoffs, must agree; NULL agrees with NULL.
     """
     kept = columns or df.columns
     held = df.filter(F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("known_at")))
-    held = held.select("*", F.explode(covering_nodes(F.col("known_at"), F.col("superseded_at"), grain_us)).alias("_n"))
+    agreed = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    held = held.select("*", *agreed, F.explode(covering_nodes(F.col("known_at"), F.col("superseded_at"), grain_us)).alias("_n")).drop(*by)
     asked = cutoffs.filter(F.col(name).isNotNull()).select("*", F.explode(nodes_of(F.col(name), grain_us)).alias("_m"))
-    met = held.join(asked, (F.col("_n.level") == F.col("_m.level")) & (F.col("_n.node") == F.col("_m.node")))
-    return met.filter(visible_at("known_at", "superseded_at", F.col(name))).select(*kept, *cutoffs.columns)
+    on = (F.col("_n.level") == F.col("_m.level")) & (F.col("_n.node") == F.col("_m.node"))
+    for i, c in enumerate(by):
+        on = on & F.col(f"_by{i}").eqNullSafe(F.col(c))
+    met = held.join(asked, on)
+    return met.filter(visible_at("known_at", "superseded_at", F.col(name))).select(*[c for c in kept if c not in by], *cutoffs.columns)

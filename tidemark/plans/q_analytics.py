@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.probability import OVER_UNDER_LINES, line_name, with_markets
 from tidemark.model import metrics
-from tidemark.model.calibrate import isotonic, platt
+from tidemark.model.calibrate import apply_isotonic, isotonic_blocks, platt, probability_steps
 from tidemark.operators import analytics as A
 from tidemark.operators import odds as O
 from tidemark.operators import quality, quarantine
 from tidemark.operators.ordered import neighbours
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import views
-from tidemark.plans.q_evaluation import moment_scored
+from tidemark.plans.jobs import staged
+from tidemark.plans.q_evaluation import MOMENT_SQL, moment_scored
 from tidemark.plans.q_forecast import RATES_SQL, rates
 from tidemark.plans.q_temporal import CANONICAL_SQL, PREDICTIONS_SQL, canonical, stored_predictions
 from tidemark.plans.registry import query, scaled, sql_scaled
@@ -215,7 +216,9 @@ def calibrate(spark, sf_dir):
         "id", "season", "p_home", (F.col("outcome") == "home").cast("double").alias("label")
     )
     dev = F.col("season").isin(*views.DEVELOPMENT_SEASONS)
-    out = isotonic(scored.filter(dev), platt(scored.filter(dev), scored.filter(~dev), "p_home", "label", "p_platt"), "p_home", "label", "p_isotonic")
+    scored = staged(scored.withColumn("at", probability_steps(F.col("p_home"))), "forecasts")  # read four times
+    out = platt(scored.filter(dev), scored.filter(~dev), "p_home", "label", "p_platt")
+    out = apply_isotonic(out, isotonic_blocks(scored.filter(dev), [], "at", "label"), [], "at", "p_isotonic")
 
     def loss(p: str):
         kept = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -224,3 +227,51 @@ def calibrate(spark, sf_dir):
     return out.groupBy("season").agg(
         F.count(F.lit(1)).alias("n"), *[scaled(loss(p), 5).alias(f"loss_{p}") for p in ("p_home", "p_platt", "p_isotonic")]
     )
+
+
+_CALIBRATED_MARKETS = {
+    "home": ("p_home", "ph", "hg > ag"), "draw": ("p_draw", "pd", "hg = ag"), "away": ("p_away", "pa", "hg < ag"),
+    "over_2_5": ("p_over_2_5", "po", "hg + ag > 2"), "under_2_5": ("1 - p_over_2_5", "1 - po", "hg + ag <= 2"), "both_score": ("p_btts_yes", "pb", "hg > 0 AND ag > 0"),
+}
+
+
+def market_forecasts(spark, sf_dir, digits: int) -> DataFrame:
+    """Each match's six forecast probabilities, one row a market: id, season, market, at (10^-digits), label."""
+    listed = ", ".join(f"struct('{name}' AS market, {p} AS p, CAST({won} AS BIGINT) AS label)" for name, (p, _, won) in _CALIBRATED_MARKETS.items())
+    rows = moment_scored(spark, sf_dir).filter("candidate = 'A'").select("id", "season", F.expr(f"explode(array({listed}))").alias("v"))
+    return staged(rows.select("id", "season", "v.market", probability_steps(F.col("v.p"), digits).alias("at"), "v.label"), "forecasts")
+
+
+# The fitted mean at a value is the largest, over runs that begin at or before it, of the smallest mean of such a run that ends at or after it.
+_ISOTONIC_SQL = MOMENT_SQL.replace(" scored AS (", """ pm AS (SELECT scope, k, 1 - sum(q) FILTER (i + j < 2.5) / sum(q) AS po, sum(q) FILTER (i > 0 AND j > 0) / sum(q) AS pb FROM raw WHERE candidate = 'A' GROUP BY scope, k),
+ scored AS (""") + ", lg AS (" + " UNION ALL ".join(
+    f"SELECT id, season, '{name}' AS market, {sql_scaled(p, 3)} AS x, CAST({won} AS BIGINT) AS y FROM scored JOIN pm USING (scope, k) WHERE candidate = 'A'" for name, (_, p, won) in _CALIBRATED_MARKETS.items()
+) + """), pt AS (SELECT market, x, count(*) AS n, CAST(sum(y) AS BIGINT) AS s FROM lg WHERE season IN (1995, 1996, 1997, 1998) GROUP BY market, x),
+ cu AS (SELECT *, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM pt WINDOW w AS (PARTITION BY market ORDER BY x)),
+ lo AS (SELECT a.market, a.x AS a, b.x AS x, min((b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE) OVER (PARTITION BY a.market, a.x ORDER BY b.x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v
+  FROM cu a JOIN cu b ON a.market = b.market AND a.x <= b.x),
+ fitted AS (SELECT market, x, max(v) AS v FROM lo GROUP BY market, x),
+ bl AS (SELECT market, min(x) AS low, max(x) AS high, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(s) AS BIGINT) AS hits FROM fitted JOIN pt USING (market, x) GROUP BY market, v)
+"""
+
+
+@query("isotonic_markets", ["m"], _ISOTONIC_SQL + "SELECT * FROM bl")
+def isotonic_markets(spark, sf_dir):
+    """Monotone fits of all six markets at once on the development seasons; forecasts are published to three digits."""
+    rows = market_forecasts(spark, sf_dir, 3).filter(F.col("season").isin(*views.DEVELOPMENT_SEASONS))
+    return isotonic_blocks(rows, ["market"], "at", "label")
+
+
+@query("calibrate_markets", ["m"], _ISOTONIC_SQL + f""", sg AS (SELECT *, hits::DOUBLE / rows AS m, lead(low) OVER w AS nl, lead(hits::DOUBLE / rows) OVER w AS nm, lag(low) OVER w IS NULL AS is_first FROM bl WINDOW w AS (PARTITION BY market ORDER BY low)),
+ c AS (SELECT lg.*, CASE WHEN nl IS NULL OR x <= high THEN m ELSE m + (nm - m) * ((x - high)::DOUBLE / (nl - high)) END AS p
+  FROM lg JOIN sg ON lg.market = sg.market AND (is_first OR x >= low) AND (nl IS NULL OR x < nl) WHERE season NOT IN (1995, 1996, 1997, 1998))
+ SELECT market, season, count(*) AS n, {sql_scaled('avg((x / 1000.0::DOUBLE - y) * (x / 1000.0::DOUBLE - y))', 6)} AS brier_raw, {sql_scaled('avg((p - y) * (p - y))', 6)} AS brier_isotonic FROM c GROUP BY ALL""")
+def calibrate_markets(spark, sf_dir):
+    """All six markets recalibrated on the development seasons and scored on the others, before and after."""
+    rows = market_forecasts(spark, sf_dir, 3)
+    dev = F.col("season").isin(*views.DEVELOPMENT_SEASONS)
+    out = apply_isotonic(rows.filter(~dev), isotonic_blocks(rows.filter(dev), ["market"], "at", "label"), ["market"], "at", "p", 3)
+    square = lambda p: scaled(F.avg((p - F.col("label")) * (p - F.col("label"))), 6)
+    return out.groupBy("market", "season").agg(
+        F.count(F.lit(1)).alias("n"), square(F.col("at") / 1000).alias("brier_raw"), square(F.col("p")).alias("brier_isotonic")
+    )
