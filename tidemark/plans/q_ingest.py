@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from tidemark.operators.quality import rule_violations
 from tidemark.operators.temporal import null_safe_join
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
+from tidemark.session import shared_dir
 from tidemark.sources import archive, matches_json, season_csv
 
 LONDON = "Europe/London"
@@ -378,7 +379,10 @@ def archive_observations(spark, sf_dir):
 
 @query("partition_by_month", ["bodies"], "SELECT strftime(make_timestamp(fetched_at), '%Y-%m') AS year_month, count(*) AS n, count(DISTINCT body_hash) AS bodies FROM bodies GROUP BY 1")
 def partition_by_month(spark, sf_dir):
-    return views.bodies(spark, sf_dir).groupBy(archive.month_of(F.col("fetched_at")).alias("year_month")).agg(
+    """The observation log written by month and read back."""
+    path = f"{shared_dir(spark)}/observations-{uuid.uuid4().hex}"
+    archive.append_observations(views.bodies(spark, sf_dir).select("doc_id", "body_hash", "fetched_at"), path)
+    return spark.read.parquet(path).groupBy(F.col("year_month").cast("string").alias("year_month")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("body_hash").alias("bodies")
     )
 
@@ -453,11 +457,10 @@ def season_bounds(spark, sf_dir):
     )
 
 
-@query("scope_union", ["m"], "SELECT id, season FROM m")
+@query("scope_union", ["m"], "SELECT scope, season, id FROM m")
 def scope_union(spark, sf_dir):
-    m = views.matches(spark, sf_dir).select("id", "season")
-    seasons = sorted(r.season for r in m.select("season").distinct().collect())  # calendar years
-    return functools.reduce(DataFrame.unionByName, [m.filter(F.col("season") == year) for year in seasons])
+    """Several scopes as one corpus: the competitions asked for and all their seasons, in one scan."""
+    return archive.in_scopes(views.matches(spark, sf_dir), views.matches(spark, sf_dir).select("scope", "season").distinct()).select("scope", "season", "id")
 
 
 @query("latest_n", ["m"], "SELECT scope, id AS latest, k FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY k DESC, id DESC) AS i FROM m) WHERE i = 1")

@@ -267,35 +267,48 @@ def store_prediction(spark, sf_dir):
     )
 
 
-def _revised(name: str, table: str, keys: tuple[str, ...], payload: tuple[str, ...], change: str, sql_change: str, source: str):
-    """Register a revision query: every third key arrives changed, every third equal, every third not at all."""
-    sql = CANONICAL_SQL + f""", cur AS (SELECT * FROM {table} WHERE superseded_at IS NULL),
- inc AS (SELECT fixture_id, {sql_change}, known_at + {400 * DAY_US} AS known_at FROM cur WHERE fixture_id % 3 < 2)
- SELECT t.fixture_id, {', '.join('t.' + c for c in payload)}, t.known_at, CASE WHEN t.superseded_at IS NULL AND i.fixture_id IS NOT NULL
- AND ({' OR '.join(f'i.{c} IS DISTINCT FROM t.{c}' for c in payload)}) THEN i.known_at ELSE t.superseded_at END AS superseded_at
- FROM {table} t LEFT JOIN inc i USING (fixture_id)
- UNION ALL SELECT i.fixture_id, {', '.join('i.' + c for c in payload)}, i.known_at, NULL FROM inc i JOIN cur c USING (fixture_id)
- WHERE {' OR '.join(f'i.{c} IS DISTINCT FROM c.{c}' for c in payload)}"""
+def _revised(name: str, table: str, keys: tuple[str, ...], fields: tuple[tuple[str, str, str | None], ...], source: str):
+    """Register a revision query: every third key arrives changed, every third equal, every third not at all.
+
+    `fields`: name, kind and, unless the canonical table has it, an expression. Changed keys differ in one field, each field in turn.
+    """
+    payload = tuple(f for f, _, _ in fields)
+    made = [f"CAST({expr} AS {kind}) AS {f}" for f, kind, expr in fields if expr]
+    other = {"STRING": "concat({f}, 'x')", "BOOLEAN": "NOT {f}", "INT": "CAST(coalesce({f}, 0) + 1 AS INT)", "BIGINT": "{f} + 1"}
+    change = [
+        f"CASE WHEN fixture_id % 3 = 1 AND (fixture_id - 1) % {3 * len(fields)} = {3 * i} THEN {other[kind].format(f=f)} ELSE {f} END AS {f}"
+        for i, (f, kind, _) in enumerate(fields)
+    ]
+    differs = " OR ".join(f"i.{f} IS DISTINCT FROM {{0}}.{f}" for f in payload)
+    sql = CANONICAL_SQL + f""", w AS (SELECT {', '.join(['*', *made])} FROM {table}), cur AS (SELECT * FROM w WHERE superseded_at IS NULL),
+ inc AS (SELECT fixture_id, {', '.join(change)}, known_at + {400 * DAY_US} AS known_at FROM cur WHERE fixture_id % 3 < 2)
+ SELECT t.fixture_id, {', '.join('t.' + f for f in payload)}, t.known_at, CASE WHEN t.superseded_at IS NULL AND i.fixture_id IS NOT NULL
+ AND ({differs.format('t')}) THEN i.known_at ELSE t.superseded_at END AS superseded_at
+ FROM w t LEFT JOIN inc i USING (fixture_id)
+ UNION ALL SELECT i.fixture_id, {', '.join('i.' + f for f in payload)}, i.known_at, NULL FROM inc i JOIN cur c USING (fixture_id) WHERE {differs.format('c')}"""
 
     @query(name, ["m"], sql)
     def run(spark, sf_dir):
-        whole = canonical(spark, sf_dir)[source]
-        incoming = T.current_rows(whole).filter("fixture_id % 3 < 2").selectExpr(
-            *keys, *change.split(";"), f"known_at + {400 * DAY_US} AS known_at"
-        )
+        whole = canonical(spark, sf_dir)[source].selectExpr("*", *made)
+        incoming = T.current_rows(whole).filter("fixture_id % 3 < 2").selectExpr(*keys, *change, f"known_at + {400 * DAY_US} AS known_at")
         out = T.revise(whole, incoming, keys, payload)
         return out.select("fixture_id", *payload, "known_at", "superseded_at")
 
     return run
 
 
-_revised("revise_schedule", "sched", ("fixture_id",), ("kickoff", "status"),
-         f"kickoff + (fixture_id % 3) * {DAY_US} AS kickoff;status", f"kickoff + (fixture_id % 3) * {DAY_US} AS kickoff, status", "schedule")
-_revised("revise_result", "res", ("fixture_id", "source"), ("ft_home", "ft_away"),
-         "CAST(ft_home + fixture_id % 3 AS INT) AS ft_home;ft_away", "CAST(ft_home + fixture_id % 3 AS INT) AS ft_home, ft_away", "results")
-_revised("revise_stats", "st", ("fixture_id", "source"), ("home_shots", "away_shots"),
-         "CASE WHEN fixture_id % 3 = 0 THEN home_shots END AS home_shots;away_shots",
-         "CASE WHEN fixture_id % 3 = 0 THEN home_shots END AS home_shots, away_shots", "stats")
+_revised("revise_schedule", "sched", ("fixture_id",), (
+    ("kickoff", "BIGINT", None), ("local_day", "BIGINT", f"(kickoff - kickoff % {DAY_US}) / {DAY_US}"), ("local_tz", "STRING", "'Europe/London'"),
+    ("status", "STRING", None), ("is_neutral", "BOOLEAN", "fixture_id % 2 = 0"),
+), "schedule")
+_revised("revise_result", "res", ("fixture_id", "source"), (
+    ("ft_home", "INT", None), ("ft_away", "INT", None), ("ht_home", "INT", "CASE WHEN fixture_id % 4 > 0 THEN 0 END"),
+    ("ht_away", "INT", "CASE WHEN fixture_id % 4 > 0 THEN 0 END"), ("result_source", "STRING", "'played'"), ("is_trainable", "BOOLEAN", None),
+), "results")
+_revised("revise_stats", "st", ("fixture_id", "source"), (("home_shots", "INT", None), ("away_shots", "INT", None), *[
+    (f"{side}_{what}", "INT", f"CASE WHEN fixture_id % 5 <> {i % 5} THEN fixture_id % {i + 2} END")
+    for i, (what, side) in enumerate((what, side) for what in ("shots_on_target", "fouls", "corners", "yellow_cards", "red_cards") for side in ("home", "away"))
+]), "stats")
 
 
 @query("revise_tick", ["ticks"], f"""+ cur AS (SELECT series_id, source, observed_at, price_kind, price_c, is_available, known_at, superseded_at FROM ticks),
