@@ -322,3 +322,14 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, small_dir):
     for name, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, none, small_dir).collect() == [], name
         assert f(spark, odd, small_dir).columns == odd.columns, name
+
+
+def test_repeats_know_documents_of_one_key_by_all_bits_of_their_tag():
+    ids, tags = np.full(3, repeats._NO_ID), np.array([5 << 40, (5 << 40) + 1, 5 << 40])
+    assert repeats._rank(ids, tags).tolist() == [0, 1, 0]
+    r = np.zeros(3, repeats._WINDOW)
+    r["doc"], r["start"] = [0, 1, 1], [7, 8, 9]
+    packed = [x for _, x in repeats._packed(np.zeros(3, np.int64), r, ids, tags)]
+    got_ids, got_tags, got = repeats._unpacked(packed * 2, repeats._WINDOW)
+    assert got_tags.tolist() == [5 << 40, (5 << 40) + 1] * 2 and set(got_ids) == {int(repeats._NO_ID)}
+    assert got["doc"].tolist() == [0, 1, 1, 2, 3, 3] and got["start"].tolist() == [7, 8, 9] * 2

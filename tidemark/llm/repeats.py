@@ -131,7 +131,7 @@ def _packed(buckets: np.ndarray, records: np.ndarray, ids: np.ndarray, tags: np.
     for b, i, j in zip(names.tolist(), np.searchsorted(buckets, names).tolist(), np.searchsorted(buckets, names, "right").tolist()):
         part = records[i:j].copy()
         docs, part["doc"] = np.unique(part["doc"], return_inverse=True)
-        yield b, b"".join([np.uint32(len(docs)).tobytes(), ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i4").tobytes(), part.tobytes()])
+        yield b, b"".join([np.uint32(len(docs)).tobytes(), ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i8").tobytes(), part.tobytes()])
 
 
 def _unpacked(packed: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,8 +139,8 @@ def _unpacked(packed: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarr
     for x in packed:
         n = int(np.frombuffer(x, "<u4", 1)[0])
         ids.append(np.frombuffer(x, "<i8", n, 4))
-        tags.append(np.frombuffer(x, "<i4", n, 4 + 8 * n))
-        part = np.frombuffer(x, kind, -1, 4 + 12 * n).copy()
+        tags.append(np.frombuffer(x, "<i8", n, 4 + 8 * n))
+        part = np.frombuffer(x, kind, -1, 4 + 16 * n).copy()
         part["doc"] += base
         base += n
         records.append(part)
@@ -180,7 +180,7 @@ def _sorted(length: int):
         a = _by_document(ids, tags, np.concatenate(spans_doc), np.concatenate(spans))
         b = _by_document(ids, tags, o["doc"], np.stack([o["first"], o["at"], o["more"], o["kind"]], axis=1))
         return pa.table({
-            "id": pa.array(np.concatenate([a[0], b[0]]), pa.int64()), "tag": pa.array(np.concatenate([a[1], b[1]]), pa.int32()),
+            "id": pa.array(np.concatenate([a[0], b[0]]), pa.int64()), "tag": pa.array(np.concatenate([a[1], b[1]]), pa.int64()),
             "spans": pa.array(a[2] + [None] * len(b[2]), pa.binary()), "open": pa.array([None] * len(a[2]) + b[2], pa.binary()),
         })
 
@@ -196,12 +196,12 @@ def _windows(length: int):
         """Of one bucket: the windows that start earlier elsewhere, as spans per document."""
         whole = [x for x, k in zip(table.column("packed").to_pylist(), table.column("kind").to_pylist()) if k == _COMMON]
         cut = [x for x, k in zip(table.column("packed").to_pylist(), table.column("kind").to_pylist()) if k == _PLAIN]
-        ids, tags, r = _unpacked(whole, _WINDOW) if whole else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, _WINDOW))
+        ids, tags, r = _unpacked(whole, _WINDOW) if whole else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _WINDOW))
         for x in cut:
             n, m = np.frombuffer(x, "<u4", 2).tolist()
-            some = [np.frombuffer(x, "<i8", n, 8), np.frombuffer(x, "<i4", n, 8 + 8 * n)]
-            doc, first, more = np.frombuffer(x, "<u4", 3 * m, 8 + 12 * n).reshape(3, m).astype(np.int64)
-            data = np.frombuffer(x, np.uint8, -1, 8 + 12 * n + 12 * m)
+            some = [np.frombuffer(x, "<i8", n, 8), np.frombuffer(x, "<i8", n, 8 + 8 * n)]
+            doc, first, more = np.frombuffer(x, "<u4", 3 * m, 8 + 16 * n).reshape(3, m).astype(np.int64)
+            data = np.frombuffer(x, np.uint8, -1, 8 + 16 * n + 12 * m)
             edges = np.concatenate([[0], np.cumsum(more + length)])
             each = np.repeat(np.arange(m), more + 1)
             j = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
@@ -222,7 +222,7 @@ def _windows(length: int):
         i = np.flatnonzero(edge)
         stop = start[np.append(i[1:], len(doc)) - 1] + length if len(i) else start
         found = _by_document(ids, tags, doc[i], np.stack([start[i], stop], axis=1))
-        return pa.table({"id": pa.array(found[0], pa.int64()), "tag": pa.array(found[1], pa.int32()), "spans": pa.array(found[2], pa.binary())})
+        return pa.table({"id": pa.array(found[0], pa.int64()), "tag": pa.array(found[1], pa.int64()), "spans": pa.array(found[2], pa.binary())})
 
     return run
 
@@ -244,14 +244,14 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     Earlier means a smaller key, or the same document and an earlier start; strings are judged on the input. A null or empty
     text, or one under `length` bytes, keeps all. Keys are integers; a null key counts as smaller than any other. Repeated
     rows (same key and text) are one document and get equal results; different texts under one key are ordered by a hash of
-    the text. An empty table gives an empty result. Other columns of docs are not read.
+    the text, which, with 64 bits, is also what tells rows of a null key apart. An empty table gives an empty result. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     text_batches(spark)
     buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col(text), F.lit(""))
     taken = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.shiftright(F.xxhash64(body), 32).cast("int").alias("tag"), body.alias("t")
+        F.coalesce(F.col(key).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.xxhash64(body).alias("tag"), body.alias("t")
     )
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,11 +290,11 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
             again = np.zeros(len(doc), bool)
             again[order[1:]] = same[order][1:] == same[order][:-1]
             r["kind"][again] = _REPEAT
-            bucket = np.where(again, columnar.mix(ids[doc].astype(np.uint64)) % np.uint64(buckets), bucket.astype(np.uint64)).astype(np.int64)
+            bucket = np.where(again, columnar.mix(ids[doc].astype(np.uint64) ^ columnar.mix(tags[doc].astype(np.uint64))) % np.uint64(buckets), bucket.astype(np.uint64)).astype(np.int64)
             rows = list(_packed(bucket, r, ids, tags))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "packed": pa.array([x[1] for x in rows], pa.binary())})
 
-    judged = taken.mapInArrow(dealt, "bucket int, packed binary").groupBy("bucket").applyInArrow(_sorted(length), "id long, tag int, spans binary, open binary")
+    judged = taken.mapInArrow(dealt, "bucket int, packed binary").groupBy("bucket").applyInArrow(_sorted(length), "id long, tag long, spans binary, open binary")
     marks = stored(judged.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open")))  # of one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +329,14 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 sizes = more[i] + length
                 steps = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 out["bucket"].append(b), out["kind"].append(_PLAIN), out["packed"].append(b"".join([
-                    np.array([len(some), len(i)], "<u4").tobytes(), ids[some].astype("<i8").tobytes(), tags[some].astype("<i4").tobytes(),
+                    np.array([len(some), len(i)], "<u4").tobytes(), ids[some].astype("<i8").tobytes(), tags[some].astype("<i8").tobytes(),
                     np.stack([number, first[i], more[i]]).astype("<u4").tobytes(), data[np.repeat(place[i], sizes) + steps].tobytes(),
                 ]))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), pa.binary()))], list(out))
 
     unsettled = marks.filter(F.size("open") > 0).select("id", "tag", "open")
     cuts = taken.join(unsettled, ["id", "tag"]).select("id", "tag", "t", "open").mapInArrow(cut, "bucket int, kind int, packed binary")
-    more = cuts.groupBy("bucket").applyInArrow(_windows(length), "id long, tag int, spans binary")
+    more = cuts.groupBy("bucket").applyInArrow(_windows(length), "id long, tag long, spans binary")
     spans = marks.select("id", "tag", F.explode("spans").alias("spans")).unionByName(more).groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
 
     def taken_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
