@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import probability as P
 from tidemark.model.calibrate import apply_isotonic, isotonic_blocks
 from tidemark.model import backtest
-from tidemark.model.fit import fit_many, pair_cells, ratings_of
+from tidemark.model.fit import _Grid, _solve, fit_many, pair_cells, ratings_of
 from tidemark.model.fit_large import fit_distributed
 from tidemark.model.profiles import CANDIDATES, PROFILES, Config, profile
 
@@ -93,6 +93,43 @@ def test_batched_fit_equals_scalar_fit(spark, half_life):
         assert got.log_likelihood == pytest.approx(likelihood, abs=1e-6)
 
 
+def test_places_of_pairings_do_not_change_a_fit():
+    rng = np.random.default_rng(2)
+    size, fits = 9, 4
+    pairs = np.array([h * size + a for h in range(size) for a in range(size) if h != a and (h + 2 * a) % 5])
+    flat, weighted = rng.integers(0, 4, (fits, len(pairs), 4)).astype(float), rng.uniform(0.1, 3.0, (fits, len(pairs), 7))
+    flat[0, 20:] = weighted[0, 20:] = 0.0  # pairings that the first cutoff has not seen
+    every, met = _Grid(size, pairs), _Grid(size, pairs)
+    met.dense = False
+    met.home, met.away = pairs // size, pairs % size
+    met.turned = np.argsort(met.away, kind="stable")
+    met.home_teams, met.home_starts = np.unique(met.home, return_index=True)
+    met.away_teams, met.away_starts = np.unique(met.away[met.turned], return_index=True)
+    assert every.dense and len(every.home) == size * size
+    one, two = [_solve(g, g.placed(flat), g.placed(weighted), 0.1, 1e-10, 5000) for g in (every, met)]
+    for name in ("mu", "ha", "attack", "defence", "log_likelihood", "appearances", "training"):
+        assert one[name] == pytest.approx(two[name], abs=1e-9), name
+    assert one["converged"].all() and two["converged"].all()
+
+
+def test_thousands_of_teams_fit_in_one_task(spark):
+    """5,000 teams, each against four others: 25 million cells, 20,000 pairings."""
+    n, rng = 5000, random.Random(4)
+    rows = [(h * 4 + i, "x", 2000, f"t{h}", f"t{(h + 1 + rng.randrange(n - 1)) % n}", (h * 7 + i) % 4, (h + i * i) % 3, (h % 50) * DAY) for h in range(n) for i in range(4)]
+    config = Config("t", min_matches=1, max_sweeps=3000)
+    cutoffs = spark.createDataFrame([("x", 1000 * DAY)], "scope string, cutoff bigint")
+    fit = fit_many(spark.createDataFrame(rows, MATCH), [config], cutoffs).collect()[0]
+    at = {t: i for i, t in enumerate(fit.teams)}
+    home, away = np.array([at[r[3]] for r in rows]), np.array([at[r[4]] for r in rows])
+    att, dfn = np.array(fit.attack), np.array(fit.defence)
+    lam_h, lam_a = np.exp(fit.mu + fit.home_advantage + att[home] - dfn[away]), np.exp(fit.mu + att[away] - dfn[home])
+    goals_h, goals_a = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
+    over = lambda x, y: np.bincount(home, x, n) + np.bincount(away, y, n)
+    assert len(at) == n and fit.converged
+    assert over(goals_h - lam_h, goals_a - lam_a) - config.ridge * att == pytest.approx(np.zeros(n), abs=1e-4)
+    assert over(lam_a - goals_a, lam_h - goals_h) - config.ridge * dfn == pytest.approx(np.zeros(n), abs=1e-4)
+
+
 def test_distributed_fit_equals_batched_fit(spark):
     config = Config("t", min_matches=1, tolerance=1e-6)
     m = spark.createDataFrame(corpus(4, 2) + corpus(4, 1, 9, "y"), MATCH)

@@ -94,9 +94,8 @@ def test_rho_by_grouped_sums(spark):
         if scope == "c":
             counts[:, [1, 2]] = 0
         rows += [(scope, *map(float, x), *map(float, y)) for x, y in zip(lam, counts)]
-        grid = lambda x: x.reshape(1, 8, 1)
-        weighted = np.concatenate([np.zeros((1, 8, 1, 3)), counts.reshape(1, 8, 1, 4)], axis=-1)
-        want[scope] = float(_estimate_rho(np.ones((1, 8, 1, 7)), weighted, grid(lam[:, 0]), grid(lam[:, 1]))[0])
+        weighted = np.concatenate([np.zeros((1, 8, 3)), counts.reshape(1, 8, 4)], axis=-1)
+        want[scope] = float(_estimate_rho(np.ones((1, 8, 7)), weighted, lam[None, :, 0], lam[None, :, 1])[0])
     df = spark.createDataFrame(rows, "scope string, lambda_home double, lambda_away double, w00 double, w01 double, w10 double, w11 double")
     got = {r.scope: r.rho for r in estimate_rho_distributed(df, ["scope"]).collect()}
     assert set(got) == set(want) and got["b"] == 0.0

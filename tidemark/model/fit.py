@@ -109,10 +109,10 @@ def _decay(gap_us, half_life: float | None):
 
 
 def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int, cells: int):
-    """Teams, pairings, and batches of (cutoffs, flat sums, weighted sums) over strictly earlier kickoffs.
+    """Teams, their grid, and batches of (cutoffs, flat sums, weighted sums) over strictly earlier kickoffs.
 
-    A batch holds at most `cells` team-by-team cells, so memory does not grow
-    with the number of cutoffs in the block.
+    A batch holds at most `cells` places of the grid, so memory does not grow with the
+    number of cutoffs in the block.
     """
     rows = pdf[pdf.kind < 2]
     cutoffs = np.sort(pdf.loc[pdf.kind == 2, "at"].to_numpy(dtype=np.int64))
@@ -124,7 +124,8 @@ def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int
     flat = rows[list(FLAT)].to_numpy(dtype=float)
     weighted = rows[list(WEIGHTED)].to_numpy(dtype=float)
     at, kind = rows["at"].to_numpy(dtype=np.int64), rows.kind.to_numpy()
-    limit = max(1, cells // max(1, size * size))
+    grid = _Grid(size, pairs)
+    limit = max(1, cells // max(1, len(grid.home)))
 
     def batches():
         kept, out_flat, out_weighted = [], [], []
@@ -154,24 +155,79 @@ def _training_sums(pdf: pd.DataFrame, half_life: float | None, min_training: int
         if kept:
             yield kept, np.stack(out_flat), np.stack(out_weighted)
 
-    return teams, pairs, batches()
+    return teams, grid, batches()
 
 
-def _solve(flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: float, max_sweeps: int) -> dict:
-    """Coordinate ascent for C fits over T teams at once; inputs are (C, T, T) sums by pairing.
+class _Grid:
+    """Where the sums of pairings lie: in all team-by-team cells, or one place for each pairing that ever met.
+
+    All cells are used while at least one in DENSE holds a pairing, so memory follows the pairings, not the square of the
+    teams; values per pairing are (C, P) arrays for C fits.
+    """
+
+    DENSE = 4
+
+    def __init__(self, size: int, pairs: np.ndarray):
+        self.size, self.pairs = size, pairs
+        self.dense = size * size <= self.DENSE * len(pairs)
+        places = np.arange(size * size) if self.dense else pairs
+        self.home, self.away = places // max(size, 1), places % max(size, 1)
+        if not self.dense:
+            self.turned = np.argsort(self.away, kind="stable")
+            self.home_teams, self.home_starts = np.unique(self.home, return_index=True)
+            self.away_teams, self.away_starts = np.unique(self.away[self.turned], return_index=True)
+
+    def placed(self, values: np.ndarray) -> np.ndarray:
+        """(C, pairings, k) sums as (C, P, k)."""
+        if not self.dense:
+            return values
+        out = np.zeros((len(values), self.size * self.size, values.shape[2]))
+        out[:, self.pairs] = values
+        return out
+
+    def by_home(self, values: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return values.reshape(-1, self.size, self.size).sum(2)
+        out = np.zeros((len(values), self.size))
+        out[:, self.home_teams] = np.add.reduceat(values, self.home_starts, axis=1)
+        return out
+
+    def by_away(self, values: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return values.reshape(-1, self.size, self.size).sum(1)
+        out = np.zeros((len(values), self.size))
+        out[:, self.away_teams] = np.add.reduceat(values[:, self.turned], self.away_starts, axis=1)
+        return out
+
+    def over_away(self, mass: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Per home team: the sum of mass times what its visitors have in x."""
+        if self.dense:
+            return (mass.reshape(-1, self.size, self.size) @ x[..., None])[..., 0]
+        return self.by_home(mass * x[:, self.away])
+
+    def over_home(self, mass: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Per away team: the sum of mass times what its hosts have in x."""
+        if self.dense:
+            return (mass.reshape(-1, self.size, self.size).transpose(0, 2, 1) @ x[..., None])[..., 0]
+        return self.by_away(mass * x[:, self.home])
+
+
+def _solve(grid: _Grid, flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: float, max_sweeps: int) -> dict:
+    """Coordinate ascent for C fits over T teams at once; inputs are (C, P, k) sums by pairing.
 
     All attacks of a sweep are independent of each other, and so are all
-    defences, so each sweep is four matrix-vector products per fit.
+    defences, so each sweep is four products of sums and teams per fit.
     """
     mass, home_goals, away_goals = weighted[..., 0], weighted[..., 1], weighted[..., 2]
-    seen = (flat[..., 0].sum(2) + flat[..., 0].sum(1)) > 0
-    scored = home_goals.sum(2) + away_goals.sum(1)
-    conceded = away_goals.sum(2) + home_goals.sum(1)
-    total, total_home = scored.sum(1), home_goals.sum((1, 2))
-    usable = ((flat[..., 1] + flat[..., 2]).sum((1, 2)) > 0) & (total > 0)
+    appearances = grid.by_home(flat[..., 0]) + grid.by_away(flat[..., 0])
+    seen = appearances > 0
+    scored = grid.by_home(home_goals) + grid.by_away(away_goals)
+    conceded = grid.by_home(away_goals) + grid.by_away(home_goals)
+    total, total_home = scored.sum(1), home_goals.sum(1)
+    usable = ((flat[..., 1] + flat[..., 2]).sum(1) > 0) & (total > 0)
     count = np.maximum(seen.sum(1), 1)
     c, t = scored.shape
-    weight_sum = np.where(usable, mass.sum((1, 2)), 1.0)
+    weight_sum = np.where(usable, mass.sum(1), 1.0)
     mu = np.log(np.where(usable, total, 1.0) / (2.0 * weight_sum))
     ha = np.zeros(c)
     att, dfn = np.zeros((c, t)), np.zeros((c, t))
@@ -180,10 +236,10 @@ def _solve(flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: floa
     for sweep in range(1, max_sweeps + 1):
         if not len(live):
             break
-        m, mt = mass[live], mass[live].transpose(0, 2, 1)
+        m = mass[live]
         mu_l, ha_l, at_l, df_l, ok = mu[live], ha[live], att[live], dfn[live], seen[live]
         attack, leak = np.exp(at_l), np.exp(-df_l)
-        m_leak, mt_leak = (m @ leak[..., None])[..., 0], (mt @ leak[..., None])[..., 0]
+        m_leak, mt_leak = grid.over_away(m, leak), grid.over_home(m, leak)
         rate_home, rate_away = (attack * m_leak).sum(1), (attack * mt_leak).sum(1)
         mu_n = mu_l + np.log(total[live] / (np.exp(mu_l) * (np.exp(ha_l) * rate_home + rate_away)))
         expected_home = np.exp(mu_n + ha_l) * rate_home
@@ -194,7 +250,7 @@ def _solve(flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: floa
         expected = base * attack * (edge * m_leak + mt_leak)
         at_n = at_l + _capped(scored[live] - expected - ridge * at_l, expected + ridge)
         attack = np.exp(at_n)
-        m_att, mt_att = (m @ attack[..., None])[..., 0], (mt @ attack[..., None])[..., 0]
+        m_att, mt_att = grid.over_away(m, attack), grid.over_home(m, attack)
         expected = base * leak * (m_att + edge * mt_att)
         df_n = df_l + _capped(expected - conceded[live] - ridge * df_l, expected + ridge)
         mean_a = (at_n * ok).sum(1) / count[live]
@@ -209,14 +265,14 @@ def _solve(flat: np.ndarray, weighted: np.ndarray, ridge: float, tolerance: floa
         stop = moved < tolerance
         converged[live[stop]] = True
         live = live[~stop]
-    lam_h = np.exp(mu[:, None, None] + ha[:, None, None] + att[:, :, None] - dfn[:, None, :])
-    lam_a = np.exp(mu[:, None, None] + att[:, None, :] - dfn[:, :, None])
+    lam_h = np.exp((mu + ha)[:, None] + att[:, grid.home] - dfn[:, grid.away])
+    lam_a = np.exp(mu[:, None] + att[:, grid.away] - dfn[:, grid.home])
     n, hg, ag, lg = (flat[..., i] for i in range(4))
-    likelihood = (hg * np.log(lam_h) - n * lam_h + ag * np.log(lam_a) - n * lam_a - lg).sum((1, 2))
+    likelihood = (hg * np.log(lam_h) - n * lam_h + ag * np.log(lam_a) - n * lam_a - lg).sum(1)
     return {
         "usable": usable, "mu": mu, "ha": ha, "attack": att, "defence": dfn, "sweeps": sweeps,
         "converged": converged, "log_likelihood": likelihood, "lam_h": lam_h, "lam_a": lam_a,
-        "appearances": flat[..., 0].sum(2) + flat[..., 0].sum(1), "training": n.sum((1, 2)),
+        "appearances": appearances, "training": n.sum(1),
     }
 
 
@@ -232,18 +288,18 @@ def _estimate_rho(flat: np.ndarray, weighted: np.ndarray, lam_h: np.ndarray, lam
     a bracketed Newton iteration on its slope finds the one maximum.
     """
     met = flat[..., 0] > 0
-    low = np.where(met, np.maximum(-1.0 / lam_h, -1.0 / lam_a), -np.inf).max((1, 2)) + margin
-    high = np.where(met, np.minimum(1.0 / (lam_h * lam_a), 1.0), np.inf).min((1, 2)) - margin
+    low = np.where(met, np.maximum(-1.0 / lam_h, -1.0 / lam_a), -np.inf).max(1) + margin
+    high = np.where(met, np.minimum(1.0 / (lam_h * lam_a), 1.0), np.inf).min(1) - margin
     counts = weighted[..., 3:7]
-    informative = counts.sum((1, 2, 3)) > 0
+    informative = counts.sum((1, 2)) > 0
     slopes = np.stack([-lam_h * lam_a, lam_h, lam_a, -np.ones_like(lam_h)], axis=-1)
     slopes = np.where(counts > 0, slopes, 0.0)
     a, b = low.copy(), high.copy()
     rho = np.clip(np.zeros_like(low), a, b)
     for _ in range(200):
-        share = slopes / (1.0 + slopes * rho[:, None, None, None])
-        slope = (counts * share).sum((1, 2, 3))
-        bend = -(counts * share * share).sum((1, 2, 3))
+        share = slopes / (1.0 + slopes * rho[:, None, None])
+        slope = (counts * share).sum((1, 2))
+        bend = -(counts * share * share).sum((1, 2))
         a, b = np.where(slope > 0, rho, a), np.where(slope <= 0, rho, b)
         step = rho - np.divide(slope, bend, out=np.zeros_like(slope), where=bend < 0)
         target = np.where((step > a) & (step < b), step, (a + b) / 2.0)
@@ -302,16 +358,11 @@ def fit_many(
 
     def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
         index, scope = int(pdf.half.iloc[0]), pdf.scope.iloc[0]
-        teams, pairs, batches = _training_sums(pdf, halves[index], min_training, SOLVE_CELLS)
+        teams, grid, batches = _training_sums(pdf, halves[index], min_training, SOLVE_CELLS)
         frames = []
-        size = len(teams)
         for part, flats, weights in batches:
-            flat = np.zeros((len(part), size * size, len(FLAT)))
-            weighted = np.zeros((len(part), size * size, len(WEIGHTED)))
-            flat[:, pairs], weighted[:, pairs] = flats, weights
-            flat = flat.reshape(len(part), size, size, -1)
-            weighted = weighted.reshape(len(part), size, size, -1)
-            fit = _solve(flat, weighted, shared.ridge, shared.tolerance, shared.max_sweeps)
+            flat, weighted = grid.placed(flats), grid.placed(weights)
+            fit = _solve(grid, flat, weighted, shared.ridge, shared.tolerance, shared.max_sweeps)
             rho = _estimate_rho(flat, weighted, fit["lam_h"], fit["lam_a"]) if wants_rho[index] else [None] * len(part)
             thin = fit["appearances"] < shared.min_matches
             attack, defence = np.where(thin, 0.0, fit["attack"]), np.where(thin, 0.0, fit["defence"])

@@ -281,6 +281,52 @@ def fit_ratings(spark, sf_dir):
     )
 
 
+WIDE = (Config("wide", min_matches=1, max_sweeps=3000), Config("wide_year", 365.0, min_matches=1, max_sweeps=3000))
+
+
+@query("fit_ratings_wide", None, f"""WITH w AS (SELECT o_orderkey AS id, o_custkey AS home, (o_custkey * 31 + o_orderkey * 17) % 1499 + 1 AS away,
+  epoch_us(CAST(o_orderdate AS TIMESTAMP)) + (o_orderkey % 4) * {views.HOUR_US} AS k,
+  (o_orderkey * 31 + o_custkey * 17) % (2 + o_custkey % 4) AS hg, (o_orderkey * 13 + o_custkey * 7) % (2 + o_custkey % 3) AS ag FROM orders WHERE o_custkey <> (o_custkey * 31 + o_orderkey * 17) % 1499 + 1),
+ c AS (SELECT max(k) + 1 AS cutoff FROM w), h(half, hl) AS (VALUES (0, NULL), (1, 365.0)),
+ x AS (SELECT half, home, away, hg, ag, CASE WHEN hl IS NULL THEN 1.0 ELSE power(0.5, (cutoff - k) / 86400000000.0 / hl) END AS w FROM w CROSS JOIN c CROSS JOIN h),
+ s AS (SELECT half, home AS team, w * hg AS f, w * ag AS a FROM x UNION ALL SELECT half, away, w * ag, w * hg FROM x)
+ SELECT half, team, count(*) AS matches, {sql_scaled('sum(f)', 3)} AS scored, {sql_scaled('sum(a)', 3)} AS conceded, true AS converged FROM s GROUP BY ALL""")
+def fit_ratings_wide(spark, sf_dir):
+    """First-order conditions of one scope in which every customer is a team: few pairings, thousands of teams."""
+    ensure_checkpoint_dir(spark)
+    m = views.table(spark, sf_dir, "orders").selectExpr(
+        "'wide' AS scope", "o_custkey AS home", "(o_custkey * 31 + o_orderkey * 17) % 1499 + 1 AS away",
+        f"{views.micros('o_orderdate')} + (o_orderkey % 4) * {views.HOUR_US} AS k",
+        "CAST((o_orderkey * 31 + o_custkey * 17) % (2 + o_custkey % 4) AS INT) AS hg",
+        "CAST((o_orderkey * 13 + o_custkey * 7) % (2 + o_custkey % 3) AS INT) AS ag",
+    ).filter("home <> away")
+    cutoffs = m.groupBy("scope").agg((F.max("k") + 1).alias("cutoff"))
+    fits = fit_many(m, WIDE, cutoffs).checkpoint()
+    half = F.explode(F.array(*[F.struct(F.lit(i).alias("half"), F.lit(c.half_life).cast("double").alias("hl")) for i, c in enumerate(WIDE)])).alias("x")
+    mass = pair_cells(m).join(cutoffs, "scope").select("*", half).groupBy("x.half", "scope", "cutoff", "home", "away").agg(
+        F.sum(F.col("n") * P.decay_weight(F.col("cutoff") - F.col("k"), F.col("x.hl"))).alias("w")
+    )
+    keys = ["half", "scope", "cutoff"]
+    rated = ratings_of(fits, 1).drop("cold_start")
+    of = lambda side: rated.withColumnsRenamed({"team": side, "attack": f"{side}_attack", "defence": f"{side}_defence", "matches": f"{side}_matches"})
+    met = mass.join(fits.select(*keys, "mu", "home_advantage", "converged"), keys).join(of("home"), [*keys, "home"]).join(of("away"), [*keys, "away"])
+    goals_home = F.col("w") * F.exp(F.col("mu") + F.col("home_advantage") + F.col("home_attack") - F.col("away_defence"))
+    goals_away = F.col("w") * F.exp(F.col("mu") + F.col("away_attack") - F.col("home_defence"))
+
+    def own(side: str, scored: Column, conceded: Column):
+        return F.struct(
+            F.col(side).alias("team"), scored.alias("f"), conceded.alias("a"), F.col(f"{side}_attack").alias("attack"),
+            F.col(f"{side}_defence").alias("defence"), F.col(f"{side}_matches").alias("n"), F.col("converged"),
+        )
+
+    sides = F.explode(F.array(own("home", goals_home, goals_away), own("away", goals_away, goals_home))).alias("s")
+    ridge = WIDE[0].ridge
+    return met.select("half", sides).groupBy("half", "s.team").agg(
+        F.max("s.n").cast("bigint").alias("matches"), scaled(F.sum("s.f") + ridge * F.max("s.attack"), 3).alias("scored"),
+        scaled(F.sum("s.a") - ridge * F.max("s.defence"), 3).alias("conceded"), F.min("s.converged").alias("converged"),
+    )
+
+
 @query("fit_summary", ["m"], _WEIGHTED_SQL + f"""SELECT half, scope, cutoff, count(*) AS training_matches, true AS converged,
  {sql_scaled('sum(w * hg)', 3)} AS home_goals, {sql_scaled('sum(w * ag)', 3)} AS away_goals FROM w GROUP BY ALL""")
 def fit_summary(spark, sf_dir):
