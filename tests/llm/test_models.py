@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import struct
 import textwrap
 import zlib
@@ -172,6 +173,29 @@ def test_language_profile_is_plain_counts(spark):
     assert n.max() >= 600_000 - 2 and len(keys) < 20
 
 
+def test_languages_beyond_one_block(spark, monkeypatch):
+    """Every distance, in blocks of any size and from a table or a list, against one worked out n-gram by n-gram."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "123", "ab " * 40_000]
+    docs = spark.createDataFrame([(i, t, f"l{i % 23:02d}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    known = langid.learn(docs, size=40)
+    want = {}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        top = langid._top(*langid._counted(langid._LETTER[np.frombuffer(t.encode(), np.uint8)]), 40).tolist()
+        away = {x: sum(abs(g.index(k) - j) if k in g else 40 for j, k in enumerate(top)) for x, g in known.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        want[i] = (best, 1 - away[best] / (40 * len(top)))
+    for most in (2000, 7):
+        monkeypatch.setattr(langid, "LANGUAGES", most)
+        for given in (known, langid.profiles(docs, size=40)):
+            got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, given, size=40).collect()}
+            assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+            assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
 def test_quality_on_labels(spark, odd, none):
     labels = queries.table(spark, "/root/testdata/sf0.1", "labels")
     docs = queries.table(spark, "/root/testdata/sf0.1", "documents")

@@ -50,7 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles from two thirds of the documents, predictions for all."""
     docs = table(spark, sf_dir, "documents")
     part = langid.fold(F.col("doc_id"), 3)
-    found = langid.predict(docs, langid.learn(docs.filter(part != 1)))
+    found = langid.predict(docs, langid.profiles(docs.filter(part != 1)))
     return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
 
 
