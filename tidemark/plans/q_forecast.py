@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,11 +234,15 @@ def season_fits(spark, sf_dir) -> DataFrame:
 
 
 def _expected_by_pair(spark, sf_dir) -> DataFrame:
-    """Per (half, scope, cutoff, home, away): weighted matches and the fit's two rates."""
+    """The fits at every season's end: `_expected` of them."""
     m = views.matches(spark, sf_dir)
-    fits = season_fits(spark, sf_dir)
+    return _expected(m, season_cutoffs(m), season_fits(spark, sf_dir))
+
+
+def _expected(m: DataFrame, cutoffs: DataFrame, fits: DataFrame) -> DataFrame:
+    """Per (half, scope, cutoff, home, away): weighted matches and the fit's two rates."""
     halves = list(dict.fromkeys(c.half_life for c in ALL_RATED))
-    cut = season_cutoffs(m).groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
+    cut = cutoffs.groupBy("scope").agg(F.collect_set("cutoff").alias("cutoffs"))
     seen = F.explode(F.filter("cutoffs", lambda c: c > F.col("k"))).alias("cutoff")
     pairs = pair_cells(m).join(cut, "scope").select("scope", "k", "home", "away", "n", seen)
     half = F.explode(F.array(*[
@@ -261,7 +267,10 @@ _WEIGHTED_SQL = f"""+ ends AS (SELECT DISTINCT scope, epoch_us(make_timestamp(se
  FROM s GROUP BY ALL""")
 def fit_ratings(spark, sf_dir):
     """First-order conditions per team: weighted goals = fitted goals + ridge * rating, for every season-end fit."""
-    rated = _expected_by_pair(spark, sf_dir)
+    return _conditions(_expected_by_pair(spark, sf_dir), 5)
+
+
+def _conditions(rated: DataFrame, digits: int) -> DataFrame:
     ridge = ALL_RATED[0].ridge
 
     def rating(team: str, values: str):
@@ -276,11 +285,29 @@ def fit_ratings(spark, sf_dir):
     sides = F.explode(F.array(own("home", "lambda_home", "lambda_away"), own("away", "lambda_away", "lambda_home"))).alias("s")
     return rated.select("half", "scope", "cutoff", sides).groupBy("half", "scope", "cutoff", "s.team").agg(
         F.max("s.n").cast("bigint").alias("matches"),
-        scaled(F.sum("s.f") + ridge * F.max("s.attack"), 5).alias("scored"),
-        scaled(F.sum("s.a") - ridge * F.max("s.defence"), 5).alias("conceded"),
+        scaled(F.sum("s.f") + ridge * F.max("s.attack"), digits).alias("scored"),
+        scaled(F.sum("s.a") - ridge * F.max("s.defence"), digits).alias("conceded"),
     )
 
 
+MONTHLY = tuple(replace(c, max_sweeps=5000) for c in ALL_RATED)
+
+
+@query("fit_many_months", ["m"], f"""+ mo AS (SELECT DISTINCT scope, epoch_us(date_trunc('month', make_timestamp(k))) AS cutoff FROM m),
+ ends AS (SELECT mo.scope, cutoff FROM mo JOIN m ON m.scope = mo.scope AND k < cutoff GROUP BY ALL HAVING count(*) >= {MIN_TRAINING_MATCHES}),
+ h(half, hl) AS (VALUES (0, NULL), (1, 30.0), (2, 90.0), (3, 180.0), (4, 365.0)),
+ w AS (SELECT half, m.scope, cutoff, home, away, hg, ag,
+  CASE WHEN hl IS NULL THEN 1.0 ELSE power(0.5, (cutoff - k) / 86400000000.0 / hl) END AS w FROM m JOIN ends USING (scope) CROSS JOIN h WHERE k < cutoff),
+ s AS (SELECT half, scope, cutoff, home AS team, w * hg AS f, w * ag AS a FROM w UNION ALL SELECT half, scope, cutoff, away, w * ag, w * hg FROM w)
+ SELECT half, scope, cutoff, team, count(*) AS matches, {sql_scaled('sum(f)', 3)} AS scored, {sql_scaled('sum(a)', 3)} AS conceded
+ FROM s GROUP BY ALL""")
+def fit_many_months(spark, sf_dir):
+    """First-order conditions per team of the fits at the start of every month, all five half-lives."""
+    m = views.matches(spark, sf_dir)
+    cutoffs = backtest.month_cutoffs(m)
+    return _conditions(_expected(m, cutoffs, fit_many(m, MONTHLY, cutoffs, MIN_TRAINING_MATCHES)), 3)
+
+
 WIDE = (Config("wide", min_matches=1, max_sweeps=3000), Config("wide_year", 365.0, min_matches=1, max_sweeps=3000))
 
 
