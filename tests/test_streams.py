@@ -73,3 +73,21 @@ def test_late_rows_are_counted_behind_the_delay(spark, folder):
         batches.run_available(batches.read_stream(spark, path, df.drop("part").schema), folder, batches.late_rows_step("at", 24 * HOUR, 2 * HOUR))
     got = {r.window // (24 * HOUR): (r.on_time, r.late) for r in batches.output(spark, folder).groupBy("window").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late")).collect()}
     assert got == {0: (3, 1), 1: (2, 1)}
+
+
+def test_series_of_a_group_share_state_but_not_ticks(spark, folder):
+    """200 series in 3 groups over several runs: the batch operator's changes, and no more stored lists than groups."""
+    changes.prepare(spark)
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(200)}", rng.randrange(2), i, (1 + rng.randrange(96)) * HOUR, rng.randrange(2)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "series string, side int, event bigint, observed_at bigint, price bigint")
+    for path in batches.arrivals(df.withColumn("part", F.floor(F.col("observed_at") / (32 * HOUR))), "part", folder):
+        stream = batches.read_stream(spark, path, df.schema)
+        told = changes.change_only(stream, ["series", "side"], "observed_at", "event", ["price"], "8 hours", groups=3)
+        batches.write_available(told, folder)
+    got = changes.stands(spark.read.parquet(folder + "/out"), "series", "side", "event", "price").collect()
+    series = F.struct("series", "side").alias("series_id")
+    want = odds.change_only(df.select(series, "side", "series", "observed_at", F.col("event").alias("event_id"), F.col("price").alias("price_c"), F.lit(True).alias("is_available")), ["series_id"], ["event_id"])
+    assert sorted(map(tuple, got)) == sorted((r.series, r.side, r.event_id, r.price_c) for r in want.collect())
+    kept = spark.read.format("statestore").option("stateVarName", "ticks").load(folder + "/checkpoint")
+    assert len({r["key"]["_group"] for r in kept.select("key").collect()}) == 3

@@ -4,6 +4,9 @@ The state of a series is the ticks the watermark has not passed yet and the last
 watermark's delay of history. A tick is compared with the one before it as soon as it comes. A late one that lands between
 two others may be a change itself and may make or unmake its successor's change: both are told, as `change` 1 and -1. The
 sum over a tick's rows says whether it stands. Ticks behind the watermark are left out by Spark and counted in its progress.
+
+Series are dealt by a hash over `GROUPS` groups, and a group's series share one state list and one timer: a call into the
+state store costs the same for one series as for hundreds.
 """
 
 from __future__ import annotations
@@ -41,49 +44,72 @@ def corrections(ticks: list[Tick], fresh: list[Tick]) -> tuple[list[Tick], list[
     return merged, gone + [(*k, now[k], 1) for k in now if k not in was]
 
 
+#: Groups of series that share a state list. A stream's checkpoint is tied to it.
+GROUPS = 2048
+
+
 class ChangeOnly(StatefulProcessor):
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
+    """One group of series: `keys` tell them apart, `kinds` are the keys' types as DDL."""
+
+    def __init__(self, keys: Sequence[str], kinds: str):
+        self.keys, self.kinds = list(keys), kinds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ticks = handle.getListState("ticks", _TICK)
+        self.ticks = handle.getListState("ticks", f"{self.kinds}, {_TICK}")
+
+    def _held(self) -> dict[tuple, list[Tick]]:
+        held: dict[tuple, list[Tick]] = {}
+        for row in self.ticks.get() if self.ticks.exists() else ():
+            *series, at, tie, content, settled = row
+            held.setdefault(tuple(series), []).append((int(at), int(tie), content, bool(settled)))
+        return held
 
-    def _held(self) -> list[Tick]:
-        return [(int(t[0]), int(t[1]), t[2], bool(t[3])) for t in self.ticks.get()] if self.ticks.exists() else []
+    def _keep(self, held: dict[tuple, list[Tick]], watermark_us: int) -> int | None:
+        """Store what later ticks need; the newest instant the watermark has not passed."""
+        kept = {series: settle(ticks, watermark_us) for series, ticks in held.items()}
+        self.ticks.put([(*series, *t) for series, ticks in kept.items() for t in ticks])
+        return max((ticks[-1][0] for ticks in kept.values() if not ticks[-1][3]), default=None)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = [(int(a), int(t), c, False) for part in rows for a, t, c in zip(part["at"], part["tie"], part["content"])]
-        ticks, told = corrections(self._held(), fresh)
-        kept = settle(ticks, timerValues.getCurrentWatermarkInMs() * 1000)
-        self.ticks.put(kept)
-        if kept and not kept[-1][3]:  # come back when the watermark has passed all of them
-            self.handle.registerTimer(kept[-1][0] // 1000 + 1)
-        yield self._rows(key, told)
+        fresh: dict[tuple, list[Tick]] = {}
+        for part in rows:
+            series = zip(*[part[k].tolist() for k in self.keys])
+            for s, a, t, c in zip(series, part["at"].tolist(), part["tie"].tolist(), part["content"].tolist()):
+                fresh.setdefault(s, []).append((a, t, c, False))
+        held, told = self._held(), []
+        for s, ticks in fresh.items():
+            held[s], changed = corrections(held.get(s, []), ticks)
+            told += [(*s, *c) for c in changed]
+        newest = self._keep(held, timerValues.getCurrentWatermarkInMs() * 1000)
+        if newest is not None:  # come back when the watermark has passed all of them
+            self.handle.registerTimer(newest // 1000 + 1)
+        yield self._rows(told)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.ticks.exists():
-            self.ticks.put(settle(self._held(), timerValues.getCurrentWatermarkInMs() * 1000))
-        yield self._rows(key, [])
+            self._keep(self._held(), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield self._rows([])
 
-    def _rows(self, key: Any, told: list[tuple[int, int, str, int]]) -> pd.DataFrame:
-        out = pd.DataFrame(told, columns=["at", "tie", "content", "change"]).astype({"at": "int64", "tie": "int64", "content": "object", "change": "int64"})
-        for name, value in zip(self.keys, key):
-            out[name] = pd.Series([value] * len(out), dtype="object" if isinstance(value, str) else None, index=out.index)
-        return out[[*self.keys, "at", "tie", "content", "change"]]
+    def _rows(self, told: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(told, columns=[*self.keys, "at", "tie", "content", "change"])
+        return out.astype({"at": "int64", "tie": "int64", "content": "object", "change": "int64"})
 
 
-def change_only(ticks: DataFrame, keys: Sequence[str], at: str, tie: str, columns: Sequence[str], delay: str) -> DataFrame:
+def change_only(
+    ticks: DataFrame, keys: Sequence[str], at: str, tie: str, columns: Sequence[str], delay: str, groups: int = GROUPS
+) -> DataFrame:
     """A stream of ticks as a stream of changes: keys, `at`, `tie`, columns and change (1 or -1).
 
     `at` is a bigint of microseconds, `tie` a bigint that orders ticks of one instant. Keys must not be NULL. The session must
-    use the store of `prepare`.
+    use the store of `prepare`. `groups`, the number of state lists, must stay the same over a stream's runs.
     """
     content = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    rows = ticks.select(*keys, F.col(at).alias("at"), F.col(tie).alias("tie"), content.alias("content"), F.timestamp_micros(at).alias("_instant")).withWatermark("_instant", delay)
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group")
+    rows = ticks.select(group, *keys, F.col(at).alias("at"), F.col(tie).alias("tie"), content.alias("content"), F.timestamp_micros(at).alias("_instant")).withWatermark("_instant", delay)
     kinds = ", ".join(f"{k} {ticks.schema[k].dataType.simpleString()}" for k in keys)
-    out = rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ChangeOnly(keys), outputStructType=f"{kinds}, at bigint, tie bigint, content string, change bigint", outputMode="Append", timeMode="EventTime",
+    out = rows.groupBy("_group").transformWithStateInPandas(
+        statefulProcessor=ChangeOnly(keys, kinds), outputStructType=f"{kinds}, at bigint, tie bigint, content string, change bigint", outputMode="Append", timeMode="EventTime",
     )
     kind = ", ".join(f"{c} {ticks.schema[c].dataType.simpleString()}" for c in columns)
     back = F.from_json("content", kind)
