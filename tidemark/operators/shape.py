@@ -14,3 +14,11 @@ def evaluated_once(df: DataFrame) -> DataFrame:
     whole expression a second time.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt over the shuffle partitions by `keys`, for work that is heavy per row.
+
+    A table of few bytes a row is read in few tasks; after this the tasks follow the rows.
+    """
+    return df.repartition(*keys)
