@@ -249,3 +249,23 @@ def test_isotonic_blocks_equal_the_min_max_formula(spark):
     low = min((r for r in blocks if r["market"] is None), key=lambda r: r["low"])
     assert sorted(out, key=repr) == sorted([("one", 1.0), ("one", 1.0), ("one", None), ("new", None)] + [(None, low["hits"] / low["rows"])] * 2, key=repr)
     assert isotonic_blocks(past.limit(0), ["market"], "at", "label").count() == 0
+
+
+def test_scorelines_are_checked_by_array_and_fixtures_not_dealt_by_scope(spark, sf):
+    """Markets of stored scorelines come from one product per batch; forecasts join their few fits without a shuffle by scope."""
+    from tidemark.functions.rules import prediction_rules
+    from tidemark.plans import catalog
+
+    plan = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan("markets_match") and "hashpartitioning(scope" not in plan("prediction_artifact")
+    df = spark.createDataFrame([(1, 1.3, 0.9, -0.1), (2, 2.0, 1.1, 0.0), (3, None, 1.0, 0.0)], "id int, lambda_home double, lambda_away double, rho double")
+    cells = P.with_markets(df, rho="rho", scoreline=True).withColumn(
+        "scoreline", F.expr("CASE id WHEN 2 THEN transform(scoreline, (p, i) -> IF(i = 40, p + 0.5D, p)) ELSE scoreline END")
+    )
+    assert {r.id: r.ok for r in cells.select("id", P.markets_match().alias("ok")).collect()} == {1: True, 2: False, 3: None}
+    short = cells.withColumn("scoreline", F.expr("slice(scoreline, 1, 200)"))
+    assert {r.ok for r in short.select(P.markets_match().alias("ok")).collect()} == {None}
+    odd = spark.createDataFrame([([0.5, 0.5],), ([1.5, None],), ([0.5, None],), ([],), (None,), ([-0.1, 1.1],), ([float("nan")],)], "scoreline array<double>")
+    names = [c for c in cells.columns if c.startswith("p_")]
+    odd = odd.withColumns({c: F.lit(0.5) for c in names} | {"lambda_home": F.lit(1.0), "lambda_away": F.lit(1.0), "truncated_mass": F.lit(0.0)})
+    assert [r[0] for r in odd.select(prediction_rules()["cell_out_of_range"]).collect()] == [False, True, None, False, None, True, True]

@@ -158,7 +158,8 @@ def prediction_rules(max_goals: int = 15) -> dict[str, Column]:
         rising = rising | (c(high) > c(low))
     return {
         "wrong_cell_count": F.size(cells) != (max_goals + 1) ** 2,
-        "cell_out_of_range": ~F.forall(cells, lambda p: (p >= 0) & (p <= 1)),
+        # The mass is NULL when a cell is.
+        "cell_out_of_range": F.when((F.array_min(cells) < 0) | (F.array_max(cells) > 1), True).when(mass.isNotNull(), False),
         "mass_not_one": F.abs(mass - 1) > TOLERANCE,
         "probability_out_of_range": outside,
         "one_x_two_not_one": F.abs(c("p_home") + c("p_draw") + c("p_away") - 1) > TOLERANCE,
