@@ -143,29 +143,27 @@ def consensus(quotes: DataFrame, market: Sequence[str], width: Column, max_age_u
     `quotes`: market keys (exact period, type and line), book, selection, price
     (double), is_available, observed_at. `width` is the number of selections
     that make the market whole. Suspended quotes, stale ones and books without
-    the whole market are left out. Lists hold one market's selections only.
+    the whole market are left out.
     """
     fresh = quotes.filter("is_available AND price IS NOT NULL")
     if max_age_us is not None:
         fresh = fresh.filter(now - F.col("observed_at") <= max_age_us)
+    # One shuffle and one sort by market serve all steps: their groups are that order's prefixes, and no lists are built.
+    first = Window.partitionBy(*market).orderBy("book", "selection", F.desc("observed_at"), F.desc("price"))
+    same = F.col("book").eqNullSafe(F.lag("book").over(first)) & F.col("selection").eqNullSafe(F.lag("selection").over(first))
     # A book's latest quote of a selection stands, so repeated quotes can't pass for a whole market.
-    latest = fresh.withColumn("__width", width).groupBy(*market, "book", "selection").agg(
-        F.max(F.struct("observed_at", "price")).alias("__t"), F.max("__width").alias("__width")
-    ).select(*market, "book", "selection", "__width", F.col("__t.price").alias("price"))
-    book = latest.groupBy(*market, "book").agg(
-        F.sum(1 / F.col("price")).alias("__over"), F.count(F.lit(1)).alias("__n"), F.max("__width").alias("__width"),
-        F.collect_list(F.struct("selection", "price")).alias("__q"),
-    ).filter("__n = __width")
-    fair = book.select(*market, "__over", F.explode("__q").alias("q")).select(
-        *market, "q.selection", (1 / F.col("q.price") / F.col("__over")).alias("p")
-    )
+    latest = fresh.select(*market, "book", "selection", "observed_at", "price", width.alias("__width")).withColumn(
+        "__again", F.lag(F.lit(True)).over(first).isNotNull() & same
+    ).filter("NOT __again")
+    book = Window.partitionBy(*market, "book")
+    fair = latest.select(
+        *market, "selection", "price", F.sum(1 / F.col("price")).over(book).alias("__over"),
+        F.count(F.lit(1)).over(book).alias("__n"), F.max("__width").over(book).alias("__width"),
+    ).filter("__n = __width").select(*market, "selection", (1 / F.col("price") / F.col("__over")).alias("p"))
     odds = fair.groupBy(*market, "selection").agg(
         F.avg(F.ln(F.col("p") / (1 - F.col("p")))).alias("l"), F.count(F.lit(1)).alias("books")
     ).withColumn("p", 1 / (1 + F.exp(-F.col("l"))))
-    whole = odds.groupBy(*market).agg(F.sum("p").alias("__sum"), F.collect_list(F.struct("selection", "books", "p")).alias("__s"))
-    return whole.select(*market, "__sum", F.explode("__s").alias("s")).select(
-        *market, "s.selection", "s.books", (F.col("s.p") / F.col("__sum")).alias("p_fair")
-    )
+    return odds.select(*market, "selection", "books", (F.col("p") / F.sum("p").over(Window.partitionBy(*market))).alias("p_fair"))
 
 
 def edge(p_model: Column, p_fair: Column) -> Column:
