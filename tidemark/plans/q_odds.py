@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.probability import with_markets
 from tidemark.operators import odds as O
+from tidemark.operators.shape import spread
 from tidemark.plans import views
 from tidemark.plans.registry import query, scaled, sql_scaled
 from tidemark.plans.views import DAY_US
@@ -168,7 +169,7 @@ def consensus(spark, sf_dir):
 def _model(spark, sf_dir) -> DataFrame:
     rated = views.matches(spark, sf_dir).selectExpr("id", "0.2D + (id % 300) / 100D AS lambda_home", "0.2D + (id * 7 % 250) / 100D AS lambda_away")
     listed = F.explode(F.array(*[F.struct(F.lit(s).alias("selection"), F.col(f"p_{s}").alias("p_model")) for s in SELECTIONS])).alias("q")
-    return with_markets(rated).select("id", listed).select("id", "q.*")
+    return with_markets(spread(rated, "id")).select("id", listed).select("id", "q.*")
 
 
 _MODEL_SQL = _CONS_SQL + """, rt AS (SELECT id, 0.2 + (id % 300) / CAST(100 AS DOUBLE) AS lh, 0.2 + (id * 7 % 250) / CAST(100 AS DOUBLE) AS la FROM m),
