@@ -13,6 +13,7 @@ from tidemark.operators import odds, quarantine
 from tidemark.operators.intervals import HOUR_US, as_of_cutoffs
 from tidemark.operators.ordered import carry_forward, earlier_totals, with_earlier_totals
 from tidemark.operators.quantiles import at_ranks, exact_quantiles
+from tidemark.plans import catalog
 
 
 def test_cutoff_table_equals_the_range_join(spark):
@@ -100,3 +101,8 @@ def test_rho_by_grouped_sums(spark):
     got = {r.scope: r.rho for r in estimate_rho_distributed(df, ["scope"]).collect()}
     assert set(got) == set(want) and got["b"] == 0.0
     assert all(math.isclose(got[s], want[s], abs_tol=1e-8) for s in want), (got, want)
+
+
+def test_settled_series_never_pass_through_the_driver(spark, sf):
+    plan = catalog.QUERIES["settle"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [fixture_id" in plan and "BroadcastHashJoin [fixture_id" not in plan

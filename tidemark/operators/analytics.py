@@ -94,7 +94,9 @@ def settlements(series: DataFrame, results: DataFrame) -> DataFrame:
     `series`: fixture_id, series_id, market_type, line, selection.
     """
     facts = results.select("fixture_id", "ft_home", "ft_away", "known_at")
-    log = series.join(facts, "fixture_id").withColumn("outcome", settle_selection(
+    # Both sides are shuffled. Spark takes an exploded list of series for as small as the columns of the file it reads, and
+    # would send all of it through the driver.
+    log = series.hint("merge").join(facts.hint("merge"), "fixture_id").withColumn("outcome", settle_selection(
         F.col("market_type"), F.col("line"), F.col("selection"), F.col("ft_home"), F.col("ft_away")
     ))
     return history_from_log(log.select("series_id", "known_at", "outcome"), ["series_id"], ["outcome"])
