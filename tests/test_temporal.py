@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import odds, quality, sql_functions
 from tidemark.operators import temporal as T
 from tidemark.operators.ordered import carry_forward, earlier_totals, neighbours
-from tidemark.plans import views
+from tidemark.plans import jobs, q_jobs, views
 
 DAY = 86_400_000_000
 HISTORY = "key string, source string, home int, away int, known_at bigint, superseded_at bigint"
@@ -165,3 +165,27 @@ def test_form_and_totals_agree_with_and_without_splitting(spark, sf):
     sums = {"n": F.lit(1).cast("bigint"), "g": F.col("hg").cast("bigint")}
     one, two = (with_earlier_totals(m, ["scope"], "k", sums, g).select("id", "n", "g") for g in (1 << 60, DAY))
     assert one.exceptAll(two).isEmpty() and one.count() == two.count()
+
+
+def test_facts_with_few_rows_are_revised_with_one_shuffle(spark):
+    rng = random.Random(11)
+    keys = [None, "a", "b", *(f"k{i}" for i in range(30))]
+    table, batch = [], []
+    for key in keys:
+        at = [rng.randrange(60) * T.GRAIN_US // 7 + 10 for _ in range(3)]
+        table += [(key, "s", rng.choice([None, 1, 2]), min(at), None)] if rng.random() < 0.6 else []
+        table += [(key, "s", 9, min(at) - 5, min(at))]
+        # One row per instant and file, several files at an instant, some not newer than the open revision.
+        batch += [(key, "s", rng.choice([None, 1, 2]), rng.choice(at) + rng.choice([-1, 0, 1]), f"f{i}") for i in range(12)]
+    table = spark.createDataFrame(table, "key string, source string, v int, known_at bigint, superseded_at bigint")
+    batch = spark.createDataFrame(batch, "key string, source string, v int, known_at bigint, file string")
+    few = T.revise(table, batch, ["key", "source"], ["v"], ["file"], grain_us=None)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert order(few) == order(T.revise(table, batch, ["key", "source"], ["v"], ["file"])) and few.count() > 100
+
+
+def test_import_shuffles_each_fact_table_once(spark, sf):
+    store, _ = jobs.import_seasons(jobs.empty_store(spark), q_jobs.job_documents(spark, sf), q_jobs._everyone(spark, sf), "Europe/London", "A")
+    for name in ("fixtures", *jobs.REVISED):
+        assert store[name]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1, name
