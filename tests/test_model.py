@@ -269,3 +269,17 @@ def test_scorelines_are_checked_by_array_and_fixtures_not_dealt_by_scope(spark,
     names = [c for c in cells.columns if c.startswith("p_")]
     odd = odd.withColumns({c: F.lit(0.5) for c in names} | {"lambda_home": F.lit(1.0), "lambda_away": F.lit(1.0), "truncated_mass": F.lit(0.0)})
     assert [r[0] for r in odd.select(prediction_rules()["cell_out_of_range"]).collect()] == [False, True, None, False, None, True, True]
+
+
+def test_markets_fold_four_goal_counts_at_a_time(spark):
+    df = spark.createDataFrame([(0.3, 2.5), (1.7, 1.1), (6.0, 4.0)], "lambda_home double, lambda_away double")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    text = P.with_markets(df)._jdf.queryExecution().analyzed().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    folded = text[text.index("aggregate(array("):text.index("lambdafunction", text.index("aggregate(array("))]
+    assert folded.count("struct(h, ") == 4 + 1  # four blocks of sixteen counts, and the start
+    for top in (4, 6, 15):
+        for r in P.with_markets(df, max_goals=top).collect():
+            mass = [[math.exp(-lam) * lam**k / math.factorial(k) for k in range(top + 1)] for lam in (r.lambda_home, r.lambda_away)]
+            cells = np.outer(*mass) / np.outer(*mass).sum()
+            assert r.p_home == pytest.approx(np.tril(cells, -1).sum(), rel=1e-12) and r.p_draw == pytest.approx(np.trace(cells), rel=1e-12)
