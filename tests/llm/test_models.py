@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import struct
@@ -51,6 +52,27 @@ def test_bpe_round_trip_and_cuts(library):
     assert len(e.fragments("qzqx日本")) > 1 and b"".join(e.fragments("qzqx日本")) == "qzqx日本".encode()
 
 
+def test_bpe_gives_the_library_few_fragments_at_once(library):
+    """What the library holds for a call follows the fragments of that call, not those of a block."""
+    words = ["".join(x) for x in itertools.product("aeiouklmnrst", "aeiou", "bdgklmnprst", "aeiouy", "klmnrst")]
+    e, asked = bpe.Encoder(queries.word_bpe_json()), []
+
+    class Counted:
+        def __init__(self, one):
+            self.one = one
+
+        def encode(self, text, **settings):
+            asked.append(text.count("\n"))
+            return self.one.encode(text, **settings)
+
+    e.last, e.inner = Counted(e.last), Counted(e.inner)
+    texts = [" ".join(words), "", " ".join(words[:9000])]
+    ids, counts = e.encode_block(pa.array(texts))
+    assert sum(asked) >= len(words) > 25_000 and max(asked) <= 8192
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert [len(library.encode(t, add_special_tokens=False).ids) for t in texts] == counts.tolist()
+
+
 def tokens_of(text):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return [w for w in lower.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w] + [None]

@@ -2,11 +2,11 @@
 
 A pair of neighbouring bytes that stands inside no vocabulary token can never be merged across, so a word may be cut there:
 the fragments are encoded independently and their ids concatenated. Only the last fragment of a word carries the end-of-word
-mark. The merges are done by the tokenizers library, in one call for all different fragments of a block of texts: no word
+mark. The merges are done by the tokenizers library, some thousands of a block's different fragments a call: no word
 crosses a blank, so the block's texts are told apart by what stands between blanks, each such chunk is cut into words once,
 each word into fragments once, and the ids are gathered back by offsets.
 
-Everything is one narrow pass over the documents: no shuffle, and a lost task is simply run again. A block is 4 MB of text; a
+Everything is one narrow pass over the documents: no shuffle, and a lost task is simply run again. A block is 2 MB of text; a
 longer text makes a block of its own.
 """
 
@@ -29,7 +29,9 @@ from tokenizers.pre_tokenizers import Split
 from tidemark.llm import columnar
 from tidemark.llm.shared import text_batches
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Fragments given to the tokenizers library at once: it holds some 500 bytes for each until it returns.
+FRAGMENTS = 8192
 MARK = "</w>"
 
 
@@ -92,10 +94,15 @@ class Encoder:
         """Ids of the fragments of such starts and lengths, and the fragment's number of each."""
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        text = np.full(int(lengths.sum()) + len(starts), ord("\n"), np.uint32)
-        text[ragged(offsets(lengths + 1)[:-1], lengths)] = self.letters[data[ragged(starts, lengths)]]
-        found = tokenizer.encode(text.tobytes().decode("utf-32-le"), add_special_tokens=False)
-        return np.array(found.ids, np.int64), np.array(found.word_ids, np.int64)
+        ids, numbers = [], []
+        for at in range(0, len(starts), FRAGMENTS):
+            first, sizes = starts[at : at + FRAGMENTS], lengths[at : at + FRAGMENTS]
+            text = np.full(int(sizes.sum()) + len(sizes), ord("\n"), np.uint32)
+            text[ragged(offsets(sizes + 1)[:-1], sizes)] = self.letters[data[ragged(first, sizes)]]
+            found = tokenizer.encode(text.tobytes().decode("utf-32-le"), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.int64))
+            numbers.append(np.array(found.word_ids, np.int64) + at)
+        return np.concatenate(ids), np.concatenate(numbers)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each word has. A special token is given with a line end before it."""
