@@ -283,3 +283,32 @@ def test_markets_fold_four_goal_counts_at_a_time(spark):
             mass = [[math.exp(-lam) * lam**k / math.factorial(k) for k in range(top + 1)] for lam in (r.lambda_home, r.lambda_away)]
             cells = np.outer(*mass) / np.outer(*mass).sum()
             assert r.p_home == pytest.approx(np.tril(cells, -1).sum(), rel=1e-12) and r.p_draw == pytest.approx(np.trace(cells), rel=1e-12)
+
+
+def test_spread_fit_equals_the_fit_in_a_task(spark):
+    """A scope with goals and one without; no row holds a scope's teams."""
+    rows = [(s, f"t{i}", f"t{(i * 7 + j * 11 + 1) % 40}", (i * 3 + j * 5 + len(s)) % 4, (i + j * j) % 3, (j * 40 + i) * DAY // 8)
+            for s in ("a",) for i in range(40) for j in range(6) if (i * 7 + j * 11 + 1) % 40 != i]
+    rows += [("none", "x", "y", 0, 0, 0), ("none", "y", "x", 0, 0, DAY)]
+    m = spark.createDataFrame(rows, "scope string, home string, away string, hg int, ag int, k bigint")
+    cutoffs = spark.createDataFrame([("a", 25 * DAY), ("none", 40 * DAY)], "scope string, cutoff bigint")
+    configs = [Config(str(h), h, min_matches=6, ridge=0.5, tolerance=1e-6, max_sweeps=3000) for h in (None, 20.0)]
+    key = lambda r: (r.half, r.scope, r.cutoff)
+    whole = fit_many(m, configs, cutoffs)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spread = fit_many(m, configs, cutoffs, spread=True)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive and whole.schema.names == spread.schema.names
+    want, got = {key(r): r for r in whole.collect()}, {}
+    for r in spread.collect():
+        got.setdefault(key(r), []).append(r)
+    assert set(want) == set(got) and len(want) == 4
+    for k, parts in got.items():
+        w = want[k]
+        assert all(len(p.teams) < len(w.teams) for p in parts) or len(w.teams) <= 2
+        rated = {t: v for p in parts for t, *v in zip(p.teams, p.attack, p.defence, p.matches)}
+        assert sorted(rated) == sorted(w.teams) and sum(len(p.teams) for p in parts) == len(w.teams)
+        for t, *v in zip(w.teams, w.attack, w.defence, w.matches):
+            assert rated[t] == pytest.approx(v, abs=1e-4)
+        for p in parts:
+            assert (p.usable, p.converged, p.training_matches, p.rho) == (w.usable, w.converged, w.training_matches, w.rho)
+            assert (p.mu, p.home_advantage, p.log_likelihood) == pytest.approx((w.mu, w.home_advantage, w.log_likelihood), abs=1e-3)
