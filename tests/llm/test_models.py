@@ -52,6 +52,14 @@ def test_bpe_round_trip_and_cuts(library):
     assert len(e.fragments("qzqx日本")) > 1 and b"".join(e.fragments("qzqx日本")) == "qzqx日本".encode()
 
 
+def test_bpe_of_texts_without_words_between_others(spark, library):
+    """Null and empty texts and doubled white space, wherever they stand in a block, leave the other texts' ids as they are."""
+    texts = ["a b", None, "c  d", "", "e\n\nf\t g ", "  ", "x\u2003\u2003y <|endoftext|>  z", "\n", "last \r\n one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = bpe.digests(bpe.encode(docs, queries.word_bpe_json())).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == {i: digest(library, t) for i, t in enumerate(texts)}
+
+
 def test_bpe_gives_the_library_few_fragments_at_once(library):
     """What the library holds for a call follows the fragments of that call, not those of a block."""
     words = ["".join(x) for x in itertools.product("aeiouklmnrst", "aeiou", "bdgklmnprst", "aeiouy", "klmnrst")]

@@ -128,28 +128,29 @@ class Encoder:
         return "".join([x.lower() for x in text]) if "Σ" in text else text.lower()
 
     def _words(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
-        """The words of all chunks, and how many each has. Chunks with special tokens or other white space come one by one."""
-        plain = [i for i, x in enumerate(chunks) if "<|" not in x and not self.space.search(x)]
+        """The words of all chunks, and how many each has. Chunks with special tokens or other white space come one by one.
+
+        A chunk without text has no words and stands in no row of chunks: white space beside it would be taken for one blank.
+        """
+        odd = [i for i, x in enumerate(chunks) if "<|" in x or self.space.search(x)]
+        apart = set(odd)
+        plain = [i for i, x in enumerate(chunks) if x and i not in apart]
         found = self.split.findall(self.normal(" ".join([chunks[i] for i in plain])))
-        codes = pa.array([*found, " "], pa.string())
-        apart = np.flatnonzero(pc.equal(codes, " ").to_numpy(zero_copy_only=False))
+        ends = np.flatnonzero(pc.equal(pa.array([*found, " "], pa.string()), " ").to_numpy(zero_copy_only=False))
         count = np.zeros(len(chunks), np.int64)
         if plain:
-            count[plain] = np.diff(apart, prepend=-1) - 1
-        if len(plain) == len(chunks):
-            return [w for w in found if w != " "], count
-        ready, at, words = [w for w in found if w != " "], 0, []
-        simple = set(plain)
-        for i, chunk in enumerate(chunks):
-            if i in simple:
-                words += ready[at : at + count[i]]
-                at += count[i]
-                continue
-            pieces = self.marks.split(chunk) if self.marks else [chunk]
+            count[plain] = np.diff(ends, prepend=-1) - 1
+        ready = [w for w in found if w != " "]
+        if not odd:
+            return ready, count
+        before, at, words = offsets(count), 0, []
+        for i in odd:
+            pieces = self.marks.split(chunks[i]) if self.marks else [chunks[i]]
             own = [w for p in pieces for w in (["\n" + p] if p in self.special else self.words.findall(self.normal(p)))]
-            count[i] = len(own)
+            words += ready[at : before[i]]
             words += own
-        return words, count
+            at, count[i] = before[i], len(own)
+        return words + ready[at:], count
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
