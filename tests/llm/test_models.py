@@ -378,6 +378,27 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, small_dir):
         assert f(spark, odd, small_dir).columns == odd.columns, name
 
 
+def test_repeats_join_the_windows_of_a_bucket_once(monkeypatch):
+    """A bucket gets a piece from every block of text; what is copied follows the windows, not windows times pieces."""
+    text, n = np.frombuffer(bytes(range(97, 122)) * 8, np.uint8), 2000
+    piece = lambda i: b"".join([np.array([1, 1], "<u4").tobytes(), np.array([i], "<i8").tobytes(), bytes(8), np.array([0, i % 7, 10], "<u4").tobytes(), text[i % 25 : i % 25 + 110].tobytes()])
+    table = pa.table({"packed": [piece(i) for i in range(n)], "kind": [repeats._PLAIN] * n})
+    copied, plain = [], np.concatenate
+
+    def counted(parts, *more, **named):
+        out = plain(parts, *more, **named)
+        copied.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(np, "concatenate", counted)
+    found = repeats._windows(100)(None, table)
+    windows = n * 11
+    assert sum(copied) < 100 * windows * repeats._WINDOW.itemsize
+    # The text comes again every 25 bytes, so the first documents hold every string first and the others have nothing of their own.
+    spans = {i: np.frombuffer(x, "<u4").tolist() for i, x in zip(found.column("id").to_pylist(), found.column("spans").to_pylist())}
+    assert 0 not in spans and all(spans[i] == [i % 7, i % 7 + 110] for i in range(25, n))
+
+
 def test_repeats_know_documents_of_one_key_by_all_bits_of_their_tag():
     ids, tags = np.full(3, repeats._NO_ID), np.array([5 << 40, (5 << 40) + 1, 5 << 40])
     assert repeats._rank(ids, tags).tolist() == [0, 1, 0]

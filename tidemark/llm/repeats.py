@@ -191,24 +191,51 @@ def _sorted(length: int):
 _WINDOW = np.dtype([("doc", "<u4"), ("print", "<u8"), ("start", "<u4")])
 
 
+def _cut_windows(packed: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, tags and windows of contexts cut from texts. They are fingerprinted some at a time and joined once."""
+    ids, tags, parts, held, base, size = [], [], [], [], 0, 0
+
+    def settle() -> None:
+        doc, first, more = (np.concatenate(x) for x in zip(*[(d, f, m) for d, f, m, _ in held]))
+        data = np.concatenate([x for *_, x in held])
+        edges = np.concatenate([[0], np.cumsum(more + length)])
+        each = np.repeat(np.arange(len(doc)), more + 1)
+        j = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+        part = np.zeros(len(each), _WINDOW)
+        part["doc"], part["start"] = doc[each], first[each] + j
+        part["print"] = columnar.fingerprints(columnar.running(data), edges[each] + j, edges[each] + j + length)
+        parts.append(part)
+        held.clear()
+
+    for x in packed:
+        n, m = np.frombuffer(x, "<u4", 2).tolist()
+        ids.append(np.frombuffer(x, "<i8", n, 8))
+        tags.append(np.frombuffer(x, "<i8", n, 8 + 8 * n))
+        doc, first, more = np.frombuffer(x, "<u4", 3 * m, 8 + 16 * n).reshape(3, m).astype(np.int64)
+        held.append((doc + base, first, more, np.frombuffer(x, np.uint8, -1, 8 + 16 * n + 12 * m)))
+        base, size = base + n, size + len(x)
+        if size >= columnar.PIECE_BYTES:
+            settle()
+            size = 0
+    if held:
+        settle()
+    return np.concatenate(ids), np.concatenate(tags), np.concatenate(parts)
+
+
 def _windows(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Of one bucket: the windows that start earlier elsewhere, as spans per document."""
-        whole = [x for x, k in zip(table.column("packed").to_pylist(), table.column("kind").to_pylist()) if k == _COMMON]
-        cut = [x for x, k in zip(table.column("packed").to_pylist(), table.column("kind").to_pylist()) if k == _PLAIN]
+        packed, kinds = table.column("packed").to_pylist(), table.column("kind").to_pylist()
+        whole = [x for x, k in zip(packed, kinds) if k == _COMMON]
+        cut = [x for x, k in zip(packed, kinds) if k == _PLAIN]
         ids, tags, r = _unpacked(whole, _WINDOW) if whole else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _WINDOW))
-        for x in cut:
-            n, m = np.frombuffer(x, "<u4", 2).tolist()
-            some = [np.frombuffer(x, "<i8", n, 8), np.frombuffer(x, "<i8", n, 8 + 8 * n)]
-            doc, first, more = np.frombuffer(x, "<u4", 3 * m, 8 + 16 * n).reshape(3, m).astype(np.int64)
-            data = np.frombuffer(x, np.uint8, -1, 8 + 16 * n + 12 * m)
-            edges = np.concatenate([[0], np.cumsum(more + length)])
-            each = np.repeat(np.arange(m), more + 1)
-            j = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-            part = np.zeros(len(each), _WINDOW)
-            part["doc"], part["start"] = doc[each] + len(ids), first[each] + j
-            part["print"] = columnar.fingerprints(columnar.running(data), edges[each] + j, edges[each] + j + length)
-            ids, tags, r = np.concatenate([ids, some[0]]), np.concatenate([tags, some[1]]), np.concatenate([r, part])
+        if cut:
+            some = _cut_windows(cut, length)
+            some[2]["doc"] += len(ids)
+            ids, tags, r = (np.concatenate(x) for x in zip((ids, tags, r), some))
+        # Most windows are alone with their content and need no order.
+        content = np.sort(r["print"])
+        r = r[np.isin(r["print"], np.unique(content[1:][content[1:] == content[:-1]]))]
         rank = _rank(ids, tags)[r["doc"]] if len(r) else np.zeros(0, np.int64)
         order = np.lexsort((r["start"], rank, r["print"]))
         r, rank = r[order], rank[order]
