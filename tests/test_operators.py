@@ -13,6 +13,7 @@ from tidemark.operators import odds, quarantine
 from tidemark.operators.intervals import HOUR_US, as_of_cutoffs
 from tidemark.operators.ordered import carry_forward, earlier_totals, with_earlier_totals
 from tidemark.operators.quantiles import at_ranks, exact_quantiles
+from tidemark.operators.temporal import history_from_log
 from tidemark.plans import catalog
 
 
@@ -106,3 +107,15 @@ def test_rho_by_grouped_sums(spark):
 def test_settled_series_never_pass_through_the_driver(spark, sf):
     plan = catalog.QUERIES["settle"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [fixture_id" in plan and "BroadcastHashJoin [fixture_id" not in plan
+
+
+def test_settled_series_are_shuffled_once(spark, sf):
+    plan = catalog.QUERIES["settle"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange hashpartitioning(fixture_id") == 2
+
+
+def test_history_by_one_sort_equals_history_by_time_buckets(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 9, "b"), (1, 10**15, "a"), (1, None, "b"), (1, 12, None), (1, 13, None), (2, 3, None), (2, 4, "x"), (None, 1, "x"), (None, 2, "x"), (None, 2, "y")]
+    log = spark.createDataFrame([(k, 7, t, x) for k, t, x in rows], "k long, s long, known_at long, outcome string")
+    want, got = (sorted(map(tuple, history_from_log(log, ["k", "s"], ["outcome"], grain_us=g).collect()), key=repr) for g in (10, None))
+    assert got == want and len(got) == 7

@@ -91,7 +91,8 @@ def settle_selection(market: Column, line: Column, selection: Column, home: Colu
 def settlements(series: DataFrame, results: DataFrame) -> DataFrame:
     """Outcome of each series as revisions: a corrected score that changes the outcome settles again.
 
-    `series`: fixture_id, series_id, market_type, line, selection.
+    `series`: fixture_id, series_id, market_type, line, selection; a series belongs to one fixture. The join deals everything
+    by fixture, and so it stays: a fixture's corrected scores are few, and its series are settled where they lie.
     """
     facts = results.select("fixture_id", "ft_home", "ft_away", "known_at")
     # Both sides are shuffled. Spark takes an exploded list of series for as small as the columns of the file it reads, and
@@ -99,7 +100,8 @@ def settlements(series: DataFrame, results: DataFrame) -> DataFrame:
     log = series.hint("merge").join(facts.hint("merge"), "fixture_id").withColumn("outcome", settle_selection(
         F.col("market_type"), F.col("line"), F.col("selection"), F.col("ft_home"), F.col("ft_away")
     ))
-    return history_from_log(log.select("series_id", "known_at", "outcome"), ["series_id"], ["outcome"])
+    rows = log.select("fixture_id", "series_id", "known_at", "outcome")
+    return history_from_log(rows, ["fixture_id", "series_id"], ["outcome"], grain_us=None).drop("fixture_id")
 
 
 def markets_long(predictions: DataFrame, *keys: str) -> DataFrame:

@@ -65,13 +65,16 @@ def history_from_log(
     keys: Sequence[str],
     columns: Sequence[str],
     tiebreak: Sequence[str] = (),
-    grain_us: int = GRAIN_US,
+    grain_us: int | None = GRAIN_US,
 ) -> DataFrame:
     """Turn an append log into revisions with half-open intervals, dropping repeats.
 
-    Of several rows of a key at one instant the last by `tiebreak` stands.
+    Of several rows of a key at one instant the last by `tiebreak` stands. No task holds a key, however many rows it has.
+    Where every key has few rows, `grain_us=None` orders them with one shuffle by key, or none where they lie so already.
     """
     others = [c for c in log.columns if c not in keys and c != "known_at"]
+    if grain_us is None:
+        return _chained(log, keys, columns, tiebreak or others)
     last = F.max_by(F.struct(*others), F.struct(*tiebreak)) if tiebreak else F.max(F.struct(*others))
     standing = log.groupBy(*keys, "known_at").agg(last.alias("__r")).select(*keys, "known_at", "__r.*").select(*log.columns)
     changed = neighbours(standing, keys, ["known_at"], previous={"__prev": payload(columns)}, grain_us=grain_us).filter(
@@ -80,6 +83,17 @@ def history_from_log(
     return neighbours(changed.drop("__prev"), keys, ["known_at"], following={"superseded_at": F.col("known_at")}, grain_us=grain_us)
 
 
+def _chained(log: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a log that change their key's content, each closed by the next; one sort of each key's rows."""
+    ordered = Window.partitionBy(*keys).orderBy("known_at", *order)
+    # Of several rows of an instant the last stands.
+    standing = log.select("*", F.lead(F.struct("known_at")).over(ordered).alias("__next")).filter("__next IS NULL OR NOT (__next.known_at <=> known_at)")
+    changed = standing.drop("__next").select("*", F.lag(payload(columns)).over(ordered).alias("__prev")).filter(
+        F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns))
+    )
+    return changed.drop("__prev").select("*", F.lead("known_at").over(ordered).alias("superseded_at"))
+
+
 def compare_revisions(
     table: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
@@ -109,16 +123,9 @@ def compare_revisions(
 def _chain_by_key(both: DataFrame, keys: Sequence[str], columns: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
     """What `revise` keeps of open (`__open`) and incoming rows, by one shuffle and one sort of each key's rows."""
     others = tiebreak or [c for c in both.columns if c not in (*keys, "known_at", "__open")]
-    key = Window.partitionBy(*keys)
-    ordered = key.orderBy("known_at", *others)
-    since = F.max(F.when(F.col("__open"), F.col("known_at"))).over(key)
+    since = F.max(F.when(F.col("__open"), F.col("known_at"))).over(Window.partitionBy(*keys))
     log = both.select("*", since.alias("__since")).filter("__open OR __since IS NULL OR known_at > __since")
-    # Of several rows of an instant the last stands.
-    standing = log.select("*", F.lead("known_at").over(ordered).alias("__next")).filter("__next IS NULL OR __next <> known_at")
-    changed = standing.select("*", F.lag(payload(columns)).over(ordered).alias("__prev")).filter(
-        F.col("__prev").isNull() | content_differs(F.col("__prev"), payload(columns))
-    )
-    return changed.select("*", F.lead("known_at").over(ordered).alias("superseded_at"))
+    return _chained(log, keys, columns, others)
 
 
 def revise(
