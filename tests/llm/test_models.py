@@ -330,6 +330,20 @@ def test_licenses_in_long_lines(spark):
     assert got[len(texts) - 1] == names
 
 
+def test_licenses_ordered_by_compression():
+    """Of the templates whose words confirm a statement the one that saves most is told, and no statement beside it is lost."""
+    text, scanner = "x This work is licensed under the GNU General Public License, version 2. y", licenses.Scanner()
+    plain, asked = scanner.ranked, []
+    scanner.ranked = lambda stretch: asked.append(stretch) or plain(stretch)
+    assert [b["license"] for b in scanner.scan(text)] == ["GPL-2.0"]
+    order = [licenses.TEMPLATES[i][0] for _, i in plain(asked[0])]
+    assert asked[0] == text[2:-3] and order[0] == "GPL-2.0" and sorted(order) == sorted(name for name, _ in licenses.TEMPLATES)
+    scanner.ranked = lambda stretch: sorted(plain(stretch), key=lambda x: licenses.TEMPLATES[x[1]][0] != "GPL-3.0")  # confirmed as well, with two changes
+    assert [b["license"] for b in scanner.scan(text)] == ["GPL-3.0"]
+    side = "Released under the MIT License. Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0. All rights reserved."
+    assert [b["license"] for b in licenses.Scanner().scan(side)] == ["MIT", "CC-BY-NC-4.0", "CC-BY-4.0", "proprietary"]
+
+
 def test_repeats_keep_contexts_apart_by_64_bits():
     """Contexts under one gram that agree in their low 40 bits only are no repeats but stay open; equal ones are."""
     data, offs = columnar.utf8(pa.array(["".join(chr(97 + i * i % 23) for i in range(j, j + 300)) for j in range(20)]))
