@@ -386,6 +386,15 @@ def test_pipeline_stages_against_plain_versions(spark, small_dir, library):
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == want
 
 
+def test_pipeline_encodes_texts_without_words_between_others(spark, library, small_dir):
+    """The last stage reads many rows of one file at once; what the stages before may leave of a text is nothing or blanks."""
+    texts = ["a b", None, "c  d", "", "key = [secret]\n\n  end", "   ", "x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert name == "bpe"
+    assert {r["doc_id"]: tuple(r)[1:] for r in stage(spark, docs, small_dir).collect()} == {i: digest(library, t) for i, t in enumerate(texts)}
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none, small_dir):
     for name, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, none, small_dir).collect() == [], name
